@@ -10,6 +10,7 @@ from ..operators.encode import hash_encoder
 from ..operators.graph import partition_by_index
 from ..operators.recognise import DROPPED_LABELS, STOP_MENTIONS  # noqa: F401
 from ..plans.index import GraphIndex
+from ..session import spread
 
 CLIENTS = 2
 DIM = 32
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str, clients: int = CLIENTS) -> DataFrame:
     """(client_id, idx, text): documents as indexed chunks, partitioned by index."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text")).alias("text"))
-    return partition_by_index(docs.withColumn("idx", parse_chunk_index(F.col("text"))), clients)
+    return partition_by_index(spread(docs).withColumn("idx", parse_chunk_index(F.col("text"))), clients)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

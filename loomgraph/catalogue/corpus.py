@@ -54,7 +54,8 @@ def passage_slots_to_nodes(spark, sf):
 
 def text_windows(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(tx.chunk_windows(F.col("text"), 64)).alias("chunk_id", "chunk")).select(
+    staged = d.select("doc_id", tx.window_tokens(F.col("text")).alias("tokens"))
+    return staged.select("doc_id", F.posexplode(tx.chunk_windows(F.col("tokens"), 64)).alias("chunk_id", "chunk")).select(
         "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.md5("chunk").alias("chunk_md5"))
 
 
@@ -130,7 +131,7 @@ SQL = {
         'passage-' || md5(text) AS passage_id, sha1(text) AS title_id, sha1(sha1(text) || '::' || doc_id) AS title_sentence_id,
         (doc_id * 1103515245 + 12345) % 2147483647 AS audit_id FROM documents""",
     "title_partition": """SELECT page_id, CAST((
-        (CAST('0x' || substr(md5(url), 1, 8) AS BIGINT)::HUGEINT * 79228162514264337593543950336 % 7)
+        (CAST('0x' || substr(md5(url), 1, 8) AS BIGINT)::HUGEINT * CAST(79228162514264337593543950336 % 7 AS HUGEINT) % 7)
         + (CAST('0x' || substr(md5(url), 9, 8) AS BIGINT)::HUGEINT * 18446744073709551616 % 7)
         + (CAST('0x' || substr(md5(url), 17, 8) AS BIGINT)::HUGEINT * 4294967296 % 7)
         + CAST('0x' || substr(md5(url), 25, 8) AS BIGINT)) % 7 AS INTEGER) AS client_id FROM pages""",
@@ -152,8 +153,8 @@ SQL = {
         SELECT doc_id, chunk_id, md5(array_to_string(w[chunk_id * 64 + 1 : chunk_id * 64 + 64], ' ')) AS chunk_md5 FROM c""",
     "titled_passages": f"""WITH s AS (
           SELECT conv_id, turn, 'Conversation ' || conv_id AS title,
-                 list_filter(list_transform({base.sql_sentences('text')}, x -> {sql_strip('x')}), x -> x <> '') AS l FROM conversations),
-        u AS (SELECT conv_id, turn, title, list_filter(l, (x, i) -> list_position(l, x) = i) AS d FROM s)
+                 [{sql_strip('x')} FOR x IN {base.sql_sentences('text')} IF {sql_strip('x')} <> ''] AS l FROM conversations),
+        u AS (SELECT conv_id, turn, title, [l[i] FOR i IN range(1, len(l) + 1) IF list_position(l, l[i]) = i] AS d FROM s)
         SELECT conv_id, turn, md5('Title: ' || title || chr(10) || coalesce(array_to_string(d, chr(10)), '')) AS text_md5,
         md5(title || ': ' || coalesce(array_to_string(d[1:3], ' '), '')) AS evidence_md5 FROM u""",
     "first_document_per_text": """WITH f AS (
@@ -165,8 +166,8 @@ SQL = {
         SELECT CASE WHEN idx < floor(0.8 * n) THEN 'train' WHEN idx < floor(0.9 * n) THEN 'val' ELSE 'test' END AS split,
         count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r GROUP BY 1""",
     "attribute_overlap": f"""SELECT item_id AS qid,
-        len(list_filter([{_KEYWORDS}], k -> list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), k))) > 0 AS is_attribute,
-        CAST(len(list_filter([{_KEYWORDS}], k -> contains(lower(text), k))) AS BIGINT) AS keywords FROM benchmark""",
+        len([k FOR k IN [{_KEYWORDS}] IF list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), k)]) > 0 AS is_attribute,
+        CAST(len([k FOR k IN [{_KEYWORDS}] IF contains(lower(text), k)]) AS BIGINT) AS keywords FROM benchmark""",
     "mention_labels": f"""WITH {base.MENTIONS},
         per AS (SELECT DISTINCT passage_id, client_id, sentence, entity FROM raw_mentions WHERE entity NOT IN ({base.SQL_STOP}))
         SELECT client_id, CASE WHEN regexp_matches(entity, '^\\d+$') THEN 'CARDINAL'

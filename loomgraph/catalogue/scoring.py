@@ -82,8 +82,8 @@ _PUNCT = string.punctuation.replace("'", "''")
 
 def _norm(expr: str) -> str:
     """Articles are dropped as whole tokens after the punctuation is gone."""
-    words = f"string_split({sql_squeeze(f'translate(lower({expr}), chr(0) || {chr(39)}{_PUNCT}{chr(39)}, chr(0))')}, ' ')"
-    return f"array_to_string(list_filter({words}, w -> w NOT IN ('a', 'an', 'the', '')), ' ')"
+    words = f"string_split({sql_squeeze(f'translate(lower({expr}), {chr(39)}{_PUNCT}{chr(39)}, {chr(39)}{chr(39)})')}, ' ')"
+    return f"array_to_string([w FOR w IN {words} IF w NOT IN ('a', 'an', 'the', '')], ' ')"
 
 
 _PAIRS = """turns AS (SELECT conv_id, turn, text AS pred, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations),
@@ -91,14 +91,14 @@ pairs AS (SELECT * FROM turns WHERE label IS NOT NULL)"""
 
 _SCORES = f"""{_PAIRS},
 normed AS (SELECT conv_id, turn, coalesce({_norm('pred')}, '') AS p, coalesce({_norm('label')}, '') AS a FROM pairs),
-bags AS (SELECT *, list_filter(string_split(p, ' '), w -> w <> '') AS pt, list_filter(string_split(a, ' '), w -> w <> '') AS at FROM normed),
+bags AS (SELECT *, [w FOR w IN string_split(p, ' ') IF w <> ''] AS pt, [w FOR w IN string_split(a, ' ') IF w <> ''] AS gt FROM normed),
 pw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(pt) AS w FROM bags) GROUP BY ALL),
-aw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(at) AS w FROM bags) GROUP BY ALL),
+aw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(gt) AS w FROM bags) GROUP BY ALL),
 common AS (SELECT pw.conv_id, pw.turn, sum(least(pw.n, aw.n)) AS s FROM pw JOIN aw USING (conv_id, turn, w) GROUP BY ALL),
 scored AS (SELECT b.conv_id, b.turn, CAST(contains(p, a) AS BIGINT) AS hit, CAST(p = a AS BIGINT) AS em,
-  CASE WHEN len(pt) = 0 OR len(at) = 0 THEN CAST(len(pt) = 0 AND len(at) = 0 AS DOUBLE)
+  CASE WHEN len(pt) = 0 OR len(gt) = 0 THEN CAST(len(pt) = 0 AND len(gt) = 0 AS DOUBLE)
        WHEN coalesce(s, 0) = 0 THEN 0.0
-       ELSE 2.0 * (s / len(pt)::DOUBLE) * (s / len(at)::DOUBLE) / (s / len(pt)::DOUBLE + s / len(at)::DOUBLE) END AS f1
+       ELSE 2.0 * (s / len(pt)::DOUBLE) * (s / len(gt)::DOUBLE) / (s / len(pt)::DOUBLE + s / len(gt)::DOUBLE) END AS f1
   FROM bags b LEFT JOIN common c ON b.conv_id = c.conv_id AND b.turn = c.turn)"""
 
 SQL = {
@@ -109,7 +109,7 @@ SQL = {
     "list_answer_metrics": f"""WITH {_PAIRS},
         cut AS (SELECT string_split(replace(replace(pred, '. ', '|'), '|', chr(10)), chr(10)) AS lines, string_split(replace(label, ' ', '|'), '|') AS opts FROM pairs),
         j AS (SELECT lines, opts, {_norm("array_to_string(lines, ' ')")} AS joined FROM cut),
-        m AS (SELECT len(lines) AS nl, len(opts) AS no, len(list_filter(opts, o -> contains(joined, {_norm('o')})))::DOUBLE AS k FROM j)
+        m AS (SELECT len(lines) AS nl, len(opts) AS no, len([o FOR o IN opts IF contains(joined, coalesce({_norm('o')}, ''))])::DOUBLE AS k FROM j)
         SELECT round(avg(k / no) * 100, 6) AS accuracy, round(avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS hit,
         round(avg(k / nl) * 100, 6) AS precision, round(avg(k / no) * 100, 6) AS recall,
         round(avg(CASE WHEN k = 0 THEN 0 ELSE 2 * (k / nl) * (k / no) / (k / nl + k / no) END) * 100, 6) AS f1 FROM m""",

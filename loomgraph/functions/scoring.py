@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalise_answer, strip, tokens
+from .text import normalise_answer, strip
 
 
 def contains_answer(prediction: Column, answer: Column) -> Column:
@@ -27,18 +27,13 @@ def _count_of(items: Column, item: Column) -> Column:
     return F.size(F.filter(items, lambda t: t == item))
 
 
-def token_f1(prediction: Column, answer: Column) -> Column:
-    """Bag-of-tokens F1; both sides empty scores 1, one side empty scores 0."""
-    p, a = tokens(normalise_answer(prediction)), tokens(normalise_answer(answer))
+def token_f1(predicted: Column, accepted: Column) -> Column:
+    """Bag-of-tokens F1 of two staged token columns; both empty scores 1, one empty scores 0."""
     shared = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(_count_of(p, t), _count_of(a, t))
-    )
-    np_, na = F.size(p), F.size(a)
-    return (
-        F.when((np_ == 0) | (na == 0), ((np_ == 0) & (na == 0)).cast("double"))
-        .when(shared == 0, F.lit(0.0))
-        .otherwise(F.lit(2.0) * shared / (np_ + na))
-    )
+        F.array_distinct(F.array_intersect(predicted, accepted)), F.lit(0),
+        lambda s, t: s + F.least(_count_of(predicted, t), _count_of(accepted, t)))
+    np_, na = F.size(predicted), F.size(accepted)
+    return F.when((np_ == 0) | (na == 0), ((np_ == 0) & (na == 0)).cast("double")).otherwise(F.lit(2.0) * shared / (np_ + na))
 
 
 def prediction_lines(prediction: Column) -> Column:
@@ -50,21 +45,11 @@ def answer_options(answer: Column) -> Column:
     return F.split(answer, r"\|")
 
 
-def list_scores(prediction: Column, answer: Column) -> dict[str, Column]:
-    """accuracy, hit, precision, recall and f1 of a multi-line prediction against '|'-separated answers."""
-    lines = prediction_lines(prediction)
-    options = answer_options(answer)
-    joined = normalise_answer(F.array_join(lines, " "))
-    matched = F.size(F.filter(options, lambda a: F.contains(joined, normalise_answer(a))))
-    precision = matched / F.size(lines)
+def list_scores(joined: Column, lines: Column, options: Column) -> dict[str, Column]:
+    """accuracy, hit, precision, recall and f1 from staged columns: the normalised joined prediction,
+    the number of prediction lines, and the normalised answer options."""
+    matched = F.size(F.filter(options, lambda a: F.contains(joined, a)))
+    precision = matched / lines
     recall = matched / F.size(options)
-    f1 = F.when(precision + recall == 0, F.lit(0.0)).otherwise(
-        F.lit(2.0) * precision * recall / (precision + recall)
-    )
-    return {
-        "accuracy": recall,
-        "hit": (matched > 0).cast("double"),
-        "precision": precision,
-        "recall": recall,
-        "f1": f1,
-    }
+    f1 = F.when(matched == 0, F.lit(0.0)).otherwise(F.lit(2.0) * precision * recall / (precision + recall))
+    return {"accuracy": recall, "hit": (matched > 0).cast("double"), "precision": precision, "recall": recall, "f1": f1}

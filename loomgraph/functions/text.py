@@ -31,13 +31,16 @@ def sentences(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda s: s != F.lit("")))
 
 
-def chunk_windows(text: Column, max_tokens: int = 64) -> Column:
-    """Windows of ``max_tokens`` whitespace tokens; blank text gives one empty window."""
-    tokens = F.split(squeeze(text), " ")
-    count = F.size(tokens)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(count / F.lit(max_tokens)).cast("int") - 1, F.lit(0)))
+def window_tokens(text: Column) -> Column:
+    """Whitespace tokens; blank text gives one empty token. Stage this as a column before windowing."""
+    return F.split(squeeze(text), " ")
+
+
+def chunk_windows(tokens: Column, max_tokens: int = 64) -> Column:
+    """Windows of ``max_tokens`` tokens of a staged token column; blank text gives one empty window."""
+    last = F.greatest(F.ceil(F.size(tokens) / F.lit(max_tokens)).cast("int") - 1, F.lit(0))
     return F.transform(
-        starts,
+        F.sequence(F.lit(0), last),
         lambda i: F.array_join(F.slice(tokens, i * F.lit(max_tokens) + 1, F.lit(max_tokens)), " "),
     )
 

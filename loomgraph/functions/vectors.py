@@ -21,10 +21,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(a), F.lit(0.0), lambda s, v: s + v * v))
 
 
+def _with_constant(a: Column, value: Column, f) -> Column:
+    """``f(element, value)`` over an array; the constant is an array so it is computed once per row
+    (a lambda would evaluate it again for every element)."""
+    return F.zip_with(a, F.array_repeat(value, F.size(a)), f)
+
+
 def l2_normalise(a: Column) -> Column:
     """Unit vector; the norm is floored at 1e-12 so a zero vector stays zero."""
-    size = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(as_double(a), lambda v: v / size)
+    return _with_constant(as_double(a), F.greatest(norm(a), F.lit(1e-12)), lambda v, n: v / n)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -42,8 +47,9 @@ def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     x = as_double(a)
     n = F.size(x)
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + F.lit(float(eps))))
+    centred = _with_constant(x, mean, lambda v, m: v - m)
+    deviation = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v) / n + F.lit(float(eps)))
+    return _with_constant(centred, deviation, lambda v, d: v / d)
 
 
 def soft_threshold(value: Column, threshold: Column) -> Column:

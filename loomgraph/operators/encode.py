@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_windows
+from ..functions.text import chunk_windows, window_tokens
 from ..functions.vectors import sum_vectors
 
 Encoder = Callable[[Column], Column]
@@ -70,7 +70,8 @@ def model_encoder(make_predict: Callable[[], Callable], batch_size: int = 128) -
 def chunk_vectors(nodes: DataFrame, encoder: Encoder, max_tokens: int = 64,
                   keys: tuple[str, ...] = ("client_id", "node_id"), text: str = "text") -> DataFrame:
     """One vector per token window of every node text: keys, chunk_id, x."""
-    windows = nodes.select(*keys, F.posexplode(chunk_windows(F.col(text), max_tokens)).alias("chunk_id", "chunk"))
+    staged = nodes.select(*keys, window_tokens(F.col(text)).alias("_tokens"))
+    windows = staged.select(*keys, F.posexplode(chunk_windows(F.col("_tokens"), max_tokens)).alias("chunk_id", "chunk"))
     return windows.select(*keys, "chunk_id", encoder(F.col("chunk")).alias("x"))
 
 

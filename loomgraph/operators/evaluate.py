@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import contains_answer, contains_non_blank, exact_match, list_scores, token_f1
+from ..functions.scoring import answer_options, contains_non_blank, list_scores, prediction_lines, token_f1
+from ..functions.text import normalise_answer, tokens
 
 
 def score_predictions(predictions: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
-    """Per-row hit, em and token F1."""
-    p, a = F.col(pred), F.col(label)
-    return predictions.withColumn("hit", contains_answer(p, a)).withColumn("em", exact_match(p, a)).withColumn("f1", token_f1(p, a))
+    """Per-row hit, em and token F1. Both texts are normalised once."""
+    staged = predictions.withColumn("_p", normalise_answer(F.col(pred))).withColumn("_a", normalise_answer(F.col(label)))
+    tokenised = staged.withColumn("_pt", tokens(F.col("_p"))).withColumn("_at", tokens(F.col("_a")))
+    return (
+        tokenised.withColumn("hit", F.contains("_p", "_a").cast("int")).withColumn("em", (F.col("_p") == F.col("_a")).cast("int"))
+        .withColumn("f1", token_f1(F.col("_pt"), F.col("_at"))).drop("_p", "_a", "_pt", "_at"))
 
 
 def split_metrics(predictions: DataFrame, keys: list[str], pred: str = "pred", label: str = "label") -> DataFrame:
@@ -23,8 +27,12 @@ def split_metrics(predictions: DataFrame, keys: list[str], pred: str = "pred", l
 
 def list_metrics(predictions: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """accuracy, hit, precision, recall and f1 in percent over multi-answer predictions."""
-    scores = list_scores(F.col(pred), F.col(label))
-    rows = predictions.select(*[c.alias(n) for n, c in scores.items()])
+    lines = prediction_lines(F.col(pred))
+    staged = predictions.select(
+        normalise_answer(F.array_join(lines, " ")).alias("joined"), F.size(lines).alias("lines"),
+        F.transform(answer_options(F.col(label)), lambda a: normalise_answer(a)).alias("options"))
+    scores = list_scores(F.col("joined"), F.col("lines"), F.col("options"))
+    rows = staged.select(*[c.alias(n) for n, c in scores.items()])
     return rows.agg(*[(F.avg(n) * 100.0).alias(n) for n in scores])
 
 

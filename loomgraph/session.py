@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def build_session(app_name: str = "loomgraph", master: str | None = None, **conf
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -46,13 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` once as a table under the shared checkpoint folder and continue from it.
 
-    Used at the points where a result feeds several branches or an iteration must drop its
-    lineage; the files outlive executors, unlike cached blocks.
+    Used where a result feeds several branches or an iteration must drop its lineage. The files
+    outlive executors, keep column pruning for the readers, and are written in a single pass
+    (``checkpoint()`` would compute the last stage twice). The folder belongs to the application.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -68,3 +73,9 @@ def client_hint(df: DataFrame, key: str = "client_id", limit: int = MAX_CLIENT_R
     to be within ``limit``, otherwise leave the join to Spark."""
     few = df.select(key).distinct().limit(limit + 1).count() <= limit
     return F.broadcast if few else (lambda table: table)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer partitions than cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
