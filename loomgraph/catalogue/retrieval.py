@@ -17,7 +17,7 @@ from . import base
 from .base import CLIENTS, DIM, NODES, rounded, sql_dot, sql_encode, sql_sentences, sql_strip, table
 from .graphs import TRANSITIONS
 
-STEPS = 20
+STEPS = 12
 
 
 def _retriever(spark, sf, mode="parallel", boost=False):
@@ -210,6 +210,11 @@ _DENSE = f"""{sql_encode('pv', 'passages', 'text', 'client_id, passage_id')},
 dense AS (SELECT p.client_id, q.qid, p.passage_id, round({sql_dot('p.v', 'q.v')}, 9) AS s FROM pv p, qv q)"""
 
 
+def _walk() -> str:
+    return ",\n".join(f"""y{k} AS MATERIALIZED (SELECT qid, id, sum(v) AS v FROM (
+  SELECT qid, id, v FROM y0 UNION ALL SELECT y.qid, m.dst, m.p * y.v FROM y{k - 1} y JOIN imoves m ON m.src = y.id) GROUP BY qid, id)""" for k in range(1, STEPS + 1))
+
+
 def _ranking(boost: bool) -> str:
     from ..functions.text import ATTRIBUTE_KEYWORDS
 
@@ -221,19 +226,19 @@ def _ranking(boost: bool) -> str:
         extra = f"+ CASE WHEN {is_attr} THEN 0.25 * ln(1 + {overlap}) ELSE 0 END"
     return f"""{_BONUS}, {_DENSE}, {TRANSITIONS},
 span AS (SELECT client_id, qid, min(s) AS lo, max(s) AS hi FROM dense GROUP BY ALL),
+ids AS MATERIALIZED (SELECT client_id, hash_id, row_number() OVER () AS id FROM nodes),
+imoves AS MATERIALIZED (SELECT s.id AS src, d.id AS dst, 0.5::DOUBLE * m.p AS p FROM moves m
+  JOIN ids s ON s.client_id = m.client_id AND s.hash_id = m.src JOIN ids d ON d.client_id = m.client_id AND d.hash_id = m.dst),
 reset AS (
   SELECT d.client_id, d.qid, d.passage_id AS node, greatest(0.05::DOUBLE * (1.5::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE (s - lo) / (hi - lo) END
-      + ln(1 + greatest(coalesce(b.bonus, 0), -0.999999)) {extra}), 0) AS v
+      + ln(1 + greatest(coalesce(bo.bonus, 0), -0.999999)) {extra}), 0) AS v
   FROM dense d JOIN span g ON g.client_id = d.client_id AND g.qid = d.qid
-  LEFT JOIN bonus b ON b.client_id = d.client_id AND b.qid = d.qid AND b.node = d.passage_id
+  LEFT JOIN bonus bo ON bo.client_id = d.client_id AND bo.qid = d.qid AND bo.node = d.passage_id
   JOIN bq b ON b.qid = d.qid JOIN passages t ON t.client_id = d.client_id AND t.passage_id = d.passage_id
   UNION ALL SELECT client_id, qid, entity_id, greatest(weight, 0) FROM spread_weights),
-walk AS (
-  SELECT 0 AS k, client_id, qid, node, v FROM reset
-  UNION ALL
-  SELECT w.k + 1, w.client_id, w.qid, m.dst, sum(0.5::DOUBLE * m.p * w.v) FROM walk w JOIN moves m ON m.client_id = w.client_id AND m.src = w.node
-  WHERE w.k < {STEPS} GROUP BY w.k + 1, w.client_id, w.qid, m.dst),
-mass AS (SELECT client_id, qid, node, sum(v) AS y FROM walk GROUP BY ALL),
+y0 AS MATERIALIZED (SELECT r.qid, i.id, r.v FROM reset r JOIN ids i ON i.client_id = r.client_id AND i.hash_id = r.node),
+{_walk()},
+mass AS (SELECT i.client_id, y.qid, i.hash_id AS node, y.v AS y FROM y{STEPS} y JOIN ids i ON i.id = y.id),
 total AS (SELECT client_id, qid, sum(y) AS t FROM mass GROUP BY ALL),
 pr AS (SELECT m.client_id, m.qid, m.node AS passage_id, m.y / t.t AS score,
     row_number() OVER (PARTITION BY m.client_id, m.qid ORDER BY CASE WHEN m.y > 0 THEN round(ln(m.y), 9) ELSE -1e9 END DESC, m.node) AS rank
@@ -244,12 +249,6 @@ ranked AS (
   UNION ALL SELECT * FROM flat WHERE rank <= 5 AND (client_id, qid) NOT IN (SELECT client_id, qid FROM seeds))"""
 
 
-def _ranking_sql(boost: bool) -> str:
-    # the second alias b of the reset CTE is the question; keep both joins apart
-    return _ranking(boost).replace("LEFT JOIN bonus b ON b.client_id = d.client_id AND b.qid = d.qid AND b.node = d.passage_id",
-                                   "LEFT JOIN bonus bo ON bo.client_id = d.client_id AND bo.qid = d.qid AND bo.node = d.passage_id").replace("coalesce(b.bonus, 0)", "coalesce(bo.bonus, 0)")
-
-
 _TOP5 = "top5 AS (SELECT * FROM (SELECT client_id, qid, passage_id, row_number() OVER (PARTITION BY client_id, qid ORDER BY s DESC, passage_id) AS rank FROM dense) WHERE rank <= 5)"
 
 _GLOBAL = f"""n AS (SELECT vec_id AS node_id, label % 3 AS node_type, [x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings),
@@ -270,9 +269,9 @@ SQL = {
     "spread_weights": f"WITH {_SPREAD} SELECT client_id, qid, entity_id, round(weight, 6) + 0.0 AS weight FROM spread_weights",
     "activated_entities": f"WITH {_SPREAD} SELECT client_id, qid, entity_id, tier, round(score, 6) + 0.0 AS score FROM activated",
     "passage_entity_bonus": f"WITH {_BONUS} SELECT client_id, qid, node, round(bonus, 6) + 0.0 AS bonus FROM bonus",
-    "ranked_passages": f"WITH RECURSIVE {_ranking_sql(False)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
-    "ranked_passages_boosted": f"WITH RECURSIVE {_ranking_sql(True)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
-    "federated_ranking": f"""WITH RECURSIVE {_ranking_sql(False)}, f AS (
+    "ranked_passages": f"WITH {_ranking(False)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
+    "ranked_passages_boosted": f"WITH {_ranking(True)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
+    "federated_ranking": f"""WITH {_ranking(False)}, f AS (
         SELECT qid, client_id, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, client_id, passage_id) AS rank FROM ranked)
         SELECT qid, client_id, passage_id, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5""",
     "evidence_graph_edges": f"""WITH {_SPREAD}, {_DENSE}, {_TOP5},

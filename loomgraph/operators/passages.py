@@ -235,7 +235,7 @@ def personalised_pagerank(reset: DataFrame, transitions: DataFrame, width: int,
     return state
 
 
-def best_passages(wide: DataFrame, batch: QuestionBatch, k: int, *, totals: DataFrame | None = None, relative: bool = True) -> DataFrame:
+def best_passages(wide: DataFrame, batch: QuestionBatch, k: int, *, relative: bool = True) -> DataFrame:
     """(client_id, qid, passage_id, score, rank) best ``k`` per client and question from wide rows.
 
     Each task forwards k rows per question. With ``relative`` scores are compared to 9 significant
@@ -244,7 +244,7 @@ def best_passages(wide: DataFrame, batch: QuestionBatch, k: int, *, totals: Data
     names = _cols("s", width)
     ids = batch.ids
     shared = wide.sparkSession.sparkContext.broadcast(ids)
-    schema = f"client_id int, qid {batch.id_type}, passage_id string, level double, score double"
+    schema = f"client_id int, block int, slot int, qid {batch.id_type}, node string, level double"
 
     def partial(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[tuple[int, int], _Best] = {}
@@ -252,21 +252,22 @@ def best_passages(wide: DataFrame, batch: QuestionBatch, k: int, *, totals: Data
             for (c, b), group in part.groupby(["client_id", "block"], sort=False):
                 values = group[names].to_numpy(dtype=np.float64).T
                 if relative:
-                    with np.errstate(divide="ignore"):
-                        values = np.where(values > 0, np.round(np.log(np.maximum(values, 1e-300)), 9), -1e9)
+                    values = np.where(values > 0, np.round(np.log(np.maximum(values, 1e-300)), 9), -1e9)
                 best.setdefault((int(c), int(b)), _Best(width, k)).add(values, group["node"].to_numpy(dtype=object))
         for (c, b), found in best.items():
             n, m = found.scores.shape
-            slot = np.repeat(np.arange(n), m) + b * width
-            live = slot < len(shared.value)
-            level = found.scores.reshape(-1)[live]
+            slot = np.repeat(np.arange(n), m)
+            live = slot + b * width < len(shared.value)
             yield pd.DataFrame({
-                "client_id": c, "qid": [shared.value[s] for s in slot[live]], "passage_id": found.keys.reshape(-1)[live],
-                "level": level, "score": np.where(level > -1e8, np.exp(level), 0.0) if relative else level,
+                "client_id": c, "block": b, "slot": slot[live], "qid": [shared.value[s] for s in slot[live] + b * width],
+                "node": found.keys.reshape(-1)[live], "level": found.scores.reshape(-1)[live],
             })
 
     found = wide.select("client_id", "block", "node", *names).mapInPandas(partial, schema)
-    return top_k(found, ["client_id", "qid"], [F.col("level").desc(), F.col("passage_id")], k).drop("level")
+    winners = top_k(found, ["client_id", "qid"], [F.col("level").desc(), F.col("node")], k)
+    # the few winning rows fetch their unrounded scores
+    return winners.join(wide.select("client_id", "block", "node", F.array(*names).alias("values")), ["client_id", "block", "node"]).select(
+        "client_id", "qid", F.col("node").alias("passage_id"), F.get("values", F.col("slot")).alias("score"), "rank")
 
 
 def column_totals(wide: DataFrame, batch: QuestionBatch) -> DataFrame:
