@@ -35,7 +35,7 @@ def question_entities(spark, sf):
 
 
 def seed_entities(spark, sf):
-    return _retriever(spark, sf).seeds(base.questions(spark, sf)).select("client_id", "qid", "mention", "entity_id", *rounded("score"))
+    return _retriever(spark, sf).seeds(base.questions(spark, sf)).select("client_id", "qid", "mention", "entity_id", *rounded("score", digits=9))
 
 
 def dense_passages(spark, sf):
@@ -43,8 +43,8 @@ def dense_passages(spark, sf):
     r = _retriever(spark, sf)
     q = _question_vectors(spark, sf).withColumn("client_id", F.explode(F.array(*[F.lit(c) for c in range(CLIENTS)])))
     v = r.graph.passages.select("client_id", "passage_id", base.encoder()(F.col("text")).alias("x"))
-    best = top_k_dot(q, v, 10, query_key="qid", vector_key="passage_id")
-    return min_max(best, ["client_id", "qid"], "score", "scaled").select("client_id", "qid", "passage_id", "rank", *rounded("score", "scaled"))
+    best = top_k_dot(q, v, 10, query_key="qid", vector_key="passage_id").withColumn("score", F.round("score", 9))
+    return min_max(best, ["client_id", "qid"], "score", "scaled").select("client_id", "qid", "passage_id", "rank", "score", *rounded("scaled"))
 
 
 def _spread(spark, sf, mode):
@@ -253,17 +253,17 @@ _TOP5 = "top5 AS (SELECT * FROM (SELECT client_id, qid, passage_id, row_number()
 
 _GLOBAL = f"""n AS (SELECT vec_id AS node_id, label % 3 AS node_type, [x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 7),
-s AS (SELECT q.node_id AS qid, n.node_id, round(list_dot_product(q.v, n.v), 9) AS score FROM n q, n),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS rank FROM s),
+s AS (SELECT q.node_id AS qid, n.node_id, list_dot_product(q.v, n.v) AS score FROM n q, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, node_id) AS rank FROM s),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 k AS (SELECT qid, node_id FROM r WHERE rank <= 4 UNION SELECT qid, dst FROM r JOIN u ON u.src = r.node_id WHERE rank <= 4)"""
 
 SQL = {
     "question_entities": f"WITH {_Q_MENTIONS} SELECT qid, entity FROM q_men",
-    "seed_entities": f"WITH {_SEEDS} SELECT client_id, qid, mention, entity_id, round(score, 6) + 0.0 AS score FROM seeds",
+    "seed_entities": f"WITH {_SEEDS} SELECT client_id, qid, mention, entity_id, round(score, 9) + 0.0 AS score FROM seeds",
     "dense_passages": f"""WITH {base.PASSAGES}, {_QVEC}, {_DENSE},
         r AS (SELECT *, row_number() OVER (PARTITION BY client_id, qid ORDER BY s DESC, passage_id) AS rank FROM dense), t AS (SELECT * FROM r WHERE rank <= 10)
-        SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(s, 6) + 0.0 AS score,
+        SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, s AS score,
         round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 6) + 0.0 AS scaled
         FROM t WINDOW w AS (PARTITION BY client_id, qid)""",
     "spread_weights": f"WITH {_SPREAD} SELECT client_id, qid, entity_id, round(weight, 6) + 0.0 AS weight FROM spread_weights",
@@ -292,6 +292,6 @@ SQL = {
     "global_seeds": f"WITH {_GLOBAL} SELECT qid, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 16",
     "global_subgraph": f"""WITH {_GLOBAL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY node_id) - 1 AS i FROM k)
         SELECT a.qid, a.i AS src, b.i AS dst, e.weight FROM e JOIN l a ON a.node_id = e.src JOIN l b ON b.node_id = e.dst AND b.qid = a.qid""",
-    "global_subgraph_capped": f"""WITH {_GLOBAL}, c AS (SELECT k.qid, k.node_id, row_number() OVER (PARTITION BY k.qid ORDER BY s.score DESC, k.node_id) AS p FROM k JOIN s ON s.qid = k.qid AND s.node_id = k.node_id)
+    "global_subgraph_capped": f"""WITH {_GLOBAL}, c AS (SELECT k.qid, k.node_id, row_number() OVER (PARTITION BY k.qid ORDER BY round(s.score, 9) DESC, k.node_id) AS p FROM k JOIN s ON s.qid = k.qid AND s.node_id = k.node_id)
         SELECT c.qid, c.node_id, row_number() OVER (PARTITION BY c.qid ORDER BY c.node_id) - 1 AS local_id, n.node_type FROM c JOIN n ON n.node_id = c.node_id WHERE p <= 10""",
 }

@@ -23,36 +23,37 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 class _Best:
-    """Running k best (score, key) per query row; ties go to the smaller key."""
+    """Running k best (score, key) per query row. Scores are compared to 9 digits, so summation order
+    cannot reorder near-equal rows; ties go to the smaller key. The unrounded score is kept."""
 
     def __init__(self, rows: int, k: int):
         self.k = k
         self.scores = np.empty((rows, 0))
-        self.keys: list[np.ndarray] | np.ndarray = np.empty((rows, 0), dtype=object)
+        self.keys = np.empty((rows, 0), dtype=object)
 
     def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        n = scores.shape[1]
+        level = np.round(scores, DIGITS) + 0.0
+        n = level.shape[1]
         if n > self.k:
             # everything tied with the k-th score stays in, so the key order can settle it
-            kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
+            kth = np.partition(level, n - self.k, axis=1)[:, n - self.k]
             if self.scores.shape[1] >= self.k:
-                kth = np.maximum(kth, self.scores.min(axis=1))
-            useful = (scores >= kth[:, None]).any(axis=0)
+                kth = np.maximum(kth, np.round(self.scores.min(axis=1), DIGITS))
+            useful = (level >= kth[:, None]).any(axis=0)
             scores, keys = scores[:, useful], keys[useful]
-        all_scores = np.concatenate([self.scores, scores], axis=1)
-        all_keys = np.concatenate([self.keys, np.broadcast_to(keys, (len(scores), len(keys)))], axis=1)
-        keep = min(self.k, all_scores.shape[1])
-        picked = np.empty((len(scores), keep), dtype=np.int64)
-        for r in range(len(scores)):
-            row = all_scores[r]
-            cand = np.arange(len(row))
-            if len(row) > keep:
-                cut = np.partition(row, len(row) - keep)[len(row) - keep]
-                cand = np.flatnonzero(row >= cut)
-            order = sorted(cand, key=lambda c: (-row[c], all_keys[r, c]))[:keep]
-            picked[r] = order
-        rows = np.arange(len(scores))[:, None]
-        self.scores, self.keys = all_scores[rows, picked], all_keys[rows, picked]
+        merged = np.concatenate([self.scores, scores], axis=1)
+        merged_keys = np.concatenate([self.keys, np.broadcast_to(keys, (len(scores), len(keys)))], axis=1)
+        level = np.round(merged, DIGITS) + 0.0
+        width = level.shape[1]
+        keep = min(self.k, width)
+        picked = np.empty((len(level), keep), dtype=np.int64)
+        cut = np.partition(level, width - keep, axis=1)[:, width - keep] if keep else None
+        for r in range(len(level) if keep else 0):
+            row = level[r]
+            names = merged_keys[r]
+            picked[r] = sorted(np.flatnonzero(row >= cut[r]), key=lambda c: (-row[c], names[c]))[:keep]
+        rows = np.arange(len(level))[:, None]
+        self.scores, self.keys = merged[rows, picked], merged_keys[rows, picked]
 
 
 def _emit(group, query_keys, best: _Best, skip_self: bool) -> pd.DataFrame:
@@ -72,8 +73,8 @@ def top_k_dot(queries: DataFrame, vectors: DataFrame, k: int, *, group: str = "c
               broadcast_bytes: int = BROADCAST_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The ``k`` vectors with the largest inner product for every query of the same group.
 
-    Returns (group, query_key, vector_key, score, rank). Scores are rounded to 9 digits before
-    ranking, so summation order cannot reorder near-equal rows; ties go to the smaller key.
+    Returns (group, query_key, vector_key, score, rank). Scores are compared to 9 digits, ties go to
+    the smaller key.
 
     If the query side is within ``broadcast_bytes`` every task multiplies its vectors by all queries
     and forwards k rows per query. Beyond it, both sides are cut into hash cells and each cell pair
@@ -110,7 +111,7 @@ def top_k_dot(queries: DataFrame, vectors: DataFrame, k: int, *, group: str = "c
                     hit = shared.value.get(int(g))
                     if hit is None:
                         continue
-                    scores = np.round(hit[1] @ _matrix(part["v"]).T, DIGITS) + 0.0
+                    scores = hit[1] @ _matrix(part["v"]).T
                     best.setdefault(int(g), _Best(len(hit[0]), inner_k)).add(scores, part["vk"].to_numpy(dtype=object))
             for g, found in best.items():
                 yield _emit(g, shared.value[g][0], found, skip_self)
@@ -129,13 +130,13 @@ def top_k_dot(queries: DataFrame, vectors: DataFrame, k: int, *, group: str = "c
             if left.empty or right.empty:
                 return pd.DataFrame({"grp": [], "query_key": [], "vector_key": [], "score": []})
             found = _Best(len(left), inner_k)
-            scores = np.round(_matrix(left["v"]) @ _matrix(right["v"]).T, DIGITS) + 0.0
+            scores = _matrix(left["v"]) @ _matrix(right["v"]).T
             found.add(scores, right["vk"].to_numpy(dtype=object))
             return _emit(int(left["grp"].iloc[0]), left["qk"].to_numpy(dtype=object), found, skip_self)
 
         partial = ql.groupBy("grp", "qc", "vc").cogroup(vl.groupBy("grp", "qc", "vc")).applyInPandas(cell, schema)
 
-    best = top_k(partial, ["grp", "query_key"], [F.col("score").desc(), F.col("vector_key")], k)
+    best = top_k(partial, ["grp", "query_key"], [F.round("score", DIGITS).desc(), F.col("vector_key")], k)
     return best.select(
         F.col("grp").cast(queries.schema[group].dataType).alias(group),
         F.col("query_key").alias(query_key if query_key != vector_key else "query_key"),

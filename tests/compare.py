@@ -18,6 +18,7 @@ def connect(sf_dir: str):
     import duckdb
 
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '4GB'")
     for path in sorted(Path(sf_dir).glob("*.parquet")):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
