@@ -1,2 +1,186 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Federated aggregation and global graph queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.vectors import sum_vectors
+from ..operators import federate as fed
+from ..operators import gnn
+from ..operators import surrogate as su
+from ..session import spread as spread_out
+from .base import rounded, table
+from .graphs import _nation_graph
+
+
+def _client_weights(spark, sf):
+    """Mean embedding per label as client weights: a projector for all clients, an encoder for half of them."""
+    m = sum_vectors(table(spark, sf, "embeddings"), ["label"], "embedding", 64, name="x", mean=True, extra=[F.count(F.lit(1)).alias("n")])
+    rows = m.select(F.col("label").alias("client_id"), "n", F.posexplode("x").alias("idx", "value"))
+    projector = rows.select("client_id", F.lit("projector").alias("module"), F.lit("weight").alias("param"), F.col("idx").cast("bigint").alias("idx"), "value")
+    encoder = projector.where("client_id < 5").withColumn("module", F.lit("graph_encoder")).withColumn("value", F.col("value") * 2.0)
+    clients = m.select(F.col("label").alias("client_id"), F.col("n").alias("num_samples"), (F.pmod("label", F.lit(3)) != 0).alias("sampled"))
+    return projector.unionByName(encoder), clients
+
+
+def federated_average(spark, sf):
+    w, c = _client_weights(spark, sf)
+    return fed.federated_average(w, c).select("module", "param", "idx", *rounded("value"))
+
+
+def weighted_gradient_mean(spark, sf):
+    w, c = _client_weights(spark, sf)
+    g = w.where("module = 'projector'").select("client_id", "param", "idx", "value")
+    return fed.weighted_gradients(g, c.select("client_id", F.col("num_samples").alias("n"))).select("param", "idx", *rounded("value"))
+
+
+def gradient_match(spark, sf):
+    """Match loss between the mean vectors of the even and the odd labels."""
+    e = table(spark, sf, "embeddings").select(F.pmod("label", F.lit(2)).alias("side"), "embedding")
+    m = sum_vectors(e, ["side"], "embedding", 64, name="x", mean=True).select("side", F.posexplode("x").alias("idx", "value")).withColumn("param", F.lit("w"))
+    left, right = m.where("side = 0").drop("side"), m.where("side = 1").drop("side")
+    return fed.gradient_match(left, right, 0.5).select(*rounded("loss", digits=9))
+
+
+def _vector_graph(spark, sf):
+    """Embeddings of two clients as anchor graphs; neighbours in id order are linked both ways."""
+    e = table(spark, sf, "embeddings").select(
+        F.pmod("vec_id", F.lit(2)).cast("int").alias("client_id"), F.floor(F.col("vec_id") / 2).cast("bigint").alias("node_id"),
+        F.pmod("label", F.lit(3)).cast("int").alias("node_type"), F.col("embedding").cast("array<double>").alias("x"))
+    ids = e.select("client_id", "node_id")
+    one = ids.select("client_id", F.col("node_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(3))).alias("step")).withColumn(
+        "dst", F.col("src") + F.col("step")).join(ids.select("client_id", F.col("node_id").alias("dst")), ["client_id", "dst"], "left_semi")
+    one = one.select("client_id", "src", "dst", (F.lit(1.0) / F.col("step")).alias("weight"))
+    from ..operators.graph import both_directions
+
+    return spread_out(e), both_directions(one).select("client_id", "src", "dst", "weight")
+
+
+def neighbour_spread(spark, sf):
+    """One normalised-adjacency product over the anchor graphs."""
+    n, e = _vector_graph(spark, sf)
+    s = su.spread(n, su.normalised_adjacency(n, e), "x", 64, "y")
+    return s.select("client_id", "node_id", F.posexplode("y").alias("i", "value")).select("client_id", "node_id", F.col("i").cast("bigint").alias("i"), *rounded("value"))
+
+
+def anchor_gradients(spark, sf):
+    """Surrogate gradients over all clients (random weights and negatives; tests compare with a dense computation)."""
+    n, e = _vector_graph(spark, sf)
+    return su.anchor_gradients(n, e, su.init_layers(64, 16, 3, 2, seed=1)).select("param", "idx", *rounded("value"))
+
+
+def surrogate_losses(spark, sf):
+    n, e = _vector_graph(spark, sf)
+    return su.surrogate_loss(n, e, su.init_layers(64, 16, 3, 2, seed=1)).select("client_id", "n", *rounded("loss", "type_loss", "link_loss", "type_accuracy"))
+
+
+def graph_convolution(spark, sf):
+    """Two-layer convolution with fixed cosine weights."""
+    n, e = _vector_graph(spark, sf)
+    w1 = np.cos(np.arange(8 * 64, dtype=np.float64)).reshape(8, 64) / 8.0
+    w2 = np.cos(np.arange(4 * 8, dtype=np.float64)).reshape(4, 8) / 2.0
+    out = gnn.encode(n, e, [gnn.Layer(w1), gnn.Layer(w2)], "gcn")
+    return out.select("client_id", "node_id", F.posexplode("x").alias("i", "value")).select("client_id", "node_id", F.col("i").cast("bigint").alias("i"), *rounded("value"))
+
+
+def alignment_loss(spark, sf):
+    """Reconstruction of every embedding from the label means."""
+    e = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("h"))
+    g = sum_vectors(table(spark, sf, "embeddings"), ["label"], "embedding", 64, name="h", mean=True).withColumnRenamed("label", "node_id")
+    return su.alignment_loss(e, g).select(*rounded("loss"))
+
+
+def diversity_penalty(spark, sf):
+    """Mean absolute cosine between the label means, even and odd labels apart."""
+    g = sum_vectors(table(spark, sf, "embeddings"), ["label"], "embedding", 64, name="x", mean=True)
+    return su.diversity_penalty(g.select(F.pmod("label", F.lit(2)).cast("int").alias("client_id"), "x")).select("client_id", *rounded("loss"))
+
+
+def degree_penalty(spark, sf):
+    n, e = _vector_graph(spark, sf)
+    return su.degree_penalty(n, e, 2.5).select(*rounded("loss"))
+
+
+def average_degree(spark, sf):
+    n, e = _nation_graph(spark, sf)
+    return fed.average_degree(n, e.where("src <> dst")).select(*rounded("target_degree"))
+
+
+def node_type_counts(spark, sf):
+    n, _ = _vector_graph(spark, sf)
+    return fed.type_counts(n).select("node_type", "n")
+
+
+def initial_global_graph(spark, sf):
+    """Synthetic start nodes per type (seeded draws)."""
+    n, _ = _vector_graph(spark, sf)
+    g = fed.initial_global_nodes(n.withColumnRenamed("node_id", "core_id"), 32, 64, seed=3)
+    return g.select("node_id", "node_type", F.round(F.element_at("x", 1), 6).alias("first"))
+
+
+def round_pool(spark, sf):
+    """Training pool of one round: up to 20 documents per client."""
+    d = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(3)).cast("int").alias("client_id"), F.col("doc_id").alias("idx"))
+    return fed.sample_pool(d, 20, seed=5, round_no=2)
+
+
+def masked_prompts(spark, sf):
+    """Prompt vectors when only the evidence graph is shown."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
+    ze, zc = fed.masked_prompt(F.col("z"), F.reverse("z"), "evidence_only")
+    return e.select("vec_id", F.round(F.aggregate(ze, F.lit(0.0), lambda s, v: s + v * v), 6).alias("evidence_norm"),
+                    F.round(F.aggregate(zc, F.lit(0.0), lambda s, v: s + v * v), 6).alias("condensed_norm"))
+
+
+QUERIES = {f.__name__: f for f in (
+    federated_average, weighted_gradient_mean, gradient_match, neighbour_spread, anchor_gradients, surrogate_losses, graph_convolution,
+    alignment_loss, diversity_penalty, degree_penalty, average_degree, node_type_counts, initial_global_graph, round_pool, masked_prompts)}
+
+_MEANS = "cell AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)"
+_MEAN_LISTS = f"{_MEANS}, means AS (SELECT label, list(v ORDER BY i) AS v FROM cell GROUP BY label)"
+_VG = """vn AS (SELECT CAST(vec_id % 2 AS INTEGER) AS client_id, vec_id // 2 AS node_id, CAST(label % 3 AS INTEGER) AS node_type, embedding::DOUBLE[] AS x FROM embeddings),
+one AS (SELECT a.client_id, a.node_id AS src, b.node_id AS dst, 1.0::DOUBLE / (b.node_id - a.node_id) AS weight FROM vn a JOIN vn b
+  ON b.client_id = a.client_id AND (b.node_id = a.node_id + 1 OR b.node_id = a.node_id + 3)),
+ve AS (SELECT * FROM one UNION ALL SELECT client_id, dst, src, weight FROM one),
+adj AS (SELECT * FROM ve UNION ALL SELECT client_id, node_id, node_id, 1.0 FROM vn),
+dg AS (SELECT client_id, src, sum(weight) AS d FROM adj GROUP BY ALL),
+na AS (SELECT a.client_id, a.src, a.dst, a.weight / sqrt(s.d * t.d) AS a FROM adj a JOIN dg s ON s.client_id = a.client_id AND s.src = a.src
+  JOIN dg t ON t.client_id = a.client_id AND t.src = a.dst)"""
+
+SQL = {
+    "federated_average": f"""WITH {_MEANS}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+        w AS (SELECT label, 'projector' AS module, i, v FROM cell UNION ALL SELECT label, 'graph_encoder', i, v * 2 FROM cell WHERE label < 5),
+        t AS (SELECT sum(n) AS t FROM n WHERE label % 3 <> 0)
+        SELECT module, 'weight' AS param, i - 1 AS idx, round(sum(v * n.n) / max(t.t), 6) + 0.0 AS value FROM w JOIN n ON n.label = w.label AND n.label % 3 <> 0, t GROUP BY module, i""",
+    "weighted_gradient_mean": """SELECT 'weight' AS param, i - 1 AS idx, round(avg(CAST(embedding[i] AS DOUBLE)), 6) + 0.0 AS value
+        FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i""",
+    "gradient_match": """WITH c AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) FILTER (label % 2 = 0) AS a, avg(CAST(embedding[i] AS DOUBLE)) FILTER (label % 2 = 1) AS b
+          FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i)
+        SELECT round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) + 0.5 * avg((a - b) * (a - b)), 9) AS loss FROM c""",
+    "neighbour_spread": f"""WITH {_VG} SELECT client_id, node_id, i - 1 AS i, round(sum(a * x[i]), 6) + 0.0 AS value FROM (
+        SELECT n.client_id, n.dst AS node_id, n.a, v.x, unnest(range(1, 65)) AS i FROM na n JOIN vn v ON v.client_id = n.client_id AND v.node_id = n.src) GROUP BY ALL""",
+    "graph_convolution": f"""WITH {_VG},
+        w1 AS (SELECT o, i, cos(CAST(o * 64 + i AS DOUBLE)) / 8.0 AS w FROM (SELECT unnest(range(8)) AS o), (SELECT unnest(range(64)) AS i)),
+        w2 AS (SELECT o, i, cos(CAST(o * 8 + i AS DOUBLE)) / 2.0 AS w FROM (SELECT unnest(range(4)) AS o), (SELECT unnest(range(8)) AS i)),
+        xs AS (SELECT client_id, node_id, unnest(range(64)) AS i, unnest(x) AS v FROM vn),
+        t1 AS (SELECT client_id, node_id, o, sum(v * w) AS v FROM xs JOIN w1 USING (i) GROUP BY ALL),
+        h1 AS (SELECT n.client_id, n.dst AS node_id, o, sum(a * v) AS v FROM na n JOIN t1 t ON t.client_id = n.client_id AND t.node_id = n.src GROUP BY ALL),
+        l1 AS (SELECT client_id, node_id, o AS i, greatest((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 0) AS v FROM h1 WINDOW w AS (PARTITION BY client_id, node_id)),
+        t2 AS (SELECT client_id, node_id, o, sum(v * w) AS v FROM l1 JOIN w2 USING (i) GROUP BY ALL)
+        SELECT n.client_id, n.dst AS node_id, o AS i, round(sum(a * v), 6) + 0.0 AS value FROM na n JOIN t2 t ON t.client_id = n.client_id AND t.node_id = n.src GROUP BY ALL""",
+    "alignment_loss": f"""WITH {_MEAN_LISTS}, z AS (SELECT e.vec_id, m.label, m.v, e.embedding::DOUBLE[] AS h, exp(list_dot_product(e.embedding::DOUBLE[], m.v) / 8.0) AS x FROM embeddings e, means m),
+        a AS (SELECT vec_id, h, v, x / sum(x) OVER (PARTITION BY vec_id) AS a FROM z),
+        r AS (SELECT vec_id, i, sum(a * v[i]) - any_value(h[i]) AS d FROM (SELECT *, unnest(range(1, 65)) AS i FROM a) GROUP BY vec_id, i)
+        SELECT round(sum(d * d) / count(DISTINCT vec_id), 6) AS loss FROM r""",
+    "diversity_penalty": f"""WITH {_MEAN_LISTS} SELECT CAST(a.label % 2 AS INTEGER) AS client_id,
+        round(avg(abs(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)))), 6) AS loss
+        FROM means a JOIN means b ON a.label % 2 = b.label % 2 AND a.label <> b.label GROUP BY 1""",
+    "degree_penalty": f"""WITH {_VG}, g AS (SELECT v.client_id, v.node_id, coalesce(sum(e.weight), 0) AS d FROM vn v LEFT JOIN ve e ON e.client_id = v.client_id AND e.src = v.node_id GROUP BY ALL)
+        SELECT round(avg((d - 2.5) * (d - 2.5)), 6) AS loss FROM g""",
+    "average_degree": """WITH f AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+        SELECT round(count(*) FILTER (a <> b)::DOUBLE / (SELECT count(*) FROM nation), 6) AS target_degree FROM f""",
+    "node_type_counts": "SELECT CAST(label % 3 AS INTEGER) AS node_type, count(*) AS n FROM embeddings GROUP BY 1",
+    "masked_prompts": """SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS evidence_norm, 0.0::DOUBLE AS condensed_norm FROM embeddings""",
+}
