@@ -60,5 +60,6 @@ def chunk_client(index: Column, num_clients: int) -> Column:
 
 
 def audit_id(node_id: Column) -> Column:
-    wide = node_id.cast("bigint") * F.lit(AUDIT_MULTIPLIER) + F.lit(AUDIT_INCREMENT)
-    return F.pmod(wide, F.lit(AUDIT_MODULUS).cast("bigint"))
+    """Linear congruence of the id; reduced first so that no id overflows a BIGINT."""
+    modulus = F.lit(AUDIT_MODULUS).cast("bigint")
+    return F.pmod(F.pmod(node_id.cast("bigint"), modulus) * F.lit(AUDIT_MULTIPLIER).cast("bigint") + F.lit(AUDIT_INCREMENT), modulus)
