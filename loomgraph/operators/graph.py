@@ -61,16 +61,18 @@ def sentence_links(mentions: DataFrame) -> DataFrame:
 def passage_weights(mentions: DataFrame, passages: DataFrame) -> DataFrame:
     """(client_id, passage_id, entity, occurrences, weight): share of an entity in its passage's mentions.
 
-    The per-passage total is aggregated once more from the counts instead of a window, so a passage
-    never has to fit one sort group; a passage whose counts are all zero gets weight 0.
+    The entities of one passage (bounded by its own text) are gathered first, so the text meets them
+    in one row instead of being copied to every pair, and the total needs no further shuffle. A
+    passage whose counts are all zero gets weight 0.
     """
-    pairs = mentions.select("client_id", "passage_id", "entity").distinct()
-    counted = pairs.join(passages, ["client_id", "passage_id"]).select(
-        "client_id", "passage_id", "entity", occurrences(F.col("text"), F.col("entity")).alias("occurrences")
-    )
-    totals = counted.groupBy("client_id", "passage_id").agg(F.sum("occurrences").alias("_total"))
-    share = F.when(F.col("_total") > 0, F.col("occurrences") / F.col("_total")).otherwise(F.lit(0.0))
-    return counted.join(totals, ["client_id", "passage_id"]).withColumn("weight", share).drop("_total")
+    gathered = mentions.groupBy("client_id", "passage_id").agg(F.collect_set("entity").alias("entities"))
+    counted = gathered.join(passages, ["client_id", "passage_id"]).select(
+        "client_id", "passage_id",
+        F.transform("entities", lambda e: F.struct(e.alias("entity"), occurrences(F.col("text"), e).alias("n"))).alias("counts"))
+    totals = counted.withColumn("total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c["n"]))
+    rows = totals.select("client_id", "passage_id", "total", F.explode("counts").alias("c"))
+    share = F.when(F.col("total") > 0, F.col("c.n") / F.col("total")).otherwise(F.lit(0.0))
+    return rows.select("client_id", "passage_id", "c.entity", F.col("c.n").alias("occurrences"), share.alias("weight"))
 
 
 def adjacent_passages(passages: DataFrame) -> DataFrame:
@@ -135,15 +137,34 @@ def graph_links(mentions: DataFrame) -> DataFrame:
     return se.unionByName(pe).distinct()
 
 
+def entity_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(client_id, other, entity, edge_type) by node id: every link once, from its sentence or passage."""
+    ids = nodes.select("client_id", "hash_id", "node_id")
+    others = ids.select("client_id", F.col("hash_id").alias("src"), F.col("node_id").alias("other"))
+    entities = nodes.where(F.col("node_type") == ENTITY).select("client_id", F.col("hash_id").alias("dst"), F.col("node_id").alias("entity"))
+    return links.join(others, ["client_id", "src"]).join(entities, ["client_id", "dst"]).select("client_id", "other", "entity", "edge_type")
+
+
+def edges_of(links: DataFrame) -> DataFrame:
+    """(client_id, src, dst, edge_type), both directions; a projection of the links."""
+    return both_directions(links.select("client_id", F.col("other").alias("src"), F.col("entity").alias("dst"), "edge_type")).select(
+        "client_id", "src", "dst", "edge_type")
+
+
+def neighbours_of(links: DataFrame) -> DataFrame:
+    """Neighbour table of the tripartite graph with entity_start / entity_end flags and the edge type.
+
+    Links are unique and always join an entity to a non-entity, so nothing has to be deduplicated."""
+    ends = F.explode(F.array(
+        F.struct(F.col("other").alias("a"), F.col("entity").alias("b"), F.lit(False).alias("s"), F.lit(True).alias("e")),
+        F.struct(F.col("entity").alias("a"), F.col("other").alias("b"), F.lit(True).alias("s"), F.lit(False).alias("e")))).alias("x")
+    return links.select("client_id", "edge_type", ends).select(
+        "client_id", F.col("x.a").alias("node_id"), F.col("x.b").alias("neighbour"), F.col("x.s").alias("entity_start"), F.col("x.e").alias("entity_end"), "edge_type")
+
+
 def graph_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(client_id, src, dst, edge_type) by node id, both directions."""
-    ids = nodes.select("client_id", "hash_id", "node_id")
-    numbered_links = (
-        links.join(ids.withColumnRenamed("hash_id", "src").withColumnRenamed("node_id", "src_id"), ["client_id", "src"])
-        .join(ids.withColumnRenamed("hash_id", "dst").withColumnRenamed("node_id", "dst_id"), ["client_id", "dst"])
-        .select("client_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "edge_type")
-    )
-    return both_directions(numbered_links).select("client_id", "src", "dst", "edge_type")
+    return edges_of(entity_links(nodes, links))
 
 
 # --- neighbourhoods and subgraphs ---------------------------------------------------------------
@@ -160,8 +181,12 @@ def degrees(neighbours: DataFrame) -> DataFrame:
 
 def typed_degrees(neighbours: DataFrame, nodes: DataFrame) -> DataFrame:
     """(client_id, node_id, deg_s, deg_p) for every entity, 0 where it has no such neighbour."""
-    types = nodes.select("client_id", F.col("node_id").alias("neighbour"), F.col("node_type").alias("_t"))
-    counts = neighbours.join(types, ["client_id", "neighbour"]).groupBy("client_id", "node_id").agg(
+    if "edge_type" in neighbours.columns:
+        typed = neighbours.where("entity_start").withColumn("_t", F.when(F.col("edge_type") == SENTENCE_ENTITY, SENTENCE).otherwise(PASSAGE))
+    else:
+        types = nodes.select("client_id", F.col("node_id").alias("neighbour"), F.col("node_type").alias("_t"))
+        typed = neighbours.join(types, ["client_id", "neighbour"])
+    counts = typed.groupBy("client_id", "node_id").agg(
         F.sum((F.col("_t") == SENTENCE).cast("int")).alias("deg_s"),
         F.sum((F.col("_t") == PASSAGE).cast("int")).alias("deg_p"),
     )

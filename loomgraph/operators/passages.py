@@ -22,7 +22,7 @@ from .ranking import top_k
 from .similarity import _Best
 
 MAX_QUESTIONS = 4096
-BLOCK = 32
+BLOCK = 16
 NEEDLE_BYTES = 32 * 1024 * 1024
 
 

@@ -49,14 +49,16 @@ class GraphIndex:
         return materialise(graph.graph_nodes(self.mentions, self.passages))
 
     @cached_property
+    def links(self) -> DataFrame:
+        return materialise(graph.entity_links(self.nodes, graph.graph_links(self.mentions)))
+
+    @property
     def edges(self) -> DataFrame:
-        return materialise(graph.graph_edges(self.nodes, graph.graph_links(self.mentions)))
+        return graph.edges_of(self.links)
 
-    @cached_property
+    @property
     def neighbours(self) -> DataFrame:
-        from ..operators.condense import mark_sides
-
-        return materialise(mark_sides(graph.undirected_neighbours(self.edges), self.nodes))
+        return graph.neighbours_of(self.links)
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -140,7 +140,7 @@ def test_wide_blocks(spark):
     rng = np.random.default_rng(2)
     q = spark.createDataFrame([(i, "when?", rng.standard_normal(4).tolist()) for i in range(70)], "qid int, question string, x array<double>")
     batch = ps.question_batch(q)
-    assert batch.width == 32 and batch.blocks == 3
+    assert batch.width == 16 and batch.blocks == 5
     p = spark.createDataFrame([(0, f"passage-{i}", rng.standard_normal(4).tolist()) for i in range(9)], "client_id int, hash_id string, x array<double>")
     got = {(r.qid, r["rank"]): (r.passage_id, r.score) for r in ps.best_passages(ps.dense_wide(p, batch), batch, 2, relative=False).collect()}
     assert len(got) == 140
