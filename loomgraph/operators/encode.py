@@ -42,16 +42,24 @@ def hash_encoder(dim: int = 384, digest: str = "blake2b") -> Encoder:
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, float]] = {}
+
+        def slots(tokens: list[str]) -> list[tuple[int, float]]:
+            if len(known) > 500_000:
+                known.clear()
+            for token in tokens:
+                if token not in known:
+                    known[token] = slot_of(token, dim)
+            return [known[token] for token in tokens]
+
         for texts in batches:
-            rows = np.zeros((len(texts), dim), dtype=np.float64)
-            for i, text in enumerate(texts):
-                for token in _WORD.findall((text or "").lower()):
-                    hit = known.get(token)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        hit = known[token] = slot_of(token, dim)
-                    rows[i, hit[0]] += hit[1]
+            hits, sizes = [], []
+            for text in texts:
+                found = slots(_WORD.findall((text or "").lower()))
+                hits.extend(found)
+                sizes.append(len(found))
+            flat = np.array(hits, dtype=np.float64).reshape(-1, 2)
+            cell = np.repeat(np.arange(len(sizes)), sizes) * dim + flat[:, 0].astype(np.int64)
+            rows = np.bincount(cell, weights=flat[:, 1], minlength=len(sizes) * dim).reshape(len(sizes), dim)
             norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
             yield pd.Series(list((rows / np.maximum(norms, 1e-12)).astype(np.float32)))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chunk_client, entity_key, passage_key, sentence_key, title_client
-from ..functions.text import occurrences, parse_chunk_index, title_of
+from ..functions.text import parse_chunk_index, title_of
+from .matching import automaton, occurrences
 from .ranking import hash_bucket, next_in_order, numbered
 
 ENTITY, SENTENCE, PASSAGE = 0, 1, 2
@@ -61,18 +66,27 @@ def sentence_links(mentions: DataFrame) -> DataFrame:
 def passage_weights(mentions: DataFrame, passages: DataFrame) -> DataFrame:
     """(client_id, passage_id, entity, occurrences, weight): share of an entity in its passage's mentions.
 
-    The entities of one passage (bounded by its own text) are gathered first, so the text meets them
-    in one row instead of being copied to every pair, and the total needs no further shuffle. A
+    The entities of one passage (bounded by its own text) are gathered and counted in a single pass
+    over the text; searching the text once per entity would be quadratic in the passage length. A
     passage whose counts are all zero gets weight 0.
     """
     gathered = mentions.groupBy("client_id", "passage_id").agg(F.collect_set("entity").alias("entities"))
-    counted = gathered.join(passages, ["client_id", "passage_id"]).select(
-        "client_id", "passage_id",
-        F.transform("entities", lambda e: F.struct(e.alias("entity"), occurrences(F.col("text"), e).alias("n"))).alias("counts"))
-    totals = counted.withColumn("total", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c["n"]))
-    rows = totals.select("client_id", "passage_id", "total", F.explode("counts").alias("c"))
-    share = F.when(F.col("total") > 0, F.col("c.n") / F.col("total")).otherwise(F.lit(0.0))
-    return rows.select("client_id", "passage_id", "c.entity", F.col("c.n").alias("occurrences"), share.alias("weight"))
+    client = mentions.schema["client_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [occurrences(automaton(words), text) for words, text in zip(batch["entities"], batch["text"])]
+            sizes = batch["entities"].map(len).to_numpy()
+            n = [hits.get(w, 0) for hits, words in zip(found, batch["entities"]) for w in words]
+            total = np.repeat(np.array([sum(hits.values()) for hits in found], dtype=np.int64), sizes)
+            yield pd.DataFrame({
+                "client_id": np.repeat(batch["client_id"].to_numpy(), sizes), "passage_id": np.repeat(batch["passage_id"].to_numpy(), sizes),
+                "entity": [w for words in batch["entities"] for w in words], "occurrences": n,
+                "weight": np.array(n, dtype=np.float64) / np.maximum(total, 1),
+            })
+
+    return gathered.join(passages.select("client_id", "passage_id", "text"), ["client_id", "passage_id"]).mapInPandas(
+        count, f"client_id {client}, passage_id string, entity string, occurrences bigint, weight double")
 
 
 def adjacent_passages(passages: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ATTRIBUTE_KEYWORDS, is_attribute_query
 from ..functions.vectors import union_all
 from ..session import client_hint, materialise
+from .matching import automaton, occurrences
 from .ranking import top_k
 from .similarity import _Best
 
@@ -122,8 +123,6 @@ def entity_occurrences(passages: DataFrame, needles: DataFrame, needle_bytes: in
     in a single pass over a passage, so passages and needles are never paired up. A needle set
     beyond ``needle_bytes`` is split and searched part by part.
     """
-    import ahocorasick  # noqa: F401  fail on the driver if the automaton library is missing
-
     needles = needles.where("needle <> ''").distinct()
     size = needles.agg(F.coalesce(F.sum(F.octet_length("needle") + 64), F.lit(0)).alias("b")).head()["b"]
     parts = max(1, -(-int(size) // needle_bytes))
@@ -142,24 +141,13 @@ def _search(passages: DataFrame, by_client: dict[int, list[str]], client: str) -
     shared = passages.sparkSession.sparkContext.broadcast(by_client)
 
     def search(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automata: dict[int, object] = {}
+        machines = {c: automaton(words) for c, words in shared.value.items()}
         for batch in rows:
             out = []
             for c, pid, text in zip(batch["client_id"], batch["passage_id"], batch["text"]):
-                words = shared.value.get(c)
-                if not words:
-                    continue
-                machine = automata.get(c)
-                if machine is None:
-                    machine = ahocorasick.Automaton()
-                    for w in words:
-                        machine.add_word(w, w)
-                    machine.make_automaton()
-                    automata[c] = machine
-                for w in {hit for _, hit in machine.iter(text)}:
-                    out.append((c, pid, w, text.count(w)))
+                machine = machines.get(c)
+                if machine is not None:
+                    out.extend((c, pid, w, n) for w, n in occurrences(machine, text).items())
             yield pd.DataFrame(out, columns=["client_id", "passage_id", "needle", "n"])
 
     return passages.select("client_id", "passage_id", "text").mapInPandas(
