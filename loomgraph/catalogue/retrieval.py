@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import sum_vectors
 from ..operators import evidence as ev
 from ..operators import passages as ps
 from ..operators import propagate as pr
@@ -118,13 +119,14 @@ def anchor_map(spark, sf):
 
 
 def _global_graph(spark, sf):
-    """Embeddings as the global graph: neighbouring vector ids are linked, every tenth vector is a query."""
+    """Embeddings as the global graph: neighbouring vector ids are linked; the mean vector of every label is a query."""
     e = table(spark, sf, "embeddings").select(F.lit(0).alias("graph_id"), F.col("vec_id").alias("node_id"), F.pmod("label", F.lit(3)).alias("node_type"), F.col("embedding").alias("x"))
     ids = table(spark, sf, "embeddings").select("vec_id")
     edges = ids.select("vec_id", F.explode(F.array(F.lit(1), F.lit(7))).alias("step")).join(
         ids.select(F.col("vec_id").alias("dst")), F.col("vec_id") + F.col("step") == F.col("dst")).select(
         F.lit(0).alias("graph_id"), F.col("vec_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
-    queries = e.select("graph_id", F.col("node_id").alias("qid"), "x")
+    means = sum_vectors(table(spark, sf, "embeddings"), ["label"], "embedding", 64, mean=True)
+    queries = means.select(F.lit(0).alias("graph_id"), F.col("label").alias("qid"), "x")
     return queries, e, edges
 
 
@@ -253,7 +255,9 @@ _TOP5 = "top5 AS (SELECT * FROM (SELECT client_id, qid, passage_id, row_number()
 
 _GLOBAL = f"""n AS (SELECT vec_id AS node_id, label % 3 AS node_type, [x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 7),
-s AS (SELECT q.node_id AS qid, n.node_id, list_dot_product(q.v, n.v) AS score FROM n q, n),
+c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL),
+m AS (SELECT label AS qid, list(v ORDER BY i) AS v FROM c GROUP BY label),
+s AS (SELECT q.qid, n.node_id, list_dot_product(q.v, n.v) / sqrt(list_dot_product(q.v, q.v)) AS score FROM m q, n),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, node_id) AS rank FROM s),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 k AS (SELECT qid, node_id FROM r WHERE rank <= 4 UNION SELECT qid, dst FROM r JOIN u ON u.src = r.node_id WHERE rank <= 4)"""
@@ -292,6 +296,6 @@ SQL = {
     "global_seeds": f"WITH {_GLOBAL} SELECT qid, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 16",
     "global_subgraph": f"""WITH {_GLOBAL}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY node_id) - 1 AS i FROM k)
         SELECT a.qid, a.i AS src, b.i AS dst, e.weight FROM e JOIN l a ON a.node_id = e.src JOIN l b ON b.node_id = e.dst AND b.qid = a.qid""",
-    "global_subgraph_capped": f"""WITH {_GLOBAL}, c AS (SELECT k.qid, k.node_id, row_number() OVER (PARTITION BY k.qid ORDER BY round(s.score, 9) DESC, k.node_id) AS p FROM k JOIN s ON s.qid = k.qid AND s.node_id = k.node_id)
-        SELECT c.qid, c.node_id, row_number() OVER (PARTITION BY c.qid ORDER BY c.node_id) - 1 AS local_id, n.node_type FROM c JOIN n ON n.node_id = c.node_id WHERE p <= 10""",
+    "global_subgraph_capped": f"""WITH {_GLOBAL}, cap AS (SELECT k.qid, k.node_id, row_number() OVER (PARTITION BY k.qid ORDER BY round(s.score, 9) DESC, k.node_id) AS p FROM k JOIN s ON s.qid = k.qid AND s.node_id = k.node_id)
+        SELECT c.qid, c.node_id, row_number() OVER (PARTITION BY c.qid ORDER BY c.node_id) - 1 AS local_id, n.node_type FROM cap c JOIN n ON n.node_id = c.node_id WHERE p <= 10""",
 }
