@@ -18,6 +18,16 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return ranked if first == 1 else ranked.withColumn(rank, F.col(rank) + F.lit(first - 1))
 
 
+def top_k_salted(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_on: str, salts: int = 64, rank: str = "rank") -> DataFrame:
+    """``top_k`` for limits too large for a window group limit: rows are first ranked inside salted
+    parts of a key, so the last task of a hot key sorts at most (salts x k) rows."""
+    part = F.pmod(F.xxhash64(F.col(salt_on), F.lit(7)), F.lit(salts))
+    salted = df.withColumn("_salt", part)
+    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= k)
+    last = first.drop("_salt", "_r").withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return last.where(F.col(rank) <= k)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Contiguous 0-based numbers per key, in the order (bucket, order).
 
