@@ -70,10 +70,11 @@ def estimated_pairs(nodes: DataFrame, estimator: EdgeEstimator, preserve_types:
     ids = np.array([r["node_id"] for r in rows])
     types = np.array([r["node_type"] for r in rows], dtype=int)
     x = np.array([r["x"] for r in rows], dtype=np.float64)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, types, x, estimator))
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, types, x, estimator.types, estimator.layers))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, types, x, est = shared.value
+        ids, types, x, type_vectors, layers = shared.value
+        est = EdgeEstimator(type_vectors, layers)
         for batch in batches:
             for node, t, v in zip(batch["node_id"], batch["node_type"], batch["x"]):
                 other = ids > node
