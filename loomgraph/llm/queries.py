@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 from .common import table
 
 
@@ -10,5 +10,9 @@ def op6_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-SQL = {"op6_quality_rules": quality.digest_sql()}
+def op3_source_mix(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_source_mix": op3_source_mix, "op6_quality_rules": op6_quality_rules}
+SQL = {"op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
