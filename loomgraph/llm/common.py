@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,13 @@ def shuffle_parts(spark: SparkSession) -> int:
 def columns_of(df: DataFrame, names) -> DataFrame:
     """Only the named columns, in that order; further columns are dropped whatever they are called."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; the folder can be set by the environment."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
-from .common import table
+from . import mixing, quality, token_store
+from .common import table, tokenizer_path
+
+
+def op5_token_store(spark, sf_dir):
+    return token_store.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -14,5 +18,5 @@ def op3_source_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_source_mix": op3_source_mix, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules}
 SQL = {"op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
