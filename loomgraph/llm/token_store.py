@@ -37,7 +37,7 @@ MEMO = 300_000  # pieces remembered by a task
 SHARD_SCHEMA = ("part int, seq int, n_tokens bigint, alphabet binary, zeros array<int>, planes array<binary>, ranks array<binary>, "
                 "doc_ids array<bigint>, lengths array<int>")
 # fixed values: white space of either regular-expression engine, and control characters on which they differ
-UNSURE = r"\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
+UNSURE = r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 ODD = re.compile(f"[{UNSURE}] | [{UNSURE}]|^ | $")
 
 
