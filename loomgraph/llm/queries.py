@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, token_store
+from . import mixing, order_minhash, quality, token_store
 from .common import table, tokenizer_path
 
 
@@ -18,5 +18,9 @@ def op3_source_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules}
+def op7_order_minhash(spark, sf_dir):
+    return order_minhash.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash}
 SQL = {"op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
