@@ -94,7 +94,11 @@ def quality(docs: DataFrame, text: str = "text", out: str = "quality", rules=RUL
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` that break no rule, with the same columns."""
     mark = "quality verdict"
-    return quality(docs, out=mark, **options).where(F.col(f"`{mark}`")["kept"]).drop(mark)
+    judged = quality(docs, out=mark, **options)
+    # a filter on the verdict itself would be pushed below the projections, and the metrics be computed anew
+    # inside their own lambdas; a condition that is not deterministic stays where it is
+    kept = F.col(f"`{mark}`")["kept"] & (F.spark_partition_id() >= 0)
+    return judged.select("*", kept.alias(f"{mark} kept")).where(F.col(f"`{mark} kept`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

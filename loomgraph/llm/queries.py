@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, order_minhash, quality, token_store
+from . import mixing, order_minhash, quality, tiling, token_store
 from .common import table, tokenizer_path
 
 
@@ -22,5 +22,10 @@ def op7_order_minhash(spark, sf_dir):
     return order_minhash.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash}
+def op10_string_tiling(spark, sf_dir):
+    return tiling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
+           "op10_string_tiling": op10_string_tiling}
 SQL = {"op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
