@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, order_minhash, quality, tiling, token_store
-from .common import table, tokenizer_path
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from . import dialogue, mixing, order_minhash, quality, tiling, token_counts, token_store
+from .common import count_words, table, tokenizer_path
 
 
 def op5_token_store(spark, sf_dir):
@@ -14,6 +19,36 @@ def op6_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+PIECE = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+def op1_token_rollup(spark, sf_dir):
+    """Four batches over all documents: counts by words, removal of every tenth document, a new tokenizer
+    version (words and single stops) for every third that is left, and one batch sent again; then totals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    words = count_words(F.col("text"))
+    pieces = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(PIECE)).cast("bigint")
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}")
+    tenth, third = F.col("doc_id") % 10 == 0, F.col("doc_id") % 3 == 0
+    removed = token_counts.changes_of(docs.where(tenth), "delete", F.lit(0), "words", words, "words")
+    rollup.commit(1, token_counts.changes_of(docs, "insert", words, "words"))
+    rollup.commit(2, removed)
+    rollup.fold()
+    rollup.commit(3, token_counts.changes_of(docs.where(third & ~tenth), "revise", pieces, "pieces", words, "words"))
+    rollup.commit(2, removed)
+    return rollup.totals()
+
+
+OP1_SQL = r"""
+SELECT source, lang, CASE WHEN doc_id % 3 = 0 THEN 'pieces' ELSE 'words' END AS version, count(*)::BIGINT AS documents,
+       sum(len(regexp_extract_all(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]' ELSE '[^\x20\x09-\x0D]+' END)))::BIGINT AS tokens
+FROM documents WHERE doc_id % 10 <> 0 GROUP BY ALL"""
+
+
+def op2_perspective_rotation(spark, sf_dir):
+    return dialogue.digest(table(spark, sf_dir, "conversations"))
+
+
 def op3_source_mix(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +61,6 @@ def op10_string_tiling(spark, sf_dir):
     return tiling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
+QUERIES = {"op1_token_rollup": op1_token_rollup, "op2_perspective_rotation": op2_perspective_rotation, "op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
            "op10_string_tiling": op10_string_tiling}
-SQL = {"op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
+SQL = {"op1_token_rollup": OP1_SQL, "op2_perspective_rotation": dialogue.DIGEST_SQL, "op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
