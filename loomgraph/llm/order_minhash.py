@@ -4,13 +4,18 @@
    hash functions takes the ``picks`` labelled shingles of least value and keeps them in text order; the
    ordered tuple is one bucket key. Two texts share a key with a chance that follows both the share of equal
    shingles and their order, that is, edit similarity.
-2. Candidates. Equal texts are one node. In a bucket the node of least key is compared with all others; a
-   bucket's members that fail go on in finer buckets (their key joined with each other sketch) until none
-   is left, so no bucket is compared pair by pair, and no bucket or partner is capped.
+2. Candidates. Equal texts are one node. First the node of least key in a bucket is compared with all others,
+   so a group of copies of any size costs one pair per member. Members that this does not link are compared
+   among each other: a group's rows are cut into tiles of ``tile`` rows and each pair of tiles is one small
+   group. Pairs whose lengths or least values (one per hash function) rule similarity out are dropped before
+   any text is fetched.
 3. Verification. Word sequences are aligned within a band: edit distance by bit vectors along diagonals
    of at most (1 - similarity) * longer length; similarity is 1 - distance / longer length.
 4. Classes. Connected components of the verified links by alternating stars, as Spark joins.
 
+No bucket, partner or candidate is capped. A pair is missed only where no sketch agrees or fewer than ``agree``
+of the least values do: below one in 10**5 where 0.8 of the shingles are shared, 2 % at 0.5.
+
 Defined results: a null text is a class of its own; texts without a word are linked to equal texts only;
 equal texts (repeated rows included) share a class; a class is named by its least doc_id, null if it has
 none; an empty table gives no rows.
@@ -29,9 +34,11 @@ from ..session import materialise
 from .words import chunks, mixed, word_hashes
 
 SHINGLE = 5
-SKETCHES = 24
-PICKS = 2
+SKETCHES = 32
+PICKS = 3
 PERCENT = 80
+AGREE = 9  # of the least values of SKETCHES hash functions
+TILE = 2048
 FEW = 14  # values below the cut of a hash function expected per text
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(7)
@@ -63,11 +70,12 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[
     return values, owner
 
 
-def sketch(values: np.ndarray, owner: np.ndarray, texts: int, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
-    """Bucket keys (texts x sketches); rows of texts without shingles are zero."""
+def sketch(values: np.ndarray, owner: np.ndarray, texts: int, sketches: int = SKETCHES, picks: int = PICKS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys and least values (16 bits of each), texts x sketches; rows of texts without shingles are zero."""
     counts = np.bincount(owner, minlength=texts)
     need = np.minimum(counts, picks)
-    out = np.zeros((texts, sketches), np.uint64)
+    out, least = np.zeros((texts, sketches), np.uint64), np.zeros((texts, sketches), np.uint16)
+    held = np.concatenate((values, np.zeros(1, np.uint64)))
     cut = np.where(counts <= 4 * FEW, BIG, (float(1 << 63) * 2 * FEW / np.maximum(counts, 2 * FEW + 1)).astype(np.uint64))
     limit = np.repeat(cut, counts)
     for j in range(sketches):
@@ -84,13 +92,13 @@ def sketch(values: np.ndarray, owner: np.ndarray, texts: int, sketches: int = SK
         for p in range(picks):
             has = need > p
             place[has, p] = order[start[has] + p]
+        least[:, j] = mixed(held[place[:, 0]]) >> np.uint64(48)
         place.sort(axis=1)
-        held = np.concatenate((values, np.zeros(1, np.uint64)))
         key = np.full(texts, SEED[200 + j], np.uint64)
         for p in range(picks):
             key = mixed(key * WEIGHT[62] + held[place[:, p]])
         out[:, j] = np.where(counts > 0, key, np.uint64(0))
-    return out
+    return out, least
 
 
 def distance_within(a: list, b: list, most: int) -> bool:
@@ -151,7 +159,7 @@ def text_key(text):
 
 
 def sketched(rows: DataFrame, sketches: int, picks: int) -> DataFrame:
-    """(key, keys array<bigint>) of rows (key, text); texts without a word are left out."""
+    """(key, n words, least values, keys) of rows (key, text); texts without a word are left out."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,11 +167,52 @@ def sketched(rows: DataFrame, sketches: int, picks: int) -> DataFrame:
             for a, b in chunks(texts):
                 words, offsets = word_hashes(texts[a:b])
                 values, owner = shingles(words, offsets)
-                found = sketch(values, owner, b - a, sketches, picks).view(np.int64)
+                found, least = sketch(values, owner, b - a, sketches, picks)
                 some = np.flatnonzero(np.diff(offsets) > 0)
-                yield pd.DataFrame({"key": batch["key"].iloc[a:b].iloc[some].values, "keys": list(found[some])})
+                yield pd.DataFrame({"key": batch["key"].iloc[a:b].iloc[some].values, "n": np.diff(offsets)[some],
+                                    "least": [x.tobytes() for x in least[some]], "keys": list(found[some].view(np.int64))})
+
+    return rows.mapInPandas(work, "key binary, n int, least binary, keys array<bigint>")
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
+    """The pairs (a, b) with at least ``agree`` equal least values."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("x", "y"))
+            yield batch.loc[(x == y).sum(axis=1) >= agree, ["a", "b"]]
 
-    return rows.mapInPandas(work, "key binary, keys array<bigint>")
+    one, two = (nodes.select(F.col("key").alias(k), F.col("least").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(work, "a binary, b binary")
+
+
+def among(rest: DataFrame, percent: int, agree: int, tile: int) -> DataFrame:
+    """Candidate pairs (a, b) within the buckets of ``rest`` (bucket, key, n, least).
+
+    In a tile, and between two tiles, the first row takes all later rows that agree with it, then the first of
+    those that were not taken goes on: copies of one text give one pair each, unrelated texts none."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key"])
+        least = np.frombuffer(b"".join(group["least"]), np.uint16).reshape(len(group), -1)
+        n, keys, own = group["n"].to_numpy(), group["key"].to_numpy(), group["own"].to_numpy()
+        out, open_rows, one_tile = [], np.arange(len(group)), (group["one"] == group["two"]).iloc[0]
+        while len(open_rows) > 1:
+            head, others = open_rows[0], open_rows[1:]
+            near = 100 * np.minimum(n[others], n[head]) >= percent * np.maximum(n[others], n[head])
+            near &= (least[others] == least[head]).sum(axis=1) >= agree
+            if not one_tile:
+                near &= own[others] != own[head]
+            out += [(keys[head], keys[x]) for x in others[near]]
+            open_rows = others[~near]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.count("*").alias("c")).where("c > 1").drop("c")
+    dealt = rest.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = dealt.select("*", other.alias("other")).select("bucket", "key", "n", "least", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    return dealt.groupBy("bucket", "one", "two").applyInPandas(pairs, "a binary, b binary")
 
 
 def aligned(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
@@ -216,33 +265,25 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_links(rows: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, percent: int = PERCENT) -> DataFrame:
+def near_links(rows: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, percent: int = PERCENT, agree: int = AGREE, tile: int = TILE) -> DataFrame:
     """Verified links (a, b) between different texts of ``rows`` (key, text)."""
-    nodes = materialise(sketched(rows, sketches, picks).groupBy("key").agg(F.first("keys").alias("keys")))
-    members = nodes.select("key", F.explode("keys").alias("bucket"), F.lit(True).alias("open"))
-    links = words = tried = None
-    while True:
-        lead = members.groupBy("bucket").agg(F.min(F.when(F.col("open"), F.col("key"))).alias("b"), F.count("*").alias("n")).where("n > 1 AND b IS NOT NULL").drop("n")
-        grouped = materialise(members.join(lead, "bucket").where("key <> b").select("bucket", F.col("key").alias("a"), "b", "open"))
-        pairs = grouped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty() and grouped.isEmpty():
-            return links
-        if words is None:  # later pairs are made of the same texts
-            words = materialise(words_of_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        found = materialise(aligned(pairs, words, percent))
-        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
-        good = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("linked", F.lit(True))
-        judged = grouped.join(good, ["a", "b"], "left").select("bucket", "a", (F.col("open") & F.col("linked").isNull()).alias("open"))
-        live = judged.where("open").select("bucket").distinct()
-        rest = materialise(judged.join(live, "bucket", "left_semi"))
-        if rest.where("open").isEmpty():
-            return links
-        finer = rest.join(nodes.withColumnRenamed("key", "a"), "a").select("a", "open", "bucket", F.explode("keys").alias("other")).where("other <> bucket")
-        finer = finer.select(F.col("a").alias("key"), F.xxhash64("bucket", "other").alias("bucket"), "open")
-        members = finer.join(finer.where("open").select("bucket").distinct(), "bucket", "left_semi")
+    nodes = sketched(rows, sketches, picks).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "least", "keys")])
+    nodes = materialise(nodes)
+    members = nodes.select("key", "n", F.explode("keys").alias("bucket"))
+    lead = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    grouped = members.join(lead, "bucket").where(F.col("key") != F.col("head.key")).select("bucket", F.col("key").alias("b"), F.col("head.key").alias("a"), "n", F.col("head.n").alias("m"))
+    grouped = materialise(grouped)
+    pairs = grouped.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct()
+    first = materialise(agreeing(pairs, nodes, agree))
+    words = materialise(words_of_keys(rows, first.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    links = materialise(aligned(first, words, percent))
+
+    rest = grouped.join(links, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("key"))
+    several = rest.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    rest = rest.join(several, "bucket", "left_semi").join(nodes.select("key", "n", "least"), "key")
+    more = materialise(among(rest, percent, agree, tile).distinct().join(first, ["a", "b"], "left_anti"))
+    words = materialise(words_of_keys(rows, more.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    return links.unionByName(materialise(aligned(more, words, percent)))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
