@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import dialogue, mixing, order_minhash, quality, tiling, token_counts, token_store
+from . import context_mixing, dialogue, mixing, order_minhash, quality, run_index, secrets, tiling, token_counts, token_store
 from .common import count_words, table, tokenizer_path
 
 
+def op4_run_index(spark, sf_dir):
+    return run_index.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -57,10 +61,19 @@ def op7_order_minhash(spark, sf_dir):
     return order_minhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_context_mixing(spark, sf_dir):
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_forest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.weak_findings(secrets.candidates(docs))))
+
+
 def op10_string_tiling(spark, sf_dir):
     return tiling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_rollup": op1_token_rollup, "op2_perspective_rotation": op2_perspective_rotation, "op3_source_mix": op3_source_mix, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
-           "op10_string_tiling": op10_string_tiling}
+QUERIES = {"op1_token_rollup": op1_token_rollup, "op2_perspective_rotation": op2_perspective_rotation, "op3_source_mix": op3_source_mix, "op4_run_index": op4_run_index, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
+           "op8_context_mixing": op8_context_mixing, "op9_secret_forest": op9_secret_forest, "op10_string_tiling": op10_string_tiling}
 SQL = {"op1_token_rollup": OP1_SQL, "op2_perspective_rotation": dialogue.DIGEST_SQL, "op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql()}
