@@ -170,7 +170,7 @@ def sketched(rows: DataFrame, sketches: int, picks: int) -> DataFrame:
                 found, least = sketch(values, owner, b - a, sketches, picks)
                 some = np.flatnonzero(np.diff(offsets) > 0)
                 yield pd.DataFrame({"key": batch["key"].iloc[a:b].iloc[some].values, "n": np.diff(offsets)[some],
-                                    "least": [x.tobytes() for x in least[some]], "keys": list(found[some].view(np.int64))})
+                                    "least": pd.Series([x.tobytes() for x in least[some]], dtype=object), "keys": pd.Series(list(found[some].view(np.int64)), dtype=object)})
 
     return rows.mapInPandas(work, "key binary, n int, least binary, keys array<bigint>")
 
@@ -241,7 +241,7 @@ def words_of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
                 words, offsets = word_hashes(texts[a:b])
-                yield pd.DataFrame({"key": batch["key"].iloc[a:b].values, "words": np.split(words.view(np.int64), offsets[1:-1])})
+                yield pd.DataFrame({"key": batch["key"].iloc[a:b].values, "words": pd.Series(np.split(words.view(np.int64), offsets[1:-1]), dtype=object)})
 
     wanted = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     return wanted.mapInPandas(work, "key binary, words array<bigint>")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .order_minhash import text_key
-from .words import INVERSE, PRIME, mixed
+from .words import PRIME, mixed, powers
 
 LENGTH = 400
 GRAM = 32
@@ -41,15 +41,14 @@ SHARD_BYTES = 600_000
 MANY = 256  # different pieces of a pick from which it is split
 PART = 24  # window places of a part of a split pick
 SEPARATOR = 255  # never occurs in UTF-8
-_up, _down = (np.cumprod(np.full(STRETCH + 1, p, np.uint64)) for p in (PRIME, INVERSE))
 
 
 def sums_of(data: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _up[:len(data)])))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][:len(data)])))
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return mixed((sums[stop] - sums[start]) * _down[start])
+    return mixed((sums[stop] - sums[start]) * powers(len(sums))[1][start])
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:

@@ -17,12 +17,15 @@ larger than ``shard_tokens`` and its last document.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,57 +36,121 @@ from .common import shuffle_parts
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits between two rank samples
-MEMO = 300_000  # pieces remembered by a task
+MEMO = 60_000  # pieces, and words, in each of the two generations that a worker remembers
 SHARD_SCHEMA = ("part int, seq int, n_tokens bigint, alphabet binary, zeros array<int>, planes array<binary>, ranks array<binary>, "
                 "doc_ids array<bigint>, lengths array<int>")
 # fixed values: white space of either regular-expression engine, and control characters on which they differ
 UNSURE = r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 ODD = re.compile(f"[{UNSURE}] | [{UNSURE}]|^ | $")
+RARE = re.compile("[" + UNSURE.replace(r"\x00-\x20", r"\x00-\x09\x0b-\x1f") + "]")
+# letters of Latin alphabets, then stops: runs that the vocabulary takes as they are
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
 class PieceEncoder:
-    """ids of a text as little-endian unsigned 32-bit bytes; pieces between single blanks are encoded once."""
+    """ids of a text as little-endian unsigned 32-bit bytes. Pieces between single blanks and the words in
+    them are looked up; new words go to the library's model, other new pieces and odd texts through it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.line_end = self.ids(["\n"])[0]
+        self.pieces: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.runs: dict[str, bytes] = {}
+        self.older = {"": {}, " ": {}, "runs": {}}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def run(self, run: str) -> bytes:
+        """ids of one run that the vocabulary never splits before merging: letters, or stops, with its blank."""
+        found = self.runs.get(run)
+        if found is None and (found := self.older["runs"].get(run)) is not None:
+            self.runs[run] = found
+        if found is None:
+            coded = run.encode().decode("latin-1").translate(self.letters)
+            found = self.runs[run] = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        return found
+
+    def piece(self, piece: str, blank: str) -> bytes | None:
+        """ids of a piece made of words with stops on lines; None for any other piece."""
+        out = []
+        for k, line in enumerate(piece.split("\n")):
+            match = PLAIN.fullmatch(line)
+            if not match:
+                return None
+            word, stops = match.groups()
+            out += [self.line_end, self.run(word)] if k else [self.run(blank + word)]
+            if stops:
+                out.append(self.run(stops))
+        return b"".join(out)
+
+    def odd(self, text: str) -> bool:
+        """Whether a blank may not be a boundary somewhere, or a special token's text occurs."""
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+            return True
+        return bool(RARE.search(text) and ODD.search(text)) or any(x in text for x in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) + len(self.first) > MEMO:
-            self.first, self.rest = {}, {}
-        out, split, heads, tails = [b""] * len(texts), {}, set(), set()
+        if len(self.runs) > MEMO:
+            self.older["runs"], self.runs = self.runs, {}
+        for blank, memo in self.pieces.items():
+            if len(memo) > MEMO:
+                self.older[blank], self.pieces[blank] = memo, {}
+        out, split, new = [b""] * len(texts), {}, {"": set(), " ": set()}
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if ODD.search(t) or any(x in t for x in self.special):
+            if self.odd(t):
                 out[k] = self.ids([t])[0]
                 continue
             head, *tail = split[k] = t.split(" ")
-            heads.add(head)
-            tails.update(tail)
-        for memo, new, blank in ((self.first, heads, ""), (self.rest, tails, " ")):
-            new = [x for x in new if x not in memo]
-            for at in range(0, len(new), 2000):
-                some = new[at:at + 2000]
-                memo.update(zip(some, self.ids([blank + x for x in some]), strict=True))
+            new[""].add(head)
+            new[" "].update(tail)
+        for blank, memo in self.pieces.items():
+            whole = []
+            older = self.older[blank]
+            for x in new[blank].difference(memo):
+                found = older.get(x) or self.piece(x, blank)
+                if found is None:
+                    whole.append(x)
+                else:
+                    memo[x] = found
+            memo.update(zip(whole, self.ids([blank + x for x in whole]), strict=True))
+        first, rest = self.pieces[""], self.pieces[" "]
         for k, parts in split.items():
-            out[k] = self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+            out[k] = first[parts[0]] + b"".join(map(rest.__getitem__, parts[1:]))
         return out
 
 
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process: later tasks go on with what earlier ones have looked up."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_piece_encoders", {})
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
+
+
 def build_planes(symbols: np.ndarray, bits: int):
     """Planes (packed bits), zeros per plane and sampled ranks of a sequence of symbols below 2**bits."""
     planes, zeros, ranks = [], [], []
     for level in range(bits - 1, -1, -1):
-        bit = ((symbols >> level) & 1).astype(bool)
-        off = symbols[~bit]
+        bit = (symbols & symbols.dtype.type(1 << level)) != 0
+        off = symbols.take(np.flatnonzero(~bit))
         packed = np.packbits(bit, bitorder="little")
         full = np.zeros(-(-len(bit) // BLOCK) * BLOCK // 8, np.uint8)
         full[:len(packed)] = packed
@@ -91,7 +158,7 @@ def build_planes(symbols: np.ndarray, bits: int):
         planes.append(packed)
         zeros.append(len(off))
         ranks.append(np.concatenate(([0], np.cumsum(counts))).astype("<u4"))
-        symbols = np.concatenate((off, symbols[bit]))
+        symbols = np.concatenate((off, symbols.take(np.flatnonzero(bit))))
     return planes, zeros, ranks
 
 
@@ -194,20 +261,19 @@ class Shard:
 def shards_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row (SHARD_SCHEMA) per shard; (part, seq) is the order of the shards, that of ascending doc_id."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seq = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, seq = worker_encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, lengths, held, n = [], [], [], 0
         end = np.array([end_id], "<u4").tobytes()
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             row = {"part": part, "seq": seq, **pack_shard(np.frombuffer(b"".join(held), "<u4")), "doc_ids": ids, "lengths": lengths}
-            return pd.DataFrame([row])
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            texts = batch["text"].tolist()
-            keys = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            for at in range(0, len(texts), 256):
-                for key, coded in zip(keys[at:at + 256], encoder.encode([x or "" for x in texts[at:at + 256]]), strict=True):
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256).to_pydict()
+                for key, coded in zip(some["doc_id"], encoder.encode(some["text"]), strict=True):
                     held.append(coded + end)
                     ids.append(key)
                     lengths.append(len(coded) // 4 + 1)
@@ -218,10 +284,14 @@ def shards_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         if ids:
             yield shard()
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(SHARD_SCHEMA))
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("*", F.xxhash64("text").alias("th"))
     parts = rows.repartitionByRange(shuffle_parts(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "th").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th")
-    return parts.select("doc_id", "text").mapInPandas(encode, SHARD_SCHEMA)
+    return parts.select("doc_id", "text").mapInArrow(encode, SHARD_SCHEMA)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:

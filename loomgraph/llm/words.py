@@ -9,7 +9,6 @@ PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-_powers: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -17,11 +16,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SEGMENT)
-        _powers[:] = [np.cumprod(np.full(size, p, np.uint64)) for p in (PRIME, INVERSE)]
-    return _powers[0], _powers[1]
+class Powers:
+    """Powers of PRIME and of its inverse, kept per process and never sent along with a function."""
+
+    def __init__(self):
+        self.held: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.held is None or len(self.held[0]) < n:
+            up, down = (np.cumprod(np.full(max(n, SEGMENT + 1), p, np.uint64)) for p in (PRIME, INVERSE))
+            self.held = up, down
+        return self.held
+
+    def __reduce__(self):
+        return Powers, ()
+
+
+powers = Powers()
 
 
 def hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from loomgraph.llm import secrets
 def test_bits_make_a_distribution():
     """Over all words of one byte and the end, with longer words' first bytes, probabilities add up to one."""
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, (2, 2 << cm.TABLE_BITS)).astype(np.float32)
+    counts = rng.integers(0, 100, (2, 2 << cm.TABLE_BITS)).astype(np.uint8)
     model = cm.Model(counts, 1)
     model.refine(rng.random((2, cm.GATES * cm.BINS)) * 100)
     total = 0.0
