@@ -126,11 +126,12 @@ def round_pool(spark, sf):
 
 
 def masked_prompts(spark, sf):
-    """Prompt vectors when only the evidence graph is shown."""
+    """Norms of both prompt vectors in every mode that draws no noise."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
-    ze, zc = fed.masked_prompt(F.col("z"), F.reverse("z"), "evidence_only")
-    return e.select("vec_id", F.round(F.aggregate(ze, F.lit(0.0), lambda s, v: s + v * v), 6).alias("evidence_norm"),
-                    F.round(F.aggregate(zc, F.lit(0.0), lambda s, v: s + v * v), 6).alias("condensed_norm"))
+    norm = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6)
+    rows = [F.struct(F.lit(mode).alias("mode"), norm(ze).alias("evidence_norm"), norm(zc).alias("condensed_norm"))
+            for mode in ("both", "evidence_only", "condensed_only", "none") for ze, zc in [fed.masked_prompt(F.col("z"), F.slice("z", 1, 32), mode)]]
+    return e.select("vec_id", F.explode(F.array(*rows)).alias("r")).select("vec_id", "r.*")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -182,5 +183,8 @@ SQL = {
         JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
         SELECT round(count(*) FILTER (a <> b)::DOUBLE / (SELECT count(*) FROM nation), 6) AS target_degree FROM f""",
     "node_type_counts": "SELECT CAST(label % 3 AS INTEGER) AS node_type, count(*) AS n FROM embeddings GROUP BY 1",
-    "masked_prompts": """SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS evidence_norm, 0.0::DOUBLE AS condensed_norm FROM embeddings""",
+    "masked_prompts": """SELECT vec_id, mode,
+            CASE WHEN mode IN ('both', 'evidence_only') THEN round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) ELSE 0.0 END AS evidence_norm,
+            CASE WHEN mode IN ('both', 'condensed_only') THEN round(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]), 6) ELSE 0.0 END AS condensed_norm
+        FROM embeddings, (SELECT unnest(['both', 'evidence_only', 'condensed_only', 'none']) AS mode)""",
 }

@@ -47,7 +47,7 @@ def chunk_windows(tokens: Column, max_tokens: int = 64) -> Column:
 
 def parse_chunk_index(text: Column) -> Column:
     has_index = text.rlike(r"(?s)^\d+:")
-    return F.when(has_index, F.regexp_extract(text, r"(?s)^(\d+):", 1).cast("int")).otherwise(F.lit(-1))
+    return F.when(has_index, F.regexp_extract(text, r"(?s)^(\d+):", 1).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
 
 
 def parse_chunk_body(text: Column) -> Column:

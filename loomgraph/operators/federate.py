@@ -77,27 +77,21 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 
 
 def apportion(counts: list[int], total: int) -> list[int]:
-    """Split ``total`` by the type ratios: floors first, then one at a time to the largest shortfall."""
-    share = np.asarray(counts, dtype=np.float64)
-    if share.sum() == 0:
-        share[:] = 1.0
-    share = share / share.sum()
-    out = np.floor(share * total).astype(int)
-    while out.sum() < total:
-        out[int(np.argmax(share - out / max(total, 1)))] += 1
-    while out.sum() > total:
-        out[int(np.argmax(out))] -= 1
-    return out.tolist()
-
-
-def initial_global_nodes(anchors: DataFrame, total: int, dim: int, seed: int = 0, max_nodes: int = 4096) -> DataFrame:
+    """Split ``total`` by the type ratios with the largest remainders; equal ones in order of type."""
+    weights = np.asarray(counts, dtype=np.float64)
+    exact = total * (weights / weights.sum() if weights.any() else np.full(len(weights), 1 / len(weights)))
+    whole = np.floor(exact).astype(int)
+    ranked = np.argsort(whole - exact, kind="stable")
+    whole[ranked[:total - int(whole.sum())]] += 1
+    return whole.tolist()
+
+
+def initial_global_nodes(anchors: DataFrame, total: int, dim: int, seed: int = 0) -> DataFrame:
     """(node_id, node_type, x): ``total`` synthetic nodes drawn with replacement from the anchors of
     their type plus 0.01 noise; a type without anchors starts at 0.02 noise.
 
-    Only the draws (row numbers and noise, bounded by ``max_nodes``) come from the driver; the rows
-    are fetched by a join on distributed row numbers."""
-    if total > max_nodes:
-        raise ValueError(f"the global graph is limited to {max_nodes} nodes")
+    Only the draws (row numbers and noise, ``total`` of them) come from the driver; the rows are fetched
+    by a join on distributed row numbers."""
     spark = anchors.sparkSession
     counts = {r["node_type"]: r["n"] for r in type_counts(anchors).collect()}
     sizes = [int(counts.get(t, 0)) for t in range(3)]
@@ -129,23 +123,23 @@ def learning_rate(epoch: Column, base: float, warmup: float, epochs: float, floo
     return F.when(epoch < F.lit(float(warmup)), F.lit(float(base)) * epoch / F.lit(float(warmup or 1.0))).otherwise(cosine)
 
 
+# fixed values: names of the ablation modes, each with (evidence is shown, what stands for the condensed graph)
+PROMPT_MODES = {
+    "both": (True, "own"), "dual": (True, "own"), "shared": (True, "own"), "no_synthetic": (True, "own"),
+    "evidence_only": (True, "zero"), "ze_only": (True, "zero"), "z_e_only": (True, "zero"),
+    "condensed_only": (False, "own"), "zc_only": (False, "own"), "z_c_only": (False, "own"),
+    "random_condensed": (True, "noise"), "random_zc": (True, "noise"), "random_z_c": (True, "noise"),
+    "none": (False, "zero"), "text_only": (False, "zero"),
+}
+
+
 def masked_prompt(evidence: Column, condensed: Column, mode: str, seed: int = 0) -> tuple[Column, Column]:
-    """The two graph prompt vectors under an ablation mode."""
-    def zero(v: Column) -> Column:
-        return F.transform(v, lambda c: F.lit(0.0))
-
-    mode = mode.lower()
-    if mode in ("both", "dual", "shared", "no_synthetic"):
-        return evidence, condensed
-    if mode in ("evidence_only", "ze_only", "z_e_only"):
-        return evidence, zero(condensed)
-    if mode in ("condensed_only", "zc_only", "z_c_only"):
-        return zero(evidence), condensed
-    if mode in ("random_condensed", "random_zc", "random_z_c"):
-        return evidence, _noise_like(condensed, seed)
-    if mode in ("none", "text_only"):
-        return zero(evidence), zero(condensed)
-    raise ValueError(f"unsupported graph prompt mode: {mode}")
+    """The two graph prompt vectors under an ablation mode; ValueError for a name that is not one."""
+    if (name := mode.lower()) not in PROMPT_MODES:
+        raise ValueError(f"no such prompt mode: {mode}; known are {sorted(PROMPT_MODES)}")
+    shown, source = PROMPT_MODES[name]
+    form = {"own": lambda v: v, "zero": lambda v: F.transform(v, lambda c: F.lit(0.0)), "noise": lambda v: _noise_like(v, seed)}
+    return form["own" if shown else "zero"](evidence), form[source](condensed)
 
 
 def _noise_like(vector: Column, seed: int) -> Column:

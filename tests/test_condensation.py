@@ -47,12 +47,19 @@ def direct_pagerank(near, entities, iterations=20, d=0.85):
 def test_toy_scores(spark, toy):
     nodes, edges = toy
     nb = graph.undirected_neighbours(edges)
-    pool = an.entity_pool(nodes, nb, 50_000)
+    pool = an.entity_pool(nodes, nb, 0)
     pr = an.projection_pagerank(pool, nb, nodes)
     plain = {r.node_id: r.score for r in an.entity_scores(pool, nodes, nb, None).collect()}
     full = {r.node_id: r.score for r in an.entity_scores(pool, nodes, nb, pr).collect()}
-    assert plain == pytest.approx({0: 2.197225, 1: 2.197225}, abs=1e-6)
-    assert full == pytest.approx({0: 2.447225, 1: 2.447225}, abs=1e-6)
+    # two passages: ln(1 + dS) + ln(1 + dP) + ln(2 / (1 + dP))
+    want = {0: np.log(2) + np.log(2), 1: np.log(3) + np.log(2), 2: np.log(2) + np.log(2)}
+    assert plain == pytest.approx(want, abs=1e-6)
+    # 0 and 1 share a sentence and a passage, 1 and 2 a sentence
+    share = np.array([[0, 2 / 3, 0], [1, 0, 1], [0, 1 / 3, 0]])
+    rank = np.full(3, 1 / 3)
+    for _ in range(20):
+        rank = 0.15 / 3 + 0.85 * share @ rank
+    assert full == pytest.approx({k: v + 0.5 * rank[k] for k, v in want.items()}, abs=1e-6)
 
 
 @pytest.mark.parametrize("seed", [0, 1])

@@ -91,12 +91,12 @@ def test_two_hop_and_induced(spark, toy):
     nodes, edges = toy
     nb = graph.undirected_neighbours(edges)
     two = {(r.start, r.node_id) for r in graph.exact_two_hop(nb, nodes.where("node_type = 0")).collect()}
-    assert two == {(0, 1), (1, 0)}
-    kept = nodes.where("node_id in (0, 2, 3, 7)").select("client_id", "node_id")
+    assert two == {(0, 1), (1, 0), (1, 2), (2, 1)}
+    kept = nodes.where("node_id in (0, 1, 3, 6)").select("client_id", "node_id")
     inside = graph.induced_edges(edges, kept, ["client_id"])
     local, out = graph.relabelled(kept, inside, ["client_id"])
-    assert {r.node_id: r.local_id for r in local.collect()} == {0: 0, 2: 1, 3: 2, 7: 3}
-    assert {(r.src, r.dst) for r in out.collect()} == {(0, 1), (1, 0), (0, 2), (2, 0)}
+    assert {r.node_id: r.local_id for r in local.collect()} == {0: 0, 1: 1, 3: 2, 6: 3}
+    assert {(r.src, r.dst) for r in out.collect()} == {(0, 2), (2, 0), (1, 2), (2, 1)}
 
 
 def test_first_title_and_map(spark):

@@ -212,10 +212,10 @@ def test_global_subgraph(spark):
 
 def test_anchored_evidence(spark, toy):
     nodes, edges = toy
-    anchors = spark.createDataFrame([(0, 1, 5), (0, 1, -1), (0, 2, 7)], "client_id int, qid int, node_id bigint")
+    anchors = spark.createDataFrame([(0, 1, 5), (0, 1, -1), (0, 2, 6)], "client_id int, qid int, node_id bigint")
     kept = ev.anchored_nodes(anchors, edges)
-    assert {(r.qid, r.node_id) for r in kept.collect()} == {(1, 5), (1, 0), (2, 7), (2, 1)}
+    assert {(r.qid, r.node_id) for r in kept.collect()} == {(1, 5), (1, 0), (1, 1), (2, 6), (2, 2)}
     _, out = ev.evidence_graph(kept, nodes, edges)
-    assert {(r.qid, r.src, r.dst) for r in out.collect()} == {(1, 0, 1), (1, 1, 0), (2, 0, 1), (2, 1, 0)}
+    assert {(r.qid, r.src, r.dst) for r in out.collect()} == {(1, 0, 2), (1, 2, 0), (1, 1, 2), (1, 2, 1), (2, 0, 1), (2, 1, 0)}
     vectors = nodes.select("client_id", "node_id", F.array(F.col("node_id").cast("double")).alias("x"))
-    assert {r.qid: r.x for r in ev.mean_query(kept, vectors, 1).collect()} == {1: [2.5], 2: [4.0]}
+    assert {r.qid: r.x for r in ev.mean_query(kept, vectors, 1).collect()} == {1: [2.0], 2: [4.0]}

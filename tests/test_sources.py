@@ -18,15 +18,15 @@ def write(path, value):
 
 def test_multihop_file(spark, tmp_path):
     items = [{"_id": f"q{i}", "question": f"Q{i}?", "answer": f"A{i}", "type": "bridge", "level": "easy", "supporting_facts": [[f"T{i}", 0]],
-              "context": [[f"T{i}", [f"S{i}a.", "  ", f" S{i}b."]], ["Distractor", [f"D{i}."]]]} for i in range(3)]
+              "context": [[f"T{i}", [f"S{i}a.", "  ", f" S{i}b."]], ["Common ground", [f"D{i}."]]]} for i in range(3)]
     passages, questions = src.read_multihop(spark, write(tmp_path / "h.json", items))
     got = {r.title: r for r in passages.collect()}
-    assert set(got) == {"T0", "T1", "T2", "Distractor"}
-    assert got["Distractor"].sentences == ["D0."] and got["T1"].text == "Title: T1\nS1a.\nS1b."
+    assert set(got) == {"T0", "T1", "T2", "Common ground"}
+    assert got["Common ground"].sentences == ["D0."] and got["T1"].text == "Title: T1\nS1a.\nS1b."
     assert got["T1"].passage_id == hashlib.sha1(b"T1").hexdigest()
     q = {r.question_id: r for r in questions.collect()}
     assert q["q1"].supporting_facts[0].title == "T1" and q["q1"].supporting_facts[0].sent_idx == 0
-    assert q["q1"].passage_ids == [hashlib.sha1(t).hexdigest() for t in (b"T1", b"Distractor")]
+    assert q["q1"].passage_ids == [hashlib.sha1(t).hexdigest() for t in (b"T1", b"Common ground")]
     assert src.read_multihop(spark, str(tmp_path / "h.json"), max_samples=1)[1].count() == 1
     _, sentences = src.corpus_index(passages)
     assert sentences.count() == 7
@@ -71,7 +71,7 @@ def test_question_records(spark):
 
 
 def test_records_descriptions_and_splits(spark, tmp_path):
-    rows = [{"id": "q1", "question": "Who wrote the book?", "answer": "Ada", "retrieved_passages": ["p1"]}, {"_id": "q2", "question": "X", "label": "[\"A\", \"B\"]", "desc": " own "},
+    rows = [{"id": "r7", "question": "Which river turns the mill?", "answer": "Odra", "retrieved_passages": ["m3"]}, {"_id": "q2", "question": "X", "label": "[\"A\", \"B\"]", "desc": " own "},
             {"question": "Y", "answer": "Z"}, {"id": "q4", "question": "W", "answer": "V", "desc": "d"}]
     with pytest.raises(FileNotFoundError):
         rec.read_records(spark, str(tmp_path))
@@ -80,8 +80,8 @@ def test_records_descriptions_and_splits(spark, tmp_path):
     (tmp_path / "cached_desc" / "q4.txt").write_text("cached")
     records = rec.read_records(spark, str(tmp_path))
     got = {r.idx: r for r in rec.dataset_rows(records, rec.read_cached_descriptions(spark, str(tmp_path))).collect()}
-    assert got[0].question == "Question: Who wrote the book?\nAnswer: " and got[0].label == "ada"
-    assert got[0].desc == "\n\nRetrieved passages:\np1" and got[1].desc == "own" and got[2].desc == "" and got[3].desc == "cached"
+    assert got[0].question == "Question: Which river turns the mill?\nAnswer: " and got[0].label == "odra"
+    assert got[0].desc == "\n\nRetrieved passages:\nm3" and got[1].desc == "own" and got[2].desc == "" and got[3].desc == "cached"
     assert got[1].label == "a|b" and got[1].id == "q2" and got[2].id == "2"
     assert [r.split for r in sorted(rec.file_split(spark, str(tmp_path), records).collect(), key=lambda r: r.idx)] == ["train"] * 3 + ["test"]
     (tmp_path / "split").mkdir()
@@ -156,3 +156,12 @@ def test_cli_parser_and_plugins():
     with pytest.raises(SystemExit):
         _plugin(None, "generator")
     assert _plugin("json:dumps", "generator")([1]) == "[1]"
+
+
+def test_python_literals_and_large_indexes(spark):
+    texts = [repr([{"title": "T", "paragraph_text": "it's \"x\"", "is_supporting": False}, {"title": None, "paragraph_text": "True", "n": 1}]),
+             '[{"title": "J", "paragraph_text": "null", "s": true}]', "no list", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(src.literal_list(F.col("t"))).collect()]
+    assert [[tuple(d) for d in g] for g in got] == [[("T", "it's \"x\""), (None, "True")], [("J", "null")], [], []]
+    chunks = src.parse_chunks(spark.createDataFrame([("99999999999:foo",), ("0:a",), ("b",)], "text string")).collect()
+    assert [r.idx for r in chunks] == [99999999999, 0, -1]
