@@ -36,7 +36,7 @@ from .common import shuffle_parts
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512  # bits between two rank samples
-MEMO = 60_000  # pieces, and words, in each of the two generations that a worker remembers
+MEMO = 200_000  # pieces, and words, in each of the two generations that a worker remembers
 SHARD_SCHEMA = ("part int, seq int, n_tokens bigint, alphabet binary, zeros array<int>, planes array<binary>, ranks array<binary>, "
                 "doc_ids array<bigint>, lengths array<int>")
 # fixed values: white space of either regular-expression engine, and control characters on which they differ
@@ -75,26 +75,29 @@ class PieceEncoder:
 
     def run(self, run: str) -> bytes:
         """ids of one run that the vocabulary never splits before merging: letters, or stops, with its blank."""
-        found = self.runs.get(run)
-        if found is None and (found := self.older["runs"].get(run)) is not None:
-            self.runs[run] = found
+        found = self.older["runs"].get(run)
         if found is None:
-            coded = run.encode().decode("latin-1").translate(self.letters)
-            found = self.runs[run] = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+            coded = run if run.isascii() and run[0] != " " else run.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        self.runs[run] = found
         return found
 
     def piece(self, piece: str, blank: str) -> bytes | None:
         """ids of a piece made of words with stops on lines; None for any other piece."""
-        out = []
+        runs, out = self.runs, b""
         for k, line in enumerate(piece.split("\n")):
             match = PLAIN.fullmatch(line)
             if not match:
                 return None
             word, stops = match.groups()
-            out += [self.line_end, self.run(word)] if k else [self.run(blank + word)]
+            if k:
+                out += self.line_end
+            else:
+                word = blank + word
+            out += runs.get(word) or self.run(word)
             if stops:
-                out.append(self.run(stops))
-        return b"".join(out)
+                out += runs.get(stops) or self.run(stops)
+        return out
 
     def odd(self, text: str) -> bool:
         """Whether a blank may not be a boundary somewhere, or a special token's text occurs."""
