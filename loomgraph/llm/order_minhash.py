@@ -5,9 +5,10 @@
    ordered tuple is one bucket key. Two texts share a key with a chance that follows both the share of equal
    shingles and their order, that is, edit similarity.
 2. Candidates. Equal texts are one node. First the node of least key in a bucket is compared with all others,
-   so a group of copies of any size costs one pair per member. Members that this does not link are compared
-   among each other: a group's rows are cut into tiles of ``tile`` rows and each pair of tiles is one small
-   group. Pairs whose lengths or least values (one per hash function) rule similarity out are dropped before
+   so a group of copies of any size costs one pair per member. Members that the links so far leave in different
+   components are then compared with each other, those linked to the head included: a bucket's rows are cut into
+   tiles of ``tile`` rows and each pair of tiles is one small group. Rounds within and between tiles align
+   enough pairs to join copies with few; a last round aligns every agreeing pair still in two components. Pairs whose lengths or least values (one per hash function) rule similarity out are dropped before
    any text is fetched.
 3. Verification. Word sequences are aligned within a band: edit distance by bit vectors along diagonals
    of at most (1 - similarity) * longer length; similarity is 1 - distance / longer length.
@@ -187,31 +188,64 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(work, "a binary, b binary")
 
 
-def among(rest: DataFrame, percent: int, agree: int, tile: int) -> DataFrame:
-    """Candidate pairs (a, b) within the buckets of ``rest`` (bucket, key, n, least).
+def unsettled(members: DataFrame, links: DataFrame, tile: int) -> DataFrame:
+    """(bucket, key, root, major, majors, minors): the members of every bucket that ``links`` leave in several components.
 
-    In a tile, and between two tiles, the first row takes all later rows that agree with it, then the first of
-    those that were not taken goes on: copies of one text give one pair each, unrelated texts none."""
+    ``major`` marks the members of the bucket's largest component; a pair that is left has at most one of them.
+    ``majors`` and ``minors`` count the tiles of both kinds, 0 and 1 where the bucket fits one tile."""
+    held = members.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    per = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("roots")).where("roots > 1")
+    fits = F.col("c") <= tile
+    per = per.select("bucket", F.col("most.root").alias("most"), F.when(fits, 0).otherwise(F.ceil(F.col("most.c") / tile)).cast("int").alias("majors"),
+                     F.when(fits, 1).otherwise(F.ceil((F.col("c") - F.col("most.c")) / tile)).cast("int").alias("minors"))
+    return held.join(per, "bucket").select("bucket", "key", "root", (F.col("root") == F.col("most")).alias("major"), "majors", "minors")
+
+
+def among(held: DataFrame, nodes: DataFrame, percent: int, agree: int, step: str) -> DataFrame:
+    """Candidate pairs (a, b) of different components within the buckets of ``held`` (see ``unsettled``).
+
+    ``within`` and ``across`` give, within tiles or between two tiles, a forest: pairs enough to join whatever the
+    agreeing pairs could join, so a group of copies costs one pair per member. Alignment may reject pairs of it,
+    so ``all`` gives every agreeing pair that is left."""
+    forest = step != "all"
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key"])
         least = np.frombuffer(b"".join(group["least"]), np.uint16).reshape(len(group), -1)
         n, keys, own = group["n"].to_numpy(), group["key"].to_numpy(), group["own"].to_numpy()
-        out, open_rows, one_tile = [], np.arange(len(group)), (group["one"] == group["two"]).iloc[0]
-        while len(open_rows) > 1:
-            head, others = open_rows[0], open_rows[1:]
-            near = 100 * np.minimum(n[others], n[head]) >= percent * np.maximum(n[others], n[head])
-            near &= (least[others] == least[head]).sum(axis=1) >= agree
+        one_tile = (group["one"] == group["two"]).iloc[0]
+        label, size = np.unique(group["root"].to_numpy(), return_inverse=True, return_counts=True)[1:]
+        most, out = int(np.argmax(size)), []
+        done = np.zeros(len(group), bool)  # all pairs of these rows were seen
+        for row in np.flatnonzero(label != most) if len(size) > 1 else ():
+            done[row] = True
+            others = np.flatnonzero((label != label[row]) & ~done)
             if not one_tile:
-                near &= own[others] != own[head]
-            out += [(keys[head], keys[x]) for x in others[near]]
-            open_rows = others[~near]
+                others = others[own[others] != own[row]]
+            near = 100 * np.minimum(n[others], n[row]) >= percent * np.maximum(n[others], n[row])
+            near &= (least[others] == least[row]).sum(axis=1) >= agree
+            others = others[near]
+            if forest and len(others):
+                joined, first = np.unique(label[others], return_index=True)
+                others = others[first]
+                label[np.isin(label, joined)] = label[row]
+            out += [(keys[row], keys[x]) if keys[row] < keys[x] else (keys[x], keys[row]) for x in others]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.count("*").alias("c")).where("c > 1").drop("c")
-    dealt = rest.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("bucket", "key", "n", "least", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    hashed = F.xxhash64("key")
+    own = F.when(F.col("major") & (F.col("majors") > 0), F.col("minors") + F.pmod(hashed, F.col("majors"))).otherwise(F.pmod(hashed, F.col("minors"))).cast("int")
+    dealt = held.withColumn("own", own).join(nodes.select("key", "n", "least"), "key")
+    if step == "within":
+        dealt = dealt.where(F.col("own") < F.col("minors")).withColumn("other", F.col("own"))
+    else:
+        last = F.when(F.col("own") < F.col("minors"), F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int") - 1)))
+        if step == "across":
+            dealt = dealt.where("own <> other OR majors > 0")
+    dealt = dealt.select("bucket", "key", "root", "n", "least", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    if step == "across":
+        dealt = dealt.where("one <> two")
     return dealt.groupBy("bucket", "one", "two").applyInPandas(pairs, "a binary, b binary")
 
 
@@ -266,24 +300,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, percent: int = PERCENT, agree: int = AGREE, tile: int = TILE) -> DataFrame:
-    """Verified links (a, b) between different texts of ``rows`` (key, text)."""
+    """Verified links (a, b) between different texts of ``rows`` (key, text); they join all that the similar
+    pairs of equal buckets join, without each of these pairs."""
     nodes = sketched(rows, sketches, picks).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "least", "keys")])
     nodes = materialise(nodes)
     members = nodes.select("key", "n", F.explode("keys").alias("bucket"))
     lead = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    grouped = members.join(lead, "bucket").where(F.col("key") != F.col("head.key")).select("bucket", F.col("key").alias("b"), F.col("head.key").alias("a"), "n", F.col("head.n").alias("m"))
+    grouped = members.join(lead, "bucket").where(F.col("key") != F.col("head.key")).select("bucket", "c", F.col("key").alias("b"), F.col("head.key").alias("a"), "n", F.col("head.n").alias("m"))
     grouped = materialise(grouped)
     pairs = grouped.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct()
-    first = materialise(agreeing(pairs, nodes, agree))
-    words = materialise(words_of_keys(rows, first.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    links = materialise(aligned(first, words, percent))
-
-    rest = grouped.join(links, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("key"))
-    several = rest.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    rest = rest.join(several, "bucket", "left_semi").join(nodes.select("key", "n", "least"), "key")
-    more = materialise(among(rest, percent, agree, tile).distinct().join(first, ["a", "b"], "left_anti"))
-    words = materialise(words_of_keys(rows, more.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    return links.unionByName(materialise(aligned(more, words, percent)))
+    tested = materialise(agreeing(pairs, nodes, agree))
+    words = materialise(words_of_keys(rows, tested.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    links = materialise(aligned(tested, words, percent))
+
+    # the head of a bucket has been compared with all of it; linked or not, the others are partners of each other
+    others, held = grouped.where("c > 2").select("bucket", F.col("b").alias("key")), None
+    for step in ("within", "across", "all"):
+        if held is None:
+            held = materialise(unsettled(others, links, tile))
+        if step == "across" and held.where("minors + majors > 1").isEmpty():
+            continue
+        more = materialise(among(held, nodes, percent, agree, step).distinct().join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        words = materialise(words_of_keys(rows, more.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        links, tested, held = links.unionByName(materialise(aligned(more, words, percent))), tested.unionByName(more), None
+    return links
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -78,6 +78,29 @@ def test_tiles_give_the_same_pairs(spark):
     assert {r.doc_id: r.class_id for r in om.digest(frame, tile=3).collect()} == {i: i - i % 2 for i in range(40)}
 
 
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_copies_unlike_each_other(spark, tile):
+    """Copies with a passage inserted at different places are like the original and some others only; the classes are those of brute force."""
+    rng, texts = random.Random(31), []
+    for g in range(12):
+        base = prose(500 + g, 120).split()
+        texts.append(" ".join(base))
+        for c in range(9):
+            at, extra = rng.randrange(120), [f"x{g}y{c % 3}z{i}" for i in range(rng.randrange(20, 29))]
+            texts.append(" ".join(base[:at] + extra + base[at:]))
+    texts += [" ".join(t.split()[20:]) for t in texts[::5]]
+    texts = sorted(set(texts))
+    rng.shuffle(texts)
+    split, root = [t.lower().split() for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and om.similar(split[i], split[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in om.digest(frame, tile=tile).collect()} == dict(enumerate(root))
+
+
 def test_one_of_each(odd, empty):
     got = om.one_of_each(odd)
     assert got.columns == odd.columns
