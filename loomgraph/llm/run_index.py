@@ -230,6 +230,29 @@ def one_text(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(keys, "key")
 
 
+def by_bytes(routed: DataFrame, many: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(copied, crowded, sparse) of routed pieces: ``copied`` (route, bytes) names those that occur more than once, whose
+    windows are all repeated; the others hold one row per different piece, ``crowded`` of routes with ``many`` of them or more."""
+    different = routed.groupBy("route", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("pick", "content", "shift")).alias("one"), F.first("piece").alias("piece"))
+    different = materialise(different.select("route", "bytes", "n", "one.*", "piece"))
+    full = different.groupBy("route").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= many).select("route")
+    return different.where("n > 1").select("route", "bytes"), different.join(full, "route", "left_semi"), different.join(full, "route", "left_anti")
+
+
+def window_marks(pieces: DataFrame, length: int) -> DataFrame:
+    """(pick, content, a, b) of every window of ``pieces`` (one row per different piece of a route) that its route holds again."""
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for route, pick, content, shift, piece in zip(*(batch[c] for c in ("route", "pick", "content", "shift", "piece")), strict=True):
+                digests = [hashlib.blake2b(piece[i:i + length], digest_size=16).digest() for i in range(len(piece) - length + 1)]
+                yield pd.DataFrame({"route": route, "window": digests, "pick": pick, "content": content, "a": np.arange(shift, shift + len(digests), dtype=np.int32)})
+
+    held = materialise(pieces.select("route", "pick", "content", "shift", "piece").mapInPandas(windows, "route bigint, window binary, pick bigint, content bigint, a int"))
+    again = held.groupBy("route", "window").agg(F.count("*").alias("n")).where("n > 1").select("route", "window")
+    return held.join(again, ["route", "window"], "left_semi").select("pick", "content", "a", (F.col("a") + 1).alias("b"))
+
+
 def marks_of(rows: DataFrame, length: int, shard_bytes: int, many: int) -> DataFrame:
     """(key, spans array<[begin, end)>) of the byte spans to remove from each different text."""
     spark = rows.sparkSession
@@ -265,7 +288,9 @@ def marks_of(rows: DataFrame, length: int, shard_bytes: int, many: int) -> DataF
                 yield pd.DataFrame(out, columns=["route", "pick", "content", "shift", "piece"])
 
     routed = materialise(one_text(rows, asked).mapInPandas(cut, "route bigint, pick bigint, content bigint, shift int, piece binary"))
-    size = routed.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
+    routed = routed.withColumn("bytes", F.unhex(F.md5("piece")))
+    copied, crowded, sparse = by_bytes(routed, many)
+    size = sparse.agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +300,9 @@ def marks_of(rows: DataFrame, length: int, shard_bytes: int, many: int) -> DataF
             out += [(pick, content, shift + a, shift + b) for a, b in runs(starts)]
         return pd.DataFrame(out, columns=["pick", "content", "a", "b"])
 
-    found = routed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(index, "pick bigint, content bigint, a int, b int")
+    found = sparse.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(index, "pick bigint, content bigint, a int, b int")
+    whole = routed.join(copied, ["route", "bytes"], "left_semi").select("pick", "content", F.col("shift").alias("a"), (F.col("shift") + F.length("piece") - (length - 1)).alias("b"))
+    found = found.unionByName(whole).unionByName(window_marks(crowded, length))
     several = kinds.where("n > 1").select("pick", "content", F.lit(0).alias("a"), F.col("one.windows").alias("b"))
     marks = materialise(found.join(several, ["pick", "content"], "left_anti").unionByName(several))
     spans = pieces.join(marks, ["pick", "content"]).select("key", (F.col("first") + F.col("a")).alias("begin"), (F.col("first") + F.col("b") + (length - 1)).alias("end"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import order_minhash as om
 from loomgraph.llm import run_index as ri
@@ -194,6 +195,23 @@ def test_repeats_equal_counting(spark, odd, many):
     assert Counter(map(tuple, ri.digest(odd, many=many).collect())) == removed([(r.doc_id, r.text) for r in odd.collect()], 400)
 
 
+def test_common_passage_is_indexed_once(spark, monkeypatch):
+    """What goes to the indexes does not grow with the number of texts that hold a passage; marks equal counting."""
+    passage, sizes, rng = prose(70, 160), [], random.Random(5)
+    texts = [prose(800 + i, 40) + "".join(rng.choice("0123456789") for _ in range(30)) + passage + prose(900 + i, 40) for i in range(24)]
+    plain = ri.by_bytes
+
+    def seen(routed, many):
+        copied, crowded, sparse = plain(routed, many)
+        sizes.append(sparse.groupBy("route").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+        return copied, crowded, sparse
+
+    monkeypatch.setattr(ri, "by_bytes", seen)
+    rows = list(enumerate(texts))
+    got = ri.digest(spark.createDataFrame(rows, "doc_id bigint, text string"), many=4).collect()
+    assert Counter(map(tuple, got)) == removed(rows, 400) and sizes[0] < 4
+
+
 def test_long_text_in_stretches(spark, empty, monkeypatch):
     rng = random.Random(6)
     part = "".join(rng.choice("abcdefgh ") for _ in range(700))
