@@ -238,28 +238,27 @@ def degree_penalty(nodes: DataFrame, edges: DataFrame, target: float) -> DataFra
     return nodes.select(*KEYS).join(degree, KEYS, "left").agg(F.avg(gap * gap).alias("loss"))
 
 
-def diversity_penalty(rows: DataFrame, vector: str = "x", group: str = "client_id", max_rows: int = 20_000) -> DataFrame:
+def diversity_penalty(rows: DataFrame, vector: str = "x", group: str = "client_id", cell_rows: int = 4096) -> DataFrame:
     """(group, loss): mean absolute cosine between different rows of a group.
 
-    Every row is compared with the whole group's matrix inside a task (bounded by ``max_rows``); only
-    one partial sum per task and group leaves it."""
+    The rows of a group are dealt into cells of about ``cell_rows``; each pair of cells is multiplied once
+    and gives one partial sum."""
     from ..functions.vectors import l2_normalise
 
-    unit = rows.select(F.col(group).alias("grp"), l2_normalise(F.col(vector)).alias("v"))
-    local = unit.limit(max_rows + 1).toPandas()
-    if len(local) > max_rows:
-        raise ValueError(f"diversity is defined on the global graph, at most {max_rows} rows")
-    blocks = {k: np.stack([np.asarray(v) for v in p["v"]]) for k, p in local.groupby("grp")}
-    shared = rows.sparkSession.sparkContext.broadcast(blocks)
-    key = rows.schema[group].dataType.simpleString()
+    unit = materialise(rows.select(F.col(group).alias("grp"), F.monotonically_increasing_id().alias("at"), l2_normalise(F.col(vector)).alias("v")))
+    sizes = unit.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.ceil(F.col("n") / cell_rows))
+    cell, other = F.pmod(F.xxhash64("at"), F.col("cells")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1))
+    dealt = unit.join(sizes, "grp").withColumn("cell", cell).select("grp", "v", "cell", other.alias("other"))
+    dealt = dealt.select("grp", "v", "cell", F.least("cell", "other").alias("one"), F.greatest("cell", "other").alias("two"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, part in batch.groupby("grp"):
-                x = np.stack([np.asarray(v) for v in part["v"]])
-                gram = np.abs(x @ shared.value[k].T)
-                own = np.abs((x * x).sum(axis=1))
-                yield pd.DataFrame({"grp": [k], "s": [float(gram.sum() - own.sum())], "n": [len(x)]})
+    def partial(part: pd.DataFrame) -> pd.DataFrame:
+        x, first = np.stack([np.asarray(v) for v in part["v"]]), (part["cell"] == part["one"]).to_numpy()
+        if part["one"].iloc[0] == part["two"].iloc[0]:
+            total = np.abs(x @ x.T).sum() - (x * x).sum()
+        else:
+            total = 2.0 * np.abs(x[first] @ x[~first].T).sum()
+        return pd.DataFrame({"grp": part["grp"].iloc[:1], "s": [float(total)]})
 
-    sums = unit.mapInPandas(partial, f"grp {key}, s double, n bigint").groupBy("grp").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return sums.select(F.col("grp").alias(group), F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("loss"))
+    key = rows.schema[group].dataType.simpleString()
+    sums = dealt.groupBy("grp", "one", "two").applyInPandas(partial, f"grp {key}, s double").groupBy("grp").agg(F.sum("s").alias("s"))
+    return sizes.join(sums, "grp").select(F.col("grp").alias(group), F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("loss"))

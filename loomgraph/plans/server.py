@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,7 @@ from ..operators import federate as fed
 from ..operators.topology import degree_capped, edge_list
 from ..session import materialise
 
-MAX_GLOBAL_NODES = 4096
+CELL_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -59,34 +58,32 @@ class EdgeEstimator:
         return 1.0 / (1.0 + np.exp(-h[..., 0]))
 
 
-def estimated_pairs(nodes: DataFrame, estimator: EdgeEstimator, preserve_types: bool = True, threshold: float = 0.0) -> DataFrame:
+def estimated_pairs(nodes: DataFrame, estimator: EdgeEstimator, preserve_types: bool = True, threshold: float = 0.0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(client_id, i, j, weight) with i < j: mean score of both directions of every allowed pair.
 
-    The global graph has a configured size, checked here, so its node matrix travels to the tasks
-    and each task scores its own rows against it."""
-    rows = nodes.select("node_id", "node_type", "x").orderBy("node_id").limit(MAX_GLOBAL_NODES + 1).collect()
-    if len(rows) > MAX_GLOBAL_NODES:
-        raise ValueError(f"the global graph is limited to {MAX_GLOBAL_NODES} nodes")
-    ids = np.array([r["node_id"] for r in rows])
-    types = np.array([r["node_type"] for r in rows], dtype=int)
-    x = np.array([r["x"] for r in rows], dtype=np.float64)
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, types, x, estimator.types, estimator.layers))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, types, x, type_vectors, layers = shared.value
+    Nodes are dealt into cells of about ``cell_rows``; each pair of cells is scored in one task."""
+    type_vectors, layers = estimator.types, estimator.layers
+    cells = max(1, -(-nodes.count() // cell_rows))
+    dealt = nodes.select("node_id", "node_type", "x", F.pmod(F.xxhash64("node_id"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("other"))
+    dealt = dealt.select("node_id", "node_type", "x", "cell", F.least("cell", "other").alias("one"), F.greatest("cell", "other").alias("two"))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
         est = EdgeEstimator(type_vectors, layers)
-        for batch in batches:
-            for node, t, v in zip(batch["node_id"], batch["node_type"], batch["x"]):
-                other = ids > node
-                if preserve_types:
-                    other &= (types == 0) != (t == 0)
-                if not other.any():
-                    continue
-                xa, ta = np.broadcast_to(np.asarray(v), x[other].shape), np.full(other.sum(), t)
+        ids, types, cell = part["node_id"].to_numpy(), part["node_type"].to_numpy(dtype=int), part["cell"].to_numpy()
+        x, one_cell, out = np.array(part["x"].tolist(), dtype=np.float64), (part["one"] == part["two"]).iloc[0], []
+        for k in range(len(ids)):
+            other = ids > ids[k]
+            if not one_cell:
+                other &= cell != cell[k]
+            if preserve_types:
+                other &= (types == 0) != (types[k] == 0)
+            if other.any():
+                xa, ta = np.broadcast_to(x[k], x[other].shape), np.full(other.sum(), types[k])
                 w = (est.score(xa, ta, x[other], types[other]) + est.score(x[other], types[other], xa, ta)) / 2.0
-                yield pd.DataFrame({"client_id": 0, "i": node, "j": ids[other], "weight": w})
+                out.append(pd.DataFrame({"client_id": 0, "i": ids[k], "j": ids[other], "weight": w}))
+        return pd.concat(out) if out else pd.DataFrame({"client_id": [], "i": [], "j": [], "weight": []})
 
-    return nodes.select("node_id", "node_type", "x").mapInPandas(score, "client_id int, i bigint, j bigint, weight double").where(F.col("weight") > threshold)
+    return dealt.groupBy("one", "two").applyInPandas(score, "client_id int, i bigint, j bigint, weight double").where(F.col("weight") > threshold)
 
 
 class Server:

@@ -6,7 +6,7 @@ from loomgraph.operators import federate as fed
 from loomgraph.operators import gnn
 from loomgraph.operators import surrogate as su
 from loomgraph.plans.rounds import Rounds, summary
-from loomgraph.plans.server import Server, ServerConfig
+from loomgraph.plans.server import EdgeEstimator, Server, ServerConfig, estimated_pairs
 
 
 def anchor_case(spark, seed=0, sizes=(5, 7), dim=4):
@@ -141,6 +141,22 @@ def test_alignment_and_penalties(spark):
     assert got == pytest.approx((gram.sum() - np.trace(gram)) / 20)
 
 
+def test_pairs_of_cells(spark):
+    """Cells give the sums and scores of the whole matrix at any number of rows."""
+    rng = np.random.default_rng(4)
+    x, types = rng.standard_normal((45, 4)), rng.integers(0, 3, 45)
+    x[30:] = x[30]
+    nodes = spark.createDataFrame([(0, i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(types, x))], "client_id int, node_id bigint, node_type int, x array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    gram = np.abs(u @ u.T)
+    assert su.diversity_penalty(nodes, cell_rows=7).head().loss == pytest.approx((gram.sum() - np.trace(gram)) / (45 * 44))
+    est = EdgeEstimator.create(4, ServerConfig(edge_hidden=8, type_dim=3))
+    got = {(r.i, r.j): r.weight for r in estimated_pairs(nodes, est, cell_rows=7).collect()}
+    t, allowed = [types[i:i + 1] for i in range(45)], [(i, j) for i in range(45) for j in range(i + 1, 45) if (types[i] == 0) != (types[j] == 0)]
+    want = {(i, j): (est.score(x[i:i + 1], t[i], x[j:j + 1], t[j])[0] + est.score(x[j:j + 1], t[j], x[i:i + 1], t[i])[0]) / 2 for i, j in allowed}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_round_loop(spark, tmp_path):
     nodes, _, _ = anchor_case(spark, sizes=(20, 30))
     anchors = nodes.withColumnRenamed("node_id", "core_id")
