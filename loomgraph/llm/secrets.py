@@ -14,9 +14,12 @@ table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import words_of
 
 LEAST = 16
@@ -75,17 +78,26 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def train(findings: DataFrame, label: str = "label", fit_rows: int = FIT_ROWS):
-    """A forest fitted on at most ``fit_rows`` labelled findings (those of least hash); None without both labels."""
+    """A forest fitted on at most ``fit_rows`` labelled findings; None if the table lacks one of the labels.
+
+    The sample holds those of least hash of every label, a rare label up to its equal part of ``fit_rows``; weights give
+    each label its share of the whole table."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = features(findings).select(*FEATURES, F.col(f"`{label}`").cast("double").alias("label"), F.xxhash64("candidate", "doc_id", "place").alias("h"))
-    sample = rows.where("label IS NOT NULL").orderBy("h", *FEATURES).limit(fit_rows).coalesce(1).persist()
-    seen = {r["label"] for r in sample.select("label").distinct().limit(3).collect()}
-    if not {0.0, 1.0} <= seen:
+    rows = materialise(rows.where("label IS NOT NULL"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy("count", "label").collect()}
+    if not {0.0, 1.0} <= set(counts):
         return None
+    parts, left = [], fit_rows
+    for k, (value, count) in enumerate(counts.items()):
+        take = min(count, max(1, left // (len(counts) - k)))
+        left -= take
+        parts.append(rows.where(F.col("label") == value).orderBy("h", *FEATURES).limit(take).withColumn("weight", F.lit(count / take)))
+    sample = reduce(DataFrame.unionByName, parts).coalesce(1).persist()
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows)
+    model = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows)
     sample.unpersist()
     return model
 

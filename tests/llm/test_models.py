@@ -74,6 +74,14 @@ def test_forest_on_held_out_findings(spark):
     assert got.where("secret = (truth = 1)").count() >= 0.97 * got.count() > 150
 
 
+def test_rare_label_is_in_the_sample(spark):
+    """A label rarer than one in ``fit_rows`` still trains a forest that finds it."""
+    train = findings(spark, 3, 300)
+    found = secrets.candidates(train).join(train.select("doc_id", F.col("truth").alias("label")), "doc_id")
+    rare = found.where("label = 1").orderBy(F.xxhash64("candidate", "doc_id", "place").desc()).limit(3)
+    assert secrets.train(found.where("label = 0").unionByName(rare), fit_rows=20) is not None
+
+
 def test_odd_texts_and_no_labels(odd, empty):
     assert secrets.candidates(empty).count() == 0
     found = secrets.candidates(odd)
