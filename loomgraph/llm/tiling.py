@@ -33,6 +33,7 @@ from .words import chunks, mixed, word_hashes
 SEED = 5
 PERCENT = 50
 PORTION = 50_000
+PORTION_WORDS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,16 +89,22 @@ def tiles(text: list, test: list, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def portions(items: DataFrame, item_id: str, text: str, most: int = PORTION) -> Iterator[list[tuple]]:
-    """(item_id, words) of ``most`` items at a time; the driver holds one portion."""
+def portions(items: DataFrame, item_id: str, text: str, most: int = PORTION, most_words: int = PORTION_WORDS) -> Iterator[list[tuple]]:
+    """(item_id, words) of at most ``most`` items and ``most_words`` words at a time (a longer item alone);
+    the driver holds one portion."""
+    total = 0
     rows, held = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")), []
     for row in rows.toLocalIterator():
         words, _ = word_hashes([row["text"]])
+        if held and total + len(words) > most_words:
+            yield held
+            held, total = [], 0
         if len(words):
             held.append((row["item_id"], words))
+            total += len(words)
         if len(held) == most:
             yield held
-            held = []
+            held, total = [], 0
     if held:
         yield held
 

@@ -173,6 +173,12 @@ def removed(rows, length):
     return out
 
 
+def test_portions_end_at_words(spark):
+    items = spark.createDataFrame([(i, prose(i, n)) for i, n in enumerate([5, 5, 5, 30, 1, 9, 0])], "item_id bigint, text string")
+    got = [[(i, len(w)) for i, w in p] for p in tiling.portions(items.coalesce(1), "item_id", "text", most_words=12)]
+    assert got == [[(0, 5), (1, 5)], [(2, 5)], [(3, 30)], [(4, 1), (5, 9)]]
+
+
 def test_index_equals_counting():
     rng = random.Random(4)
     for _ in range(300):
