@@ -15,7 +15,8 @@
 4. Classes. Connected components of the verified links by alternating stars, as Spark joins.
 
 No bucket, partner or candidate is capped. A pair is missed only where no sketch agrees or fewer than ``agree``
-of the least values do: below one in 10**5 where 0.8 of the shingles are shared, 2 % at 0.5.
+of the least values do: below one in 10**5 where 0.8 of the shingles are shared, 2 % at 0.5. Word changes spread
+evenly share few shingles: by the formula 12 % are missed at similarity 0.9, 62 % at 0.857, 96 % at 0.8.
 
 Defined results: a null text is a class of its own; texts without a word are linked to equal texts only;
 equal texts (repeated rows included) share a class; a class is named by its least doc_id, null if it has
