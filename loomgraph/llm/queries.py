@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import context_mixing, dialogue, mixing, order_minhash, quality, resampling, run_index, secrets, tiling, token_counts, token_store, vector_links
+from . import context_mixing, dialogue, mixing, order_minhash, quality, resampling, run_index, secrets, structure_repair, tiling, token_counts, token_store, vector_links
 from .common import count_words, table, tokenizer_path
 
 
@@ -78,12 +78,16 @@ def op11_importance_resampling(spark, sf_dir):
     return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_structure_repair(spark, sf_dir):
+    return structure_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def op13_pca_tiles(spark, sf_dir):
     return vector_links.digest(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {"op1_token_rollup": op1_token_rollup, "op2_perspective_rotation": op2_perspective_rotation, "op3_source_mix": op3_source_mix, "op4_run_index": op4_run_index, "op5_token_store": op5_token_store, "op6_quality_rules": op6_quality_rules, "op7_order_minhash": op7_order_minhash,
            "op8_context_mixing": op8_context_mixing, "op9_secret_forest": op9_secret_forest, "op10_string_tiling": op10_string_tiling, "op11_importance_resampling": op11_importance_resampling,
-           "op13_pca_tiles": op13_pca_tiles}
+           "op12_structure_repair": op12_structure_repair, "op13_pca_tiles": op13_pca_tiles}
 SQL = {"op1_token_rollup": OP1_SQL, "op2_perspective_rotation": dialogue.DIGEST_SQL, "op3_source_mix": mixing.DIGEST_SQL, "op6_quality_rules": quality.digest_sql(),
-       "op11_importance_resampling": resampling.DIGEST_SQL}
+       "op11_importance_resampling": resampling.DIGEST_SQL, "op12_structure_repair": structure_repair.DIGEST_SQL}
