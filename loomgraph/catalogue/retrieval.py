@@ -18,11 +18,11 @@ from . import base
 from .base import CLIENTS, DIM, NODES, rounded, sql_dot, sql_encode, sql_sentences, sql_strip, table
 from .graphs import TRANSITIONS
 
-STEPS = 12
+SQL_STEPS = 44  # of the SQL: halving the distance to the limit 44 times leaves less than 1e-13
 
 
 def _retriever(spark, sf, mode="parallel", boost=False):
-    r = Retriever(base.encoder(), DIM, CLIENTS, RetrievalConfig(mode=mode, pagerank_steps=STEPS, attribute_boost=boost))
+    r = Retriever(base.encoder(), DIM, CLIENTS, RetrievalConfig(mode=mode, attribute_boost=boost))
     r.index(base.corpus(spark, sf))
     return r
 
@@ -214,7 +214,7 @@ dense AS (SELECT p.client_id, q.qid, p.passage_id, round({sql_dot('p.v', 'q.v')}
 
 def _walk() -> str:
     return ",\n".join(f"""y{k} AS MATERIALIZED (SELECT qid, id, sum(v) AS v FROM (
-  SELECT qid, id, v FROM y0 UNION ALL SELECT y.qid, m.dst, m.p * y.v FROM y{k - 1} y JOIN imoves m ON m.src = y.id) GROUP BY qid, id)""" for k in range(1, STEPS + 1))
+  SELECT qid, id, v FROM y0 UNION ALL SELECT y.qid, m.dst, m.p * y.v FROM y{k - 1} y JOIN imoves m ON m.src = y.id) GROUP BY qid, id)""" for k in range(1, SQL_STEPS + 1))
 
 
 def _ranking(boost: bool) -> str:
@@ -240,7 +240,7 @@ reset AS (
   UNION ALL SELECT client_id, qid, entity_id, greatest(weight, 0) FROM spread_weights),
 y0 AS MATERIALIZED (SELECT r.qid, i.id, r.v FROM reset r JOIN ids i ON i.client_id = r.client_id AND i.hash_id = r.node),
 {_walk()},
-mass AS (SELECT i.client_id, y.qid, i.hash_id AS node, y.v AS y FROM y{STEPS} y JOIN ids i ON i.id = y.id),
+mass AS (SELECT i.client_id, y.qid, i.hash_id AS node, y.v AS y FROM y{SQL_STEPS} y JOIN ids i ON i.id = y.id),
 total AS (SELECT client_id, qid, sum(y) AS t FROM mass GROUP BY ALL),
 pr AS (SELECT m.client_id, m.qid, m.node AS passage_id, m.y / t.t AS score,
     row_number() OVER (PARTITION BY m.client_id, m.qid ORDER BY CASE WHEN m.y > 0 THEN round(ln(m.y), 9) ELSE -1e9 END DESC, m.node) AS rank

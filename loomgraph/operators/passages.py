@@ -1,9 +1,4 @@
-"""Passage scoring and personalised PageRank for a batch of questions.
-
-Scores of all passages for all questions are a dense matrix, so they are kept as wide rows: one row
-per (client, question block, node) with one DOUBLE column per question of the block. Edges then join
-once per block instead of once per question, and every sum is a plain hash aggregation over columns.
-"""
+"""Question batches, entity occurrences in passages and the transitions that ranking walks along."""
 
 from __future__ import annotations
 
@@ -17,10 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ATTRIBUTE_KEYWORDS, is_attribute_query
 from ..functions.vectors import union_all
-from ..session import client_hint, materialise
+from ..session import materialise
 from .matching import automaton, occurrences
-from .ranking import top_k
-from .similarity import _Best
 
 MAX_QUESTIONS = 4096
 BLOCK = 16
@@ -67,55 +60,11 @@ def question_batch(questions: DataFrame, keywords=ATTRIBUTE_KEYWORDS) -> Questio
         np.array([r["mask"] for r in rows], dtype=np.int64), slots, id_type)
 
 
-def _cols(prefix: str, width: int) -> list[str]:
-    return [f"{prefix}{i}" for i in range(width)]
-
-
-def to_wide(values: DataFrame, batch: QuestionBatch, value: str, prefix: str = "s") -> DataFrame:
-    """(client_id, qid, node, value) rows to wide rows; values of one cell add up."""
-    placed = values.join(F.broadcast(batch.slots), "qid")
-    return placed.groupBy("client_id", "block", "node").agg(*[
-        F.coalesce(F.sum(F.when(F.col("slot") == i, F.col(value))), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(batch.width)])
-
-
 def keyword_mask(text, keywords=ATTRIBUTE_KEYWORDS):
     low = F.lower(text)
     return sum((F.when(F.contains(low, F.lit(k)), F.lit(1 << n)).otherwise(F.lit(0)) for n, k in enumerate(keywords)), F.lit(0))
 
 
-def dense_wide(passage_vectors: DataFrame, batch: QuestionBatch, boost: float = 0.0) -> DataFrame:
-    """Wide inner products of every passage with every question (s*), and the keyword boost (b*)."""
-    spark = passage_vectors.sparkSession
-    shared = spark.sparkContext.broadcast((batch.vectors, batch.masks))
-    width, blocks = batch.width, batch.blocks
-    names = _cols("s", width) + (_cols("b", width) if boost > 0 else [])
-    schema = ", ".join(["client_id int", "block int", "node string"] + [f"{n} double" for n in names])
-
-    def score(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, masks = shared.value
-        bits = np.array([bin(n).count("1") for n in range(1 << len(ATTRIBUTE_KEYWORDS))]) if boost > 0 else None
-        for part in rows:
-            if part.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in part["x"]])
-            s = np.round(x @ q.T, 9) + 0.0
-            b = boost * np.log1p(bits[part["mask"].to_numpy()[:, None] & masks[None, :]]) if boost > 0 else None
-            for block in range(blocks):
-                lo, hi = block * width, min((block + 1) * width, len(q))
-                pad = np.zeros((len(part), width - (hi - lo)))
-                values = [s[:, lo:hi], pad] + ([b[:, lo:hi], pad] if boost > 0 else [])
-                frame = pd.DataFrame(np.concatenate(values, axis=1), columns=names)
-                frame.insert(0, "node", part["node"].to_numpy())
-                frame.insert(0, "block", block)
-                frame.insert(0, "client_id", part["client_id"].to_numpy())
-                yield frame
-
-    source = passage_vectors.select(
-        F.col("client_id").cast("int").alias("client_id"), F.col("hash_id").alias("node"), F.col("x").cast("array<double>").alias("x"),
-        *([keyword_mask(F.col("text")).alias("mask")] if boost > 0 else []))
-    return source.mapInPandas(score, schema)
-
-
 def entity_occurrences(passages: DataFrame, needles: DataFrame, needle_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """(client_id, passage_id, needle, n): non-overlapping occurrences of each needle in each passage.
 
@@ -169,28 +118,6 @@ def entity_bonus(activated: DataFrame, entity_texts: DataFrame, passages: DataFr
         F.sum(gain).alias("bonus"))
 
 
-def passage_reset(dense: DataFrame, bonus: DataFrame, batch: QuestionBatch, *, ratio: float = 1.5,
-                  node_weight: float = 0.05, boosted: bool = False) -> DataFrame:
-    """Wide passage weights: node_weight * (ratio * minmax(dense) + ln(1 + bonus) [+ boost])."""
-    width = batch.width
-    keys = ["client_id", "block"]
-    span = dense.groupBy(*keys).agg(
-        *[F.min(f"s{i}").alias(f"lo{i}") for i in range(width)], *[F.max(f"s{i}").alias(f"hi{i}") for i in range(width)])
-    extra = to_wide(bonus, batch, "bonus", "e")
-    joined = dense.join(client_hint(dense)(span), keys).join(extra, [*keys, "node"], "left")
-
-    def weight(i: int):
-        s, lo, hi = F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
-        scaled = F.when(hi == lo, F.lit(1.0)).otherwise((s - lo) / (hi - lo))
-        total = F.lit(float(ratio)) * scaled + F.log(F.lit(1.0) + F.coalesce(F.col(f"e{i}"), F.lit(0.0)))
-        if boosted:
-            total = total + F.col(f"b{i}")
-        total = total * F.lit(float(node_weight))
-        return F.when(total.isNull() | F.isnan(total) | (total < 0), F.lit(0.0)).otherwise(total).alias(f"s{i}")
-
-    return joined.select(*keys, "node", *[weight(i) for i in range(width)])
-
-
 def transition(edges: DataFrame) -> DataFrame:
     """(client_id, src, dst, p): edge weight over the total weight leaving src; edges hold both directions.
 
@@ -198,68 +125,3 @@ def transition(edges: DataFrame) -> DataFrame:
     merged = edges.groupBy("client_id", "src", "dst").agg(F.sum("weight").alias("weight"))
     total = merged.groupBy("client_id", "src").agg(F.sum("weight").alias("total")).where("total > 0")
     return merged.join(total, ["client_id", "src"]).select("client_id", "src", "dst", (F.col("weight") / F.col("total")).alias("p"))
-
-
-def personalised_pagerank(reset: DataFrame, transitions: DataFrame, width: int, *, damping: float = 0.5,
-                          iterations: int = 30, checkpoint_every: int = 6) -> DataFrame:
-    """Wide y = sum over k of (damping * P^T)^k reset, truncated at ``iterations`` steps.
-
-    Returning the mass of dangling nodes to the reset vector only rescales the solution, so the
-    PageRank of a question is its column divided by the column's total. The error after T steps is
-    of order damping^T. One step is one join on the source node and one aggregation by target.
-    """
-    names = _cols("s", width)
-    keys = ["client_id", "block", "node"]
-    clean = [F.when(F.isnan(n) | (F.col(n) < 0), F.lit(0.0)).otherwise(F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names]
-    start = materialise(reset.select(*keys, *clean))
-    state = start
-    moves = transitions.withColumnRenamed("src", "node")
-    for step in range(1, iterations + 1):
-        sent = moves.join(state, ["client_id", "node"]).select(
-            "client_id", "block", F.col("dst").alias("node"), *[(F.lit(float(damping)) * F.col("p") * F.col(n)).alias(n) for n in names])
-        state = start.unionByName(sent).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
-        if step % checkpoint_every == 0 and step < iterations:
-            state = materialise(state)
-    return state
-
-
-def best_passages(wide: DataFrame, batch: QuestionBatch, k: int, *, relative: bool = True) -> DataFrame:
-    """(client_id, qid, passage_id, score, rank) best ``k`` per client and question from wide rows.
-
-    Each task forwards k rows per question. With ``relative`` scores are compared to 9 significant
-    digits of their logarithm, because PageRank values shrink as the graph grows."""
-    width = batch.width
-    names = _cols("s", width)
-    ids = batch.ids
-    shared = wide.sparkSession.sparkContext.broadcast(ids)
-    schema = f"client_id int, block int, slot int, qid {batch.id_type}, node string, level double"
-
-    def partial(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[tuple[int, int], _Best] = {}
-        for part in rows:
-            for (c, b), group in part.groupby(["client_id", "block"], sort=False):
-                values = group[names].to_numpy(dtype=np.float64).T
-                if relative:
-                    values = np.where(values > 0, np.round(np.log(np.maximum(values, 1e-300)), 9), -1e9)
-                best.setdefault((int(c), int(b)), _Best(width, k)).add(values, group["node"].to_numpy(dtype=object))
-        for (c, b), found in best.items():
-            n, m = found.scores.shape
-            slot = np.repeat(np.arange(n), m)
-            live = slot + b * width < len(shared.value)
-            yield pd.DataFrame({
-                "client_id": c, "block": b, "slot": slot[live], "qid": [shared.value[s] for s in slot[live] + b * width],
-                "node": found.keys.reshape(-1)[live], "level": found.scores.reshape(-1)[live],
-            })
-
-    found = wide.select("client_id", "block", "node", *names).mapInPandas(partial, schema)
-    winners = top_k(found, ["client_id", "qid"], [F.col("level").desc(), F.col("node")], k)
-    # the few winning rows fetch their unrounded scores
-    return winners.join(wide.select("client_id", "block", "node", F.array(*names).alias("values")), ["client_id", "block", "node"]).select(
-        "client_id", "qid", F.col("node").alias("passage_id"), F.get("values", F.col("slot")).alias("score"), "rank")
-
-
-def column_totals(wide: DataFrame, batch: QuestionBatch) -> DataFrame:
-    """(client_id, qid, total) of every question's column."""
-    sums = wide.groupBy("client_id", "block").agg(*[F.sum(n).alias(n) for n in _cols("s", batch.width)])
-    long = sums.select("client_id", "block", F.posexplode(F.array(*_cols("s", batch.width))).alias("slot", "total"))
-    return long.join(F.broadcast(batch.slots), ["block", "slot"]).select("client_id", "qid", "total")

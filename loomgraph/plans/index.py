@@ -85,6 +85,15 @@ class GraphIndex:
         edges = graph.retrieval_edges(self.entity_passage_weights, graph.adjacent_passages(self.passages))
         return materialise(transition(edges))
 
+    @cached_property
+    def rank_blocks(self):
+        from ..operators.blockrank import rank_blocks
+
+        nodes = self.nodes.where(F.col("node_type").isin(graph.ENTITY, graph.PASSAGE)).select("client_id", F.col("hash_id").alias("node"))
+        texts = self.passages.select("client_id", F.col("passage_id").alias("node"), "text")
+        vectors = self.of_type(graph.PASSAGE).select("client_id", F.col("hash_id").alias("node"), "x").join(texts, ["client_id", "node"])
+        return rank_blocks(nodes, self.transitions, vectors)
+
     @cached_property
     def sentence_incidence(self) -> DataFrame:
         """(client_id, entity_id, sentence_id)."""

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import blockrank as br
 from loomgraph.operators import evidence as ev
 from loomgraph.operators import passages as ps
 from loomgraph.operators import propagate as pr
@@ -107,55 +108,84 @@ def test_occurrences_match_count(spark, needle_bytes):
     assert got == {(f"p{i}", w): t.count(w) for i, t in enumerate(texts) for w in words if w in t}
 
 
-def test_pagerank_matches_linear_solve(spark):
-    rng = np.random.default_rng(0)
-    n, nq = 12, 3
-    w = np.zeros((n, n))
-    for _ in range(16):
-        a, b = rng.integers(0, n - 2, 2)
-        if a != b:
-            w[a, b] = w[b, a] = rng.random() + 0.1
-    v = rng.random((n, nq))
-    v[3] = np.nan
-    v[4] = -1.0
-    edges = spark.createDataFrame([(0, f"n{a}", f"n{b}", float(w[a, b])) for a in range(n) for b in range(n) if w[a, b]], "client_id int, src string, dst string, weight double")
-    reset = spark.createDataFrame([(0, 0, f"n{i}", *map(float, v[i])) for i in range(n)], "client_id int, block int, node string, s0 double, s1 double, s2 double")
-    wide = ps.personalised_pagerank(reset, ps.transition(edges), nq, iterations=40)
-    got = {r.node: np.array([r.s0, r.s1, r.s2]) for r in wide.collect()}
-    clean = np.where(np.isnan(v) | (v < 0), 0, v)
-    clean = clean / clean.sum(axis=0)
+def block_case(spark, block_nodes, directed=False, questions=70):
+    """A graph of 9 passages and 14 entities with a part of its own, its blocks, and a batch of questions."""
+    rng = np.random.default_rng(4)
+    names = [f"passage-{i}" for i in range(9)] + [f"entity-{i:02d}" for i in range(14)]
+    w = np.zeros((23, 23))
+    for _ in range(45):
+        a, b = rng.integers(0, 8), rng.integers(9, 20)
+        w[a, b] = w[b, a] = rng.random() + 0.1
+    for a in range(5):
+        w[a, a + 1] = w[a + 1, a] = 1.0
+    if directed:
+        w = np.where(rng.random(w.shape) < 0.4, 0.0, w)
+    x, q = rng.standard_normal((9, 4)), rng.standard_normal((questions, 4))
+    edges = spark.createDataFrame([(0, names[a], names[b], float(w[a, b])) for a in range(23) for b in range(23) if w[a, b]], "client_id int, src string, dst string, weight double")
+    vectors = spark.createDataFrame([(0, names[i], x[i].tolist(), "when and where" if i % 2 else "where") for i in range(9)], "client_id int, node string, x array<double>, text string")
+    nodes = spark.createDataFrame([(0, n) for n in names], "client_id int, node string")
+    blocks = br.rank_blocks(nodes, ps.transition(edges), vectors, block_nodes)
+    batch = ps.question_batch(spark.createDataFrame([(i, "when?", v.tolist()) for i, v in enumerate(q)], "qid int, question string, x array<double>"))
     deg = w.sum(axis=1, keepdims=True)
-    p = np.divide(w, deg, out=np.zeros_like(w), where=deg > 0)
-    total = sum(got.values())
-    for q in range(nq):
-        # rows without links send their mass to the reset vector
-        full = p + (deg == 0) * clean[:, q][None, :]
-        want = np.linalg.solve(np.eye(n) - 0.5 * full.T, 0.5 * clean[:, q])
-        mine = np.array([got[f"n{i}"][q] for i in range(n)]) / total[q]
-        assert mine == pytest.approx(want / want.sum(), abs=1e-10)
-
-
-def test_wide_blocks(spark):
-    """More questions than one block holds."""
-    rng = np.random.default_rng(2)
-    q = spark.createDataFrame([(i, "when?", rng.standard_normal(4).tolist()) for i in range(70)], "qid int, question string, x array<double>")
-    batch = ps.question_batch(q)
-    assert batch.width == 16 and batch.blocks == 5
-    p = spark.createDataFrame([(0, f"passage-{i}", rng.standard_normal(4).tolist()) for i in range(9)], "client_id int, hash_id string, x array<double>")
-    got = {(r.qid, r["rank"]): (r.passage_id, r.score) for r in ps.best_passages(ps.dense_wide(p, batch), batch, 2, relative=False).collect()}
+    return names, np.divide(w, deg, out=np.zeros_like(w), where=deg > 0), x, q, blocks, batch
+
+
+@pytest.mark.parametrize("block_nodes, directed", [(1000, False), (6, False), (6, True)])
+def test_block_ranks_match_dense_solve(spark, block_nodes, directed):
+    rng = np.random.default_rng(1)
+    names, p, x, q, blocks, batch = block_case(spark, block_nodes, directed)
+    bonus = [(0, int(rng.integers(70)), names[int(rng.integers(9))], float(rng.uniform(-3, 5))) for _ in range(60)]
+    weights = [(0, int(rng.integers(70)), names[int(rng.integers(9, 23))], float(v)) for v in [*rng.uniform(-1, 1, 80), np.nan]]
+    reset = np.zeros((23, 70))
+    for i in range(70):
+        s = np.round(x @ q[i], 9)
+        extra = np.zeros(9)
+        for _, qid, node, v in bonus:
+            extra[names.index(node)] += v if qid == i else 0.0
+        with np.errstate(invalid="ignore"):
+            total = 0.05 * (1.5 * (s - s.min()) / (s.max() - s.min()) + np.log(1 + extra))
+        reset[:9, i] = np.where(np.isfinite(total) & (total > 0), total, 0.0)
+    for _, qid, node, v in weights:
+        reset[names.index(node), qid] += v
+    entity = np.where(np.isfinite(reset[9:]) & (reset[9:] > 0), reset[9:], 0.0)
+    reset[9:] = entity
+    y = np.linalg.solve(np.eye(23) - 0.5 * p.T, reset)
+    chunks = br.score_chunks(blocks.passages, batch)
+    got = br.ranked_blocks(blocks, batch, chunks, spark.createDataFrame(bonus, "client_id int, qid int, node string, bonus double"),
+                           spark.createDataFrame(weights, "client_id int, qid int, entity_id string, weight double"), 4)
+    rows = {(r.qid, r["rank"]): (r.passage_id, r.score) for r in got.collect()}
+    assert len(rows) == 280
+    for i in range(70):
+        level = [(-round(math.log(y[k, i]), 9) if y[k, i] > 0 else 1e9, names[k], k) for k in range(9)]
+        for n, (_, name, k) in enumerate(sorted(level)[:4]):
+            assert rows[i, n + 1][0] == name and rows[i, n + 1][1] == pytest.approx(y[k, i] / y[:, i].sum(), abs=1e-13)
+
+
+def test_local_limit_of_a_directed_cycle():
+    """Eigenvalues of a cycle are not real; plain steps take over and reach the limit."""
+    n = 9
+    edges = [(np.roll(np.arange(n), 1).astype(np.int32), np.arange(n, dtype=np.int32), np.ones(n))]
+    start = np.random.default_rng(0).random((n, 3))
+    p = np.roll(np.eye(n), 1, axis=1)
+    assert br.local_limit(start, edges, 0.9) == pytest.approx(np.linalg.solve(np.eye(n) - 0.9 * p.T, start), abs=1e-12)
+
+
+def test_dense_ranking_in_blocks(spark):
+    """More questions than one block holds, passages in several blocks."""
+    names, _, x, q, blocks, batch = block_case(spark, 6)
+    got = {(r.qid, r["rank"]): (r.passage_id, r.score) for r in br.dense_best(blocks, batch, br.score_chunks(blocks.passages, batch), 2).collect()}
     assert len(got) == 140
-    x = {r.hash_id: np.array(r.x) for r in p.collect()}
-    for r in q.collect():
-        s = sorted(((-float(np.array(r.x) @ v), k) for k, v in x.items()))[:2]
-        assert [got[r.qid, n + 1][0] for n in range(2)] == [k for _, k in s]
-        assert got[r.qid, 1][1] == pytest.approx(-s[0][0], abs=1e-8)
+    for i in range(70):
+        s = sorted((-float(x[k] @ q[i]), names[k]) for k in range(9))[:2]
+        assert [got[i, n + 1][0] for n in range(2)] == [k for _, k in s]
+        assert got[i, 1][1] == pytest.approx(-s[0][0], abs=1e-8)
 
 
 @pytest.fixture(scope="module")
 def retriever(spark):
     names = ["Ada Lovelace", "Charles Babbage", "Mary Somerville", "George Boole"]
     texts = [(i % 2, f"{i}:{names[i % 4]} wrote to {names[(i + 1) % 4]} about engines. {names[(i + 2) % 4]} lived in Town{chr(65 + i)}.") for i in range(16)]
-    r = Retriever(hash_encoder(32), 32, 2, RetrievalConfig(mode="parallel", pagerank_steps=10))
+    r = Retriever(hash_encoder(32), 32, 2, RetrievalConfig(mode="parallel"))
     with pytest.raises(RuntimeError):
         r.graph
     r.index(spark.createDataFrame(texts, "client_id int, text string"))
