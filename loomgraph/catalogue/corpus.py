@@ -44,12 +44,13 @@ def title_first_wins(spark, sf):
 
 
 def passage_slots_to_nodes(spark, sf):
-    """Every document's title looked up among the even documents' passages; misses give -1."""
+    """Two slots per document, its title and a title that nobody has, looked up among the passages of all clients; misses give -1."""
     from ..operators.evidence import passage_node_map
 
     p = base.corpus(spark, sf).withColumn("node_id", F.col("idx").cast("bigint")).withColumn("node_type", F.lit(graph.PASSAGE))
-    slots = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.lit(0).alias("slot"), "text")
-    return passage_node_map(slots, p.where("client_id = 0"))
+    texts = F.posexplode(F.array(F.col("text"), F.concat(F.lit("no such title "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))))
+    slots = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), texts.alias("slot", "text"))
+    return passage_node_map(slots, p)
 
 
 def text_windows(spark, sf):
@@ -145,9 +146,10 @@ SQL = {
     "title_first_wins": f"""WITH {PASSAGES}, t AS (SELECT {sql_title('text')} AS title, client_id, idx FROM passages),
         r AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY client_id, idx) AS rn FROM t WHERE title <> '')
         SELECT md5(title) AS title_md5, client_id, idx AS node_id FROM r WHERE rn = 1""",
-    "passage_slots_to_nodes": f"""WITH {PASSAGES}, t AS (SELECT {sql_title('text')} AS title, min(idx) AS idx FROM passages WHERE client_id = 0 GROUP BY 1)
-        SELECT doc_id AS qid, 0 AS slot, CASE WHEN t.idx IS NULL THEN -1 ELSE 0 END AS client_id, coalesce(t.idx, -1) AS node_id
-        FROM documents d LEFT JOIN t ON t.title = {sql_title('d.text')} AND t.title <> ''""",
+    "passage_slots_to_nodes": f"""WITH {PASSAGES}, t AS (SELECT * FROM (SELECT {sql_title('text')} AS title, client_id, idx FROM passages) QUALIFY row_number() OVER (PARTITION BY title ORDER BY client_id, idx) = 1),
+        s AS (SELECT doc_id, 0 AS slot, text FROM documents UNION ALL SELECT doc_id, 1, 'no such title ' || doc_id || chr(10) || text FROM documents)
+        SELECT doc_id AS qid, slot, coalesce(t.client_id, -1) AS client_id, coalesce(t.idx, -1) AS node_id
+        FROM s d LEFT JOIN t ON t.title = {sql_title('d.text')} AND t.title <> ''""",
     "text_windows": f"""WITH t AS (SELECT doc_id, string_split({sql_squeeze('text')}, ' ') AS w FROM documents),
         c AS (SELECT doc_id, w, unnest(range(greatest(CAST(ceil(len(w) / 64.0) AS BIGINT), 1))) AS chunk_id FROM t)
         SELECT doc_id, chunk_id, md5(array_to_string(w[chunk_id * 64 + 1 : chunk_id * 64 + 64], ' ')) AS chunk_md5 FROM c""",

@@ -9,7 +9,6 @@ from ..operators import evidence as ev
 from ..operators import passages as ps
 from ..operators import propagate as pr
 from ..operators.graph import ENTITY, PASSAGE, SENTENCE
-from ..operators.ranking import min_max
 from ..operators.recognise import question_mentions
 from ..operators.similarity import top_k_dot
 from ..plans.retrieval import RetrievalConfig, Retriever, merge_clients
@@ -40,12 +39,17 @@ def seed_entities(spark, sf):
 
 
 def dense_passages(spark, sf):
-    """Ten closest passages per client and question, with the score min-max scaled among them."""
+    """Ten closest passages per client and question, the score min-max scaled over all passages of the client."""
     r = _retriever(spark, sf)
     q = _question_vectors(spark, sf).withColumn("client_id", F.explode(F.array(*[F.lit(c) for c in range(CLIENTS)])))
     v = r.graph.passages.select("client_id", "passage_id", base.encoder()(F.col("text")).alias("x"))
     best = top_k_dot(q, v, 10, query_key="qid", vector_key="passage_id").withColumn("score", F.round("score", 9))
-    return min_max(best, ["client_id", "qid"], "score", "scaled").select("client_id", "qid", "passage_id", "rank", "score", *rounded("scaled"))
+    away = q.select("client_id", "qid", F.transform("x", lambda x: -x).alias("x"))  # the farthest passage gives the least score
+    least = top_k_dot(away, v, 1, query_key="qid", vector_key="passage_id").select("client_id", "qid", F.round(-F.col("score"), 9).alias("lo"))
+    most = best.where("rank = 1").select("client_id", "qid", F.col("score").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), F.lit(1.0)).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("scaled")
+    spanned = best.join(least, ["client_id", "qid"]).join(most, ["client_id", "qid"]).select("client_id", "qid", "passage_id", "rank", "score", scaled)
+    return spanned.select("client_id", "qid", "passage_id", "rank", "score", *rounded("scaled"))
 
 
 def _spread(spark, sf, mode):
@@ -101,21 +105,17 @@ def federated_ranking(spark, sf):
 
 
 def evidence_graph_edges(spark, sf):
-    """Relabelled induced edges around the activated entities and the five closest passages by inner product."""
-    r, (_, activated) = _spread(spark, sf, "parallel")
-    q = _question_vectors(spark, sf).withColumn("client_id", F.explode(F.array(*[F.lit(c) for c in range(CLIENTS)])))
-    v = r.graph.passages.select("client_id", "passage_id", base.encoder()(F.col("text")).alias("x"))
-    ranked = top_k_dot(q, v, 5, query_key="qid", vector_key="passage_id")
-    _, edges = r.evidence(ranked, activated)
+    """Relabelled induced edges around the activated entities and the five best ranked passages."""
+    r = _retriever(spark, sf)
+    _, edges = r.evidence(*r.retrieve(base.questions(spark, sf)))
     return edges.select("client_id", "qid", "src", "dst", "edge_type")
 
 
 def anchor_map(spark, sf):
-    """Slots of the five closest passages matched to graph nodes by title."""
+    """Slots of the five best ranked passages matched to graph nodes by title."""
     r = _retriever(spark, sf)
-    q = _question_vectors(spark, sf).withColumn("client_id", F.explode(F.array(*[F.lit(c) for c in range(CLIENTS)])))
-    v = r.graph.passages.select("client_id", "passage_id", base.encoder()(F.col("text")).alias("x"))
-    return r.anchor_map(top_k_dot(q, v, 5, query_key="qid", vector_key="passage_id"))
+    ranked, _ = r.retrieve(base.questions(spark, sf))
+    return r.anchor_map(ranked)
 
 
 def _global_graph(spark, sf):
@@ -251,8 +251,6 @@ ranked AS (
   UNION ALL SELECT * FROM flat WHERE rank <= 5 AND (client_id, qid) NOT IN (SELECT client_id, qid FROM seeds))"""
 
 
-_TOP5 = "top5 AS (SELECT * FROM (SELECT client_id, qid, passage_id, row_number() OVER (PARTITION BY client_id, qid ORDER BY s DESC, passage_id) AS rank FROM dense) WHERE rank <= 5)"
-
 _GLOBAL = f"""n AS (SELECT vec_id AS node_id, label % 3 AS node_type, [x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 OR b.vec_id = a.vec_id + 7),
 c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL),
@@ -266,10 +264,9 @@ SQL = {
     "question_entities": f"WITH {_Q_MENTIONS} SELECT qid, entity FROM q_men",
     "seed_entities": f"WITH {_SEEDS} SELECT client_id, qid, mention, entity_id, round(score, 9) + 0.0 AS score FROM seeds",
     "dense_passages": f"""WITH {base.PASSAGES}, {_QVEC}, {_DENSE},
-        r AS (SELECT *, row_number() OVER (PARTITION BY client_id, qid ORDER BY s DESC, passage_id) AS rank FROM dense), t AS (SELECT * FROM r WHERE rank <= 10)
-        SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, s AS score,
-        round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 6) + 0.0 AS scaled
-        FROM t WINDOW w AS (PARTITION BY client_id, qid)""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY client_id, qid ORDER BY s DESC, passage_id) AS rank,
+          CASE WHEN max(s) OVER w = min(s) OVER w THEN 1 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS scaled FROM dense WINDOW w AS (PARTITION BY client_id, qid))
+        SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, s AS score, round(scaled, 6) + 0.0 AS scaled FROM r WHERE rank <= 10""",
     "spread_weights": f"WITH {_SPREAD} SELECT client_id, qid, entity_id, round(weight, 6) + 0.0 AS weight FROM spread_weights",
     "activated_entities": f"WITH {_SPREAD} SELECT client_id, qid, entity_id, tier, round(score, 6) + 0.0 AS score FROM activated",
     "passage_entity_bonus": f"WITH {_BONUS} SELECT client_id, qid, node, round(bonus, 6) + 0.0 AS bonus FROM bonus",
@@ -278,19 +275,17 @@ SQL = {
     "federated_ranking": f"""WITH {_ranking(False)}, f AS (
         SELECT qid, client_id, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, client_id, passage_id) AS rank FROM ranked)
         SELECT qid, client_id, passage_id, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5""",
-    "evidence_graph_edges": f"""WITH {_SPREAD}, {_DENSE}, {_TOP5},
-        lk AS (SELECT DISTINCT client_id, 'sentence-' || md5(sentence) AS o, 'entity-' || md5(entity) AS e, 0 AS edge_type FROM mentions
+    "evidence_graph_edges": f"""WITH {_ranking(False)}, lk AS (SELECT DISTINCT client_id, 'sentence-' || md5(sentence) AS o, 'entity-' || md5(entity) AS e, 0 AS edge_type FROM mentions
           UNION ALL SELECT DISTINCT client_id, passage_id, 'entity-' || md5(entity), 1 FROM mentions),
-        kept_h AS (SELECT client_id, qid, entity_id AS h FROM activated UNION SELECT client_id, qid, passage_id FROM top5
+        kept_h AS (SELECT client_id, qid, entity_id AS h FROM activated UNION SELECT client_id, qid, passage_id FROM ranked
           UNION SELECT a.client_id, a.qid, l.o FROM activated a JOIN lk l ON l.client_id = a.client_id AND l.e = a.entity_id AND l.edge_type = 0),
         kept AS (SELECT k.client_id, k.qid, k.h, row_number() OVER (PARTITION BY k.client_id, k.qid ORDER BY n.node_id) - 1 AS local_id
           FROM kept_h k JOIN nodes n ON n.client_id = k.client_id AND n.hash_id = k.h),
         hf AS (SELECT l.client_id, a.qid, a.local_id AS src, b.local_id AS dst, l.edge_type FROM lk l
           JOIN kept a ON a.client_id = l.client_id AND a.h = l.o JOIN kept b ON b.client_id = l.client_id AND b.h = l.e AND b.qid = a.qid)
         SELECT client_id, qid, src, dst, edge_type FROM hf UNION ALL SELECT client_id, qid, dst, src, edge_type FROM hf""",
-    "anchor_map": f"""WITH {NODES}, {_QVEC}, {_DENSE}, {_TOP5},
-        own AS (SELECT client_id, {base.sql_title('text')} AS title, min(node_id) AS node_id FROM nodes WHERE node_type = 2 GROUP BY ALL)
-        SELECT t.client_id, t.qid, CAST(t.rank - 1 AS INTEGER) AS slot, coalesce(o.node_id, -1) AS node_id FROM top5 t
+    "anchor_map": f"""WITH {_ranking(False)}, own AS (SELECT client_id, {base.sql_title('text')} AS title, min(node_id) AS node_id FROM nodes WHERE node_type = 2 GROUP BY ALL)
+        SELECT t.client_id, t.qid, CAST(t.rank - 1 AS INTEGER) AS slot, coalesce(o.node_id, -1) AS node_id FROM ranked t
         JOIN passages p ON p.client_id = t.client_id AND p.passage_id = t.passage_id
         LEFT JOIN own o ON o.client_id = t.client_id AND o.title = {base.sql_title('p.text')} AND o.title <> ''""",
     "global_seeds": f"WITH {_GLOBAL} SELECT qid, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 16",

@@ -1,4 +1,10 @@
-"""Exact top-k by inner product without materialising the pairs."""
+"""Exact top-k by inner product without materialising the pairs.
+
+Both axes are tiled: a task holds at most about ``query_rows`` queries of one group and streams a part of the group's
+vectors past them, ``BLOCK_ROWS`` at a time, so its memory does not depend on either table. Rows of a part are sorted so
+that a block holds vectors of one direction; a block has a centre and a radius, and queries whose bound
+q . centre + |q| * radius lies below their k-th best score so far are not multiplied with it.
+"""
 
 from __future__ import annotations
 
@@ -13,72 +19,88 @@ from pyspark.sql import types as T
 from ..functions.vectors import l2_normalise
 from .ranking import top_k
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-CELL_ROWS = 16_384
+QUERY_ROWS = 8_192
+PART_ROWS = 65_536
+BLOCK_ROWS = 1_024
 DIGITS = 9
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-class _Best:
+class Best:
     """Running k best (score, key) per query row. Scores are compared to 9 digits, so summation order
     cannot reorder near-equal rows; ties go to the smaller key. The unrounded score is kept."""
 
     def __init__(self, rows: int, k: int):
         self.k = k
-        self.scores = np.empty((rows, 0))
+        self.scores = np.full((rows, 0), -np.inf)
         self.keys = np.empty((rows, 0), dtype=object)
 
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+    def floor(self) -> np.ndarray:
+        """What a score must reach to matter, per query."""
+        if self.scores.shape[1] < self.k:
+            return np.full(len(self.scores), -np.inf)
+        return np.round(self.scores.min(axis=1), DIGITS)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+        """``scores`` of the query ``rows`` against vectors ``keys``."""
         level = np.round(scores, DIGITS) + 0.0
-        n = level.shape[1]
-        if n > self.k:
-            # everything tied with the k-th score stays in, so the key order can settle it
-            kth = np.partition(level, n - self.k, axis=1)[:, n - self.k]
-            if self.scores.shape[1] >= self.k:
-                kth = np.maximum(kth, np.round(self.scores.min(axis=1), DIGITS))
-            useful = (level >= kth[:, None]).any(axis=0)
-            scores, keys = scores[:, useful], keys[useful]
-        merged = np.concatenate([self.scores, scores], axis=1)
-        merged_keys = np.concatenate([self.keys, np.broadcast_to(keys, (len(scores), len(keys)))], axis=1)
-        level = np.round(merged, DIGITS) + 0.0
-        width = level.shape[1]
-        keep = min(self.k, width)
-        picked = np.empty((len(level), keep), dtype=np.int64)
-        cut = np.partition(level, width - keep, axis=1)[:, width - keep] if keep else None
-        for r in range(len(level) if keep else 0):
-            row = level[r]
-            names = merged_keys[r]
-            picked[r] = sorted(np.flatnonzero(row >= cut[r]), key=lambda c: (-row[c], names[c]))[:keep]
-        rows = np.arange(len(level))[:, None]
-        self.scores, self.keys = merged[rows, picked], merged_keys[rows, picked]
-
-
-def _emit(group, query_keys, best: _Best, skip_self: bool) -> pd.DataFrame:
-    rows, cols = best.scores.shape
-    frame = pd.DataFrame({
-        "grp": np.full(rows * cols, group),
-        "query_key": np.repeat(np.asarray(query_keys, dtype=object), cols),
-        "vector_key": best.keys.reshape(-1),
-        "score": best.scores.reshape(-1),
-    })
-    return frame[frame.query_key != frame.vector_key] if skip_self else frame
+        if self.scores.shape[1] < self.k:  # widen until k places exist; empty places are minus infinity
+            more = min(self.k - self.scores.shape[1], len(keys))
+            self.scores = np.concatenate([self.scores, np.full((len(self.scores), more), -np.inf)], axis=1)
+            self.keys = np.concatenate([self.keys, np.full((len(self.keys), more), None, dtype=object)], axis=1)
+        width = self.scores.shape[1]
+        floor = np.round(self.scores[rows].min(axis=1), DIGITS) if width else np.full(len(rows), -np.inf)
+        useful = level >= floor[:, None]
+        for r in np.flatnonzero(useful.any(axis=1)):
+            own = rows[r]
+            fresh = np.flatnonzero(useful[r])
+            if len(fresh) > self.k:  # everything tied with the k-th score stays in, so the key order can settle it
+                cut = np.partition(level[r, fresh], len(fresh) - self.k)[len(fresh) - self.k]
+                fresh = fresh[level[r, fresh] >= cut]
+            held = np.flatnonzero(np.isfinite(self.scores[own]))
+            merged = np.concatenate([self.scores[own, held], scores[r, fresh]])
+            names = np.concatenate([self.keys[own, held], keys[fresh]])
+            compared = np.round(merged, DIGITS) + 0.0
+            order = sorted(range(len(merged)), key=lambda c: (-compared[c], names[c]))[:width]
+            self.scores[own, :len(order)], self.keys[own, :len(order)] = merged[order], names[order]
+
+
+class Tile:
+    """Queries of one task and the vectors that stream past them."""
+
+    def __init__(self, keys: np.ndarray, x: np.ndarray, k: int):
+        self.keys, self.x, self.best = keys, x, Best(len(keys), k)
+        self.norms = np.sqrt((x * x).sum(axis=1))
+        self.products = 0
+
+    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+        centre = x.mean(axis=0)
+        radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
+        bound = self.x @ centre + self.norms * radius
+        rows = np.flatnonzero(bound + 1e-8 * np.maximum(1.0, np.abs(bound)) >= self.best.floor())
+        if len(rows):
+            self.products += len(rows) * len(keys)
+            self.best.add(rows, (self.x if len(rows) == len(self.x) else self.x[rows]) @ x.T, keys)
+
+    def rows(self, group: int, skip_self: bool) -> pd.DataFrame:
+        n, width = self.best.scores.shape
+        frame = pd.DataFrame({"grp": np.full(n * width, group), "query_key": np.repeat(self.keys, width), "vector_key": self.best.keys.reshape(-1), "score": self.best.scores.reshape(-1)})
+        frame = frame[np.isfinite(frame.score)]
+        return frame[frame.query_key != frame.vector_key] if skip_self else frame
 
 
 def top_k_dot(queries: DataFrame, vectors: DataFrame, k: int, *, group: str = "client_id",
               query_key: str = "query_key", vector_key: str = "vector_key", vector: str = "x",
               normalise: bool = False, skip_self: bool = False,
-              broadcast_bytes: int = BROADCAST_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+              query_rows: int = QUERY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """The ``k`` vectors with the largest inner product for every query of the same group.
 
     Returns (group, query_key, vector_key, score, rank). Scores are compared to 9 digits, ties go to
-    the smaller key.
-
-    If the query side is within ``broadcast_bytes`` every task multiplies its vectors by all queries
-    and forwards k rows per query. Beyond it, both sides are cut into hash cells and each cell pair
-    is multiplied once; every product is still computed, none is emitted beyond its cell's best k.
+    the smaller key. Each query travels once per part of its group's vectors, each vector once per
+    tile of its group's queries; a task hands on k rows per query.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -94,48 +116,60 @@ def top_k_dot(queries: DataFrame, vectors: DataFrame, k: int, *, group: str = "c
         T.StructField("vector_key", vkey_type),
         T.StructField("score", T.DoubleType()),
     ])
-
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).head()
-    if size["cells"] * 8 <= broadcast_bytes:
-        collected = q.toPandas()
-        blocks = {
-            int(g): (part["qk"].to_numpy(dtype=object), _matrix(part["v"]))
-            for g, part in collected.groupby("grp", sort=False)
-        }
-        shared = queries.sparkSession.sparkContext.broadcast(blocks)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[int, _Best] = {}
-            for batch in batches:
-                for g, part in batch.groupby("grp", sort=False):
-                    hit = shared.value.get(int(g))
-                    if hit is None:
-                        continue
-                    scores = hit[1] @ _matrix(part["v"]).T
-                    best.setdefault(int(g), _Best(len(hit[0]), inner_k)).add(scores, part["vk"].to_numpy(dtype=object))
-            for g, found in best.items():
-                yield _emit(g, shared.value[g][0], found, skip_self)
-
-        partial = v.mapInPandas(scan, schema)
-    else:
-        count_v = v.count()
-        nq = max(1, -(-size["n"] // cell_rows))
-        nv = max(1, -(-count_v // cell_rows))
-        ql = q.withColumn("qc", F.pmod(F.xxhash64("qk"), F.lit(nq))).withColumn(
-            "vc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint"))))
-        vl = v.withColumn("vc", F.pmod(F.xxhash64("vk"), F.lit(nv))).withColumn(
-            "qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
-
-        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"grp": [], "query_key": [], "vector_key": [], "score": []})
-            found = _Best(len(left), inner_k)
-            scores = _matrix(left["v"]) @ _matrix(right["v"]).T
-            found.add(scores, right["vk"].to_numpy(dtype=object))
-            return _emit(int(left["grp"].iloc[0]), left["qk"].to_numpy(dtype=object), found, skip_self)
-
-        partial = ql.groupBy("grp", "qc", "vc").cogroup(vl.groupBy("grp", "qc", "vc")).applyInPandas(cell, schema)
-
+    # tiles of each group's queries and parts of its vectors; small tables get parts enough for all cores
+    spark = queries.sparkSession
+    asked = q.groupBy("grp").agg(F.count(F.lit(1)).alias("nq"))
+    held = v.groupBy("grp").agg(F.count(F.lit(1)).alias("nv"))
+    cores = spark.sparkContext.defaultParallelism
+    cut = asked.join(held, "grp").select(F.col("grp").alias("g"), F.ceil(F.col("nq") / query_rows).cast("int").alias("tiles"), F.greatest(F.ceil(F.col("nv") / part_rows), F.least(F.lit(cores), F.ceil(F.col("nv") / BLOCK_ROWS))).cast("int").alias("parts"))
+    cut = F.broadcast(cut) if cut.limit(100_001).count() <= 100_000 else cut
+    none_q, none_v = F.lit(None).cast(key_type), F.lit(None).cast(vkey_type)
+    own = F.pmod(F.xxhash64("qk"), F.col("tiles")).cast("int")
+    left = q.join(cut, F.col("grp") == F.col("g")).select("grp", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(0).alias("cell"), "qk", none_v.alias("vk"), "v")
+    # the component of largest size tells roughly which way a vector points
+    size = F.transform("v", lambda x: F.abs(x))
+    way = F.array_position(size, F.array_max(size)).cast("int")
+    dealt = F.pmod(F.xxhash64("vk"), F.col("parts")).cast("int")
+    right = v.join(cut, F.col("grp") == F.col("g")).select("grp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), dealt.alias("part"), F.lit(1).alias("side"),
+                                                           F.when(F.element_at("v", F.greatest(way, F.lit(1))) < 0, -way).otherwise(way).alias("cell"), none_q.alias("qk"), "vk", "v")
+    stream = left.unionByName(right).repartition("grp", "tile", "part").sortWithinPartitions("grp", "tile", "part", "side", "cell")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, tile, asked_keys, asked_rows, keys, rows = None, None, [], [], [], []
+
+        def flush():
+            nonlocal keys, rows
+            if rows:
+                tile.add(np.array(keys, dtype=object), _matrix(rows))
+                keys, rows = [], []
+
+        for batch in batches:
+            for grp, t, part, side, qk, vk, x in zip(*(batch[c] for c in ("grp", "tile", "part", "side", "qk", "vk", "v")), strict=True):
+                if (grp, t, part) != place:
+                    if tile is not None:
+                        flush()
+                        yield tile.rows(place[0], skip_self)
+                    place, tile, asked_keys, asked_rows = (grp, t, part), None, [], []
+                if side == 0:
+                    asked_keys.append(qk)
+                    asked_rows.append(x)
+                    continue
+                if tile is None:
+                    if not asked_rows:
+                        continue  # no query of the group was dealt to this tile
+                    tile = Tile(np.array(asked_keys, dtype=object), _matrix(asked_rows), inner_k)
+                keys.append(vk)
+                rows.append(x)
+                if len(rows) >= BLOCK_ROWS:
+                    flush()
+        if tile is not None:
+            flush()
+            yield tile.rows(place[0], skip_self)
+
+    # keys are cast to text only where pandas would turn a nullable whole number into a fraction
+    whole = {c: kind for c, kind in (("qk", key_type), ("vk", vkey_type)) if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
+    filled = stream.select("grp", "tile", "part", "side", *[F.coalesce(c, F.lit(0).cast(whole[c])).alias(c) if c in whole else F.col(c) for c in ("qk", "vk")], "v")
+    partial = filled.mapInPandas(scan, schema)
     best = top_k(partial, ["grp", "query_key"], [F.round("score", DIGITS).desc(), F.col("vector_key")], k)
     return best.select(
         F.col("grp").cast(queries.schema[group].dataType).alias(group),

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from loomgraph.operators import similarity
 from loomgraph.operators.similarity import gram_range, top_k_dot
 
 
@@ -20,10 +21,10 @@ def brute(q, v, k, skip_self=False):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "cell_rows": 11}])
+@pytest.mark.parametrize("options", [{}, {"query_rows": 5, "part_rows": 11}])
 @pytest.mark.parametrize("skip_self", [False, True])
 def test_top_k_is_exact_on_ties(spark, options, skip_self):
-    """Integer vectors give many equal scores; both paths must settle them by key."""
+    """Integer vectors give many equal scores; every tiling must settle them by key."""
     q, v, qd, vd = tables(spark)
     got = top_k_dot(qd, vd, 4, skip_self=skip_self, **options).collect()
     assert {(r.client_id, r.query_key, r.vector_key, r.score, r["rank"]) for r in got} == brute(q, v, 4, skip_self)
@@ -44,6 +45,44 @@ def test_k_beyond_group_size(spark):
     assert {(r.client_id, r.query_key, r.vector_key, r.score, r["rank"]) for r in got} == brute(q, v, 50)
 
 
+def test_text_keys_and_groups_of_one_side_only(spark):
+    q = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [1.0, 0.0]), (None, "c", [0.0, 1.0])], "client_id int, query_key string, x array<double>")
+    v = spark.createDataFrame([(0, "y", [2.0, 1.0]), (0, "x", [2.0, 9.0]), (2, "z", [1.0, 1.0])], "client_id int, vector_key string, x array<double>")
+    got = [tuple(r) for r in top_k_dot(q, v, 2).orderBy("rank").collect()]
+    assert got == [(0, "a", "x", 2.0, 1), (0, "a", "y", 2.0, 2)]
+    assert top_k_dot(q.limit(0), v, 2).count() == 0 and top_k_dot(q, v.limit(0), 2).count() == 0
+
+
+def test_blocks_below_the_bound_are_not_multiplied():
+    """Directions of one axis each: after the own axis, blocks of other axes cannot reach the k-th score."""
+    rng = np.random.default_rng(2)
+    axes = np.eye(16)
+    queries = np.repeat(axes, 4, axis=0) + rng.normal(size=(64, 16)) * 0.01
+    tile = similarity.Tile(np.arange(64).astype(object), queries, 3)
+    held = [axes[a] + rng.normal(size=(200, 16)) * 0.01 for a in range(16)]
+    for a, x in enumerate(held):
+        tile.add(np.arange(a * 200, a * 200 + 200).astype(object), x)
+    every = queries @ np.concatenate(held).T
+    got = tile.rows(0, False)
+    for i in range(64):
+        assert set(got[got.query_key == i].vector_key) == set(np.argsort(-every[i])[:3].tolist())
+    assert tile.products < 0.7 * every.size
+
+
+def test_memory_of_a_full_tile():
+    """8,192 queries and 65,536 vectors of 384 numbers pass through a worker that holds the queries and one block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    queries = rng.normal(size=(similarity.QUERY_ROWS, 384))
+    tracemalloc.start()
+    tile = similarity.Tile(np.arange(len(queries)).astype(object), queries, 10)
+    for block in range(4):
+        tile.add(np.arange(1024 * block, 1024 * block + 1024).astype(object), rng.normal(size=(1024, 384)))
+    assert tracemalloc.get_traced_memory()[1] < 400 * 2**20
+    tracemalloc.stop()
+
+
 def test_gram_range(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i % 2), int(i), rng.standard_normal(5).tolist()) for i in range(40)]
