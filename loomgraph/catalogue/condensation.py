@@ -8,30 +8,19 @@ from ..functions.vectors import sum_vectors
 from ..operators import anchors as an
 from ..operators import condense as co
 from ..operators import topology as to
-from ..operators.ranking import top_k, topk_softmax
-from ..plans.condensation import condense
+from ..operators.ranking import topk_softmax
+from ..plans.condensation import condense, select_core
 from ..session import materialise
 from . import base
 from .base import DIM, LINKS, rounded, sql_dot, sql_encode, table
-from .graphs import DEGREES
+from .graphs import DEGREES, PAGERANK
 
-ANCHORS = 50
-
-
-def _selected(g):
-    """The best entities by degree and rarity, in score order."""
-    pool = an.entity_pool(g.nodes, g.neighbours, 0)
-    scores = an.entity_scores(pool, g.nodes, g.neighbours, None)
-    best = top_k(scores, ["client_id"], [F.round("score", 9).desc(), F.col("node_id")], ANCHORS)
-    return materialise(best.select("client_id", "node_id", (F.col("rank") - 1).cast("bigint").alias("pick")))
+CONFIG = an.AnchorConfig()
 
 
 def _core(spark, sf):
     g = base.index(spark, sf)
-    selected = _selected(g)
-    scored = an.neighbour_scores(selected, g.neighbours, g.nodes, g.vectors, DIM)
-    rows = materialise(an.motifs(selected, g.neighbours, scored))
-    return g, selected, rows, materialise(an.core_nodes(selected, rows, g.nodes))
+    return g, *select_core(g, CONFIG)
 
 
 def motif_neighbours(spark, sf):
@@ -136,7 +125,7 @@ def evidence_prior(spark, sf):
 
 
 def knn_topology(spark, sf):
-    """Degree-capped matching over the kNN rows (greedy, no SQL form)."""
+    """Degree-capped matching over the kNN rows."""
     return to.knn_topology(_vector_nodes(spark, sf), 8).select("client_id", "src", "dst", *rounded("weight"))
 
 
@@ -176,12 +165,23 @@ def _weighted(value: str, weight: str, keys: str, source: str, name: str) -> str
 {name} AS (SELECT {keys}, list(s ORDER BY i) AS v FROM {name}_c GROUP BY {keys})"""
 
 
-_CORE = f"""{LINKS}, {DEGREES},
-selected AS (SELECT client_id, node_id, rn - 1 AS pick FROM (
-  SELECT client_id, node_id, row_number() OVER (PARTITION BY client_id ORDER BY round(score, 9) DESC, node_id) AS rn FROM base_score) WHERE rn <= {ANCHORS}),
+# one row per client and step of the greedy loop: the best value is picked, the rest move closer to the picks
+_CORE = f"""{LINKS.replace('nodes AS (', 'nodes AS MATERIALIZED (').replace('edges AS (', 'edges AS MATERIALIZED (')}, {DEGREES}, {PAGERANK},
 nb AS (SELECT DISTINCT client_id, src AS node_id, dst AS neighbour FROM edges),
 deg AS (SELECT client_id, node_id, count(*) AS d FROM nb GROUP BY ALL),
 {sql_encode('nv', 'nodes', 'text', 'client_id, node_id')},
+cv0 AS MATERIALIZED (SELECT b.client_id, b.node_id, round(b.score + 0.5::DOUBLE * r.r, 9) AS score, [x / greatest(sqrt({sql_dot('v.v', 'v.v')}), 1e-12) FOR x IN v.v] AS v,
+  greatest(1, ceil(0.05 * count(*) OVER (PARTITION BY b.client_id))) AS k FROM base_score b JOIN r20 r ON r.client_id = b.client_id AND r.ent = b.node_id
+  JOIN nv v ON v.client_id = b.client_id AND v.node_id = b.node_id),
+arrays AS MATERIALIZED (SELECT client_id, any_value(k) AS k, list(node_id ORDER BY node_id) AS ids, list(score ORDER BY node_id) AS scores, list(v ORDER BY node_id) AS vs FROM cv0 GROUP BY client_id),
+loop AS (
+  SELECT client_id, 0 AS step, list_position(scores, list_max(scores)) AS best, [0.0::DOUBLE FOR x IN scores] AS nearest FROM arrays
+  UNION ALL
+  SELECT client_id, step, list_position(vals, list_max(vals)), nearest FROM (
+    SELECT client_id, step, nearest, list_transform(list_zip(scores, nearest), lambda x: round(x[1] - 0.3::DOUBLE * x[2], 9)) AS vals FROM (
+      SELECT a.client_id, l.step + 1 AS step, a.scores, list_transform(list_zip(l.nearest, a.vs), lambda x, i: CASE WHEN i = l.best THEN 1e18::DOUBLE ELSE greatest(x[1], list_dot_product(x[2], a.vs[l.best])) END) AS nearest
+      FROM loop l JOIN arrays a ON a.client_id = l.client_id WHERE l.step + 1 < a.k))),
+selected AS MATERIALIZED (SELECT l.client_id, a.ids[l.best] AS node_id, l.step AS pick FROM loop l JOIN arrays a ON a.client_id = l.client_id),
 near AS (SELECT n.client_id, n.node_id, v.v FROM nb n JOIN selected s ON s.client_id = n.client_id AND s.node_id = n.neighbour
   JOIN nv v ON v.client_id = n.client_id AND v.node_id = n.neighbour),
 mentions_n AS (SELECT client_id, node_id, count(*) AS m FROM near GROUP BY ALL),
@@ -241,6 +241,26 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, i OR
 _TYPED = "(ti = 0) <> (tj = 0)"
 
 
+def _matching(source: str, k: int) -> str:
+    """CTE ``kept`` (client_id, i, j, weight): one scan per client over the pairs of ``source`` (client_id, i, j, weight) in falling weight."""
+    return f"""sym AS (SELECT client_id, least(i, j) AS i, greatest(i, j) AS j, max(weight) AS weight FROM {source} WHERE i <> j GROUP BY ALL HAVING max(weight) > 0),
+place AS (SELECT client_id, node, row_number() OVER (PARTITION BY client_id ORDER BY node) AS p FROM (SELECT client_id, i AS node FROM sym UNION SELECT client_id, j FROM sym)),
+rows_in AS (SELECT s.client_id, s.i, s.j, s.weight, a.p AS a, b.p AS b, row_number() OVER (PARTITION BY s.client_id ORDER BY round(s.weight, 9) DESC, s.i, s.j) AS n
+  FROM sym s JOIN place a ON a.client_id = s.client_id AND a.node = s.i JOIN place b ON b.client_id = s.client_id AND b.node = s.j),
+lists AS MATERIALIZED (SELECT r.client_id, list(a ORDER BY n) AS la, list(b ORDER BY n) AS lb, count(*) AS m, (SELECT max(p) FROM place q WHERE q.client_id = r.client_id) AS nodes FROM rows_in r GROUP BY r.client_id),
+scan(client_id, n, room, good) USING KEY (client_id) AS (
+  SELECT client_id, 0::BIGINT, [{k} FOR x IN range(nodes)], [0::BIGINT] FROM lists
+  UNION
+  SELECT s.client_id, s.n + 1, CASE WHEN s.room[l.la[s.n + 1]] > 0 AND s.room[l.lb[s.n + 1]] > 0
+      THEN list_transform(s.room, lambda x, p: CASE WHEN p = l.la[s.n + 1] OR p = l.lb[s.n + 1] THEN x - 1 ELSE x END) ELSE s.room END,
+    CASE WHEN s.room[l.la[s.n + 1]] > 0 AND s.room[l.lb[s.n + 1]] > 0 THEN list_append(s.good, s.n + 1) ELSE s.good END
+  FROM scan s JOIN lists l ON l.client_id = s.client_id WHERE s.n < l.m),
+kept AS (SELECT r.client_id, r.i, r.j, r.weight FROM (SELECT client_id, unnest(good) AS n FROM scan) g JOIN rows_in r ON r.client_id = g.client_id AND r.n = g.n)"""
+
+
+_EDGES = "SELECT client_id, i AS src, j AS dst, round(weight, 6) + 0.0 AS weight FROM kept UNION ALL SELECT client_id, j, i, round(weight, 6) + 0.0 FROM kept"
+
+
 def _greedy(steps: int) -> str:
     ctes = ["p0 AS (SELECT client_id, node_id, round(e[1], 9) AS score, v, 0.0::DOUBLE AS nearest, CAST(NULL AS BIGINT) AS pick, greatest(1, ceil(0.05 * count(*) OVER (PARTITION BY client_id))) AS k "
             "FROM (SELECT vn.client_id, vn.node_id, e, v FROM vn JOIN un ON un.client_id = vn.client_id AND un.node_id = vn.node_id))"]
@@ -252,16 +272,16 @@ p{n + 1} AS MATERIALIZED (SELECT p.client_id, p.node_id, p.score, p.v, CASE WHEN
 
 
 SQL = {
-    "motif_neighbours": f"WITH {_CORE} SELECT client_id, anchor_id, node_type, CAST(rank AS INTEGER) AS rank, node_id, round(score, 6) + 0.0 AS score FROM motifs",
-    "core_nodes": f"WITH {_CORE} SELECT c.client_id, c.node_id, n.node_type, c.core_id FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id",
-    "core_edges": f"""WITH {_CORE} SELECT DISTINCT e.client_id, a.core_id AS src, b.core_id AS dst FROM edges e
+    "motif_neighbours": f"WITH RECURSIVE {_CORE} SELECT client_id, anchor_id, node_type, CAST(rank AS INTEGER) AS rank, node_id, round(score, 6) + 0.0 AS score FROM motifs",
+    "core_nodes": f"WITH RECURSIVE {_CORE} SELECT c.client_id, c.node_id, n.node_type, c.core_id FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id",
+    "core_edges": f"""WITH RECURSIVE {_CORE} SELECT DISTINCT e.client_id, a.core_id AS src, b.core_id AS dst FROM edges e
         JOIN core a ON a.client_id = e.client_id AND a.node_id = e.src JOIN core b ON b.client_id = e.client_id AND b.node_id = e.dst""",
-    "gated_neighbours": f"WITH {_GATED} SELECT client_id, core, hop, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score, round(weight, 6) AS weight FROM gate",
-    "gated_context": f"""WITH {_GATED}, gsrc AS (SELECT g.client_id, g.core AS node_id, t.v, g.weight * [0.4, 0.4, 0.2][g.hop + 1]::DOUBLE AS w FROM gate g
+    "gated_neighbours": f"WITH RECURSIVE {_GATED} SELECT client_id, core, hop, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score, round(weight, 6) AS weight FROM gate",
+    "gated_context": f"""WITH RECURSIVE {_GATED}, gsrc AS (SELECT g.client_id, g.core AS node_id, t.v, g.weight * [0.4, 0.4, 0.2][g.hop + 1]::DOUBLE AS w FROM gate g
           JOIN tv t ON t.client_id = g.client_id AND t.node_id = g.node_id), {_weighted('v', 'w', 'client_id, node_id', 'gsrc', 'ctx')}
         SELECT client_id, node_id, unnest(range({DIM})) AS i, round(unnest(v), 6) + 0.0 AS value FROM ctx""",
-    "selected_chunks": f"WITH {_CHUNKS} SELECT client_id, core, node_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM chosen",
-    "fused_vectors": f"""WITH {_CHUNKS}, {_weighted('v', 'weight', 'client_id, core', 'chosen', 'tt')},
+    "selected_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT client_id, core, node_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM chosen",
+    "fused_vectors": f"""WITH RECURSIVE {_CHUNKS}, {_weighted('v', 'weight', 'client_id, core', 'chosen', 'tt')},
         core_n AS MATERIALIZED (SELECT c.*, n.node_type FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id),
         core_g AS MATERIALIZED (SELECT c.*, g.v AS gv FROM core_n c JOIN nv g ON g.client_id = c.client_id AND g.node_id = c.node_id),
         mixed AS (SELECT c.client_id, c.core_id, c.node_type, (c.node_id * 1103515245 + 12345) % 2147483647 AS hashed_local_id,
@@ -280,6 +300,7 @@ SQL = {
     "knn_rows_untyped": f"WITH {_knn('(c + 1) / 2', 5, 'TRUE')} SELECT client_id, i, j, round(weight, 6) + 0.0 AS weight FROM knn",
     "evidence_prior": f"""WITH {_knn('(c + 1) / 2', 8, _TYPED)} SELECT k.client_id, k.i, k.j, round((p.tc - s.lo) / (s.hi - s.lo + 1e-8), 6) + 0.0 AS prior
         FROM knn k JOIN pair p ON p.client_id = k.client_id AND p.i = k.i AND p.j = k.j JOIN span s ON s.client_id = k.client_id""",
+    "knn_topology": f"WITH RECURSIVE {_knn('(c + 1) / 2', 8, _TYPED)}, {_matching('knn', 8)} {_EDGES}",
     "topk_event_softmax": """WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, event_id) AS rank FROM events),
         t AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM r WHERE rank <= 3)
         SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, round(exp(value - m) / sum(exp(value - m)) OVER (PARTITION BY user_id), 6) AS weight FROM t""",

@@ -15,7 +15,6 @@ from .graph import ENTITY
 from .ranking import top_k
 from .similarity import gram_range, top_k_dot
 
-MATCH_ROWS = 2_000_000
 PRIOR_EPS = 1e-8
 
 
@@ -92,68 +91,31 @@ def symmetric_pairs(rows: DataFrame) -> DataFrame:
     ).agg(F.max("weight").alias("weight")).where("weight > 0")
 
 
-def degree_capped(pairs: DataFrame, k: int, group_rows: int = MATCH_ROWS) -> DataFrame:
+def degree_capped(pairs: DataFrame, k: int) -> DataFrame:
     """Greedy b-matching: pairs in falling weight are kept while both ends have degree below ``k``.
 
-    Ties fall to the smaller (i, j). Clients whose pair count is within ``group_rows`` run the scan
-    over arrays; larger ones use rounds of locally dominant pairs, which keep the same pairs.
+    Ties fall to the smaller (i, j). A pair that is among the best ``room`` open pairs of both its ends is kept by the
+    greedy scan whatever comes before it, so a round takes all such pairs, lowers the room of their ends and drops the
+    pairs of full nodes. Every round takes at least the best open pair. No client meets in one task.
     Input and output: client_id, i, j, weight with i < j.
     """
-    ranked = pairs.select("client_id", "i", "j", "weight", F.round("weight", 9).alias("_w"))
-    sizes = ranked.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).head()["n"] or 0
-    if largest > group_rows:
-        return degree_capped_rounds(ranked, k)
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_w", "i", "j"], ascending=[False, True, True])
-        codes, ends = pd.factorize(pd.concat([group["i"], group["j"]]))
-        a, b = codes[: len(group)], codes[len(group):]
-        room = np.full(len(ends), k)
-        taken = np.zeros(len(group), dtype=bool)
-        for n, (s, d) in enumerate(zip(a.tolist(), b.tolist())):
-            if room[s] > 0 and room[d] > 0:
-                taken[n] = True
-                room[s] -= 1
-                room[d] -= 1
-        return group.loc[taken, ["client_id", "i", "j", "weight"]]
-
-    return ranked.groupBy("client_id").applyInPandas(scan, pairs.select("client_id", "i", "j", "weight").schema)
-
-
-def degree_capped_rounds(ranked: DataFrame, k: int) -> DataFrame:
-    """The same matching by rounds: a pair is final once it is among the best remaining-room pairs
-    of both ends; pairs at a full node drop out. Runs until no pair is open."""
-    from .graph import both_directions
-
-    open_pairs = materialise(ranked)
+    keys = ["client_id", "i", "j"]
+    open_pairs = materialise(pairs.select(*keys, "weight", F.round("weight", 9).alias("_w"), F.lit(k).alias("room_i"), F.lit(k).alias("room_j")))
     taken: list[DataFrame] = []
-    while True:
-        sides = both_directions(open_pairs.select("client_id", F.col("i").alias("src"), F.col("j").alias("dst"), "_w", "i", "j"))
-        if taken:
-            used = both_directions(union_all(taken).select("client_id", F.col("i").alias("src"), F.col("j").alias("dst"))).groupBy(
-                "client_id", "src").agg(F.count(F.lit(1)).alias("used"))
-            sides = sides.join(used, ["client_id", "src"], "left")
-        else:
-            sides = sides.withColumn("used", F.lit(0))
-        place = top_k(sides, ["client_id", "src"], [F.col("_w").desc(), F.col("i"), F.col("j")], k, "_place")
-        good = place.where(F.col("_place") <= F.lit(k) - F.coalesce("used", F.lit(0)))
-        both = good.groupBy("client_id", "i", "j").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("client_id", "i", "j")
-        won = materialise(open_pairs.join(both, ["client_id", "i", "j"], "left_semi"))
-        if not won.head(1):
-            break
-        taken.append(won)
-        full = both_directions(union_all(taken).select("client_id", F.col("i").alias("src"), F.col("j").alias("dst"))).groupBy(
-            "client_id", "src").agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= k)
-        open_pairs = materialise(
-            open_pairs.join(won, ["client_id", "i", "j"], "left_anti")
-            .join(full.select("client_id", F.col("src").alias("i")), ["client_id", "i"], "left_anti")
-            .join(full.select("client_id", F.col("src").alias("j")), ["client_id", "j"], "left_anti"))
-        if not open_pairs.head(1):
-            break
-    if not taken:
-        return ranked.select("client_id", "i", "j", "weight").limit(0)
-    return union_all(taken).select("client_id", "i", "j", "weight")
+    while not open_pairs.isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("i").alias("node"), F.col("room_i").alias("room")), F.struct(F.col("j").alias("node"), F.col("room_j").alias("room")))).alias("_end")
+        sides = open_pairs.select(*keys, "_w", ends).select(*keys, "_w", "_end.node", "_end.room")
+        near = top_k(sides, ["client_id", "node"], [F.col("_w").desc(), F.col("i"), F.col("j")], k, "_place").where(F.col("_place") <= F.col("room"))
+        both = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").select(*keys, F.lit(True).alias("_won"))
+        marked = materialise(open_pairs.join(both, keys, "left"))
+        won = marked.where("_won")
+        taken.append(won.select(*keys, "weight"))
+        used = won.select("client_id", F.explode(F.array("i", "j")).alias("node")).groupBy("client_id", "node").agg(F.count(F.lit(1)).alias("used"))
+        rest = marked.where("_won IS NULL").drop("_won")
+        for end, room in (("i", "room_i"), ("j", "room_j")):
+            rest = rest.join(used.withColumnRenamed("node", end), ["client_id", end], "left").withColumn(room, F.col(room) - F.coalesce("used", F.lit(0))).where(F.col(room) > 0).drop("used")
+        open_pairs = materialise(rest)
+    return union_all(taken) if taken else pairs.select(*keys, "weight").limit(0)
 
 
 def edge_list(pairs: DataFrame) -> DataFrame:
