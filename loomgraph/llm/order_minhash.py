@@ -4,19 +4,21 @@
    hash functions takes the ``picks`` labelled shingles of least value and keeps them in text order; the
    ordered tuple is one bucket key. Two texts share a key with a chance that follows both the share of equal
    shingles and their order, that is, edit similarity.
-2. Candidates. Equal texts are one node. First the node of least key in a bucket is compared with all others,
-   so a group of copies of any size costs one pair per member. Members that the links so far leave in different
-   components are then compared with each other, those linked to the head included: a bucket's rows are cut into
-   tiles of ``tile`` rows and each pair of tiles is one small group. Rounds within and between tiles align
-   enough pairs to join copies with few; a last round aligns every agreeing pair still in two components. Pairs whose lengths or least values (one per hash function) rule similarity out are dropped before
-   any text is fetched.
+2. Candidates. Equal texts are one node. All nodes of a bucket are compared with the most typical one (which
+   shares its buckets with most texts) and, where that leaves the bucket in several components, with one drawn by a
+   hash, so a group of any size costs two pairs per member. Pairs whose lengths or least values (one per hash function) rule similarity out are dropped before any
+   text is fetched. A bucket still in several components goes on: every member loses the shingles that it shares
+   with the typical one, and what is left is sketched and bucketed again among members with the same typical text.
+   So texts that share no more than a passage part at once, and copies that share more meet again. Each level
+   takes shingles away, so levels end; each costs two pairs per member and bucket.
 3. Verification. Word sequences are aligned within a band: edit distance by bit vectors along diagonals
    of at most (1 - similarity) * longer length; similarity is 1 - distance / longer length.
 4. Classes. Connected components of the verified links by alternating stars, as Spark joins.
 
-No bucket, partner or candidate is capped. A pair is missed only where no sketch agrees or fewer than ``agree``
-of the least values do: below one in 10**5 where 0.8 of the shingles are shared, 2 % at 0.5. Word changes spread
-evenly share few shingles: by the formula 12 % are missed at similarity 0.9, 62 % at 0.857, 96 % at 0.8.
+No bucket, partner or candidate is capped. A pair is not tested where no sketch agrees or fewer than ``agree`` of the
+least values do: below one in 10**5 where 0.8 of the shingles are shared, 2 % at 0.5. Word changes spread evenly
+share few shingles: by the formula 12 % are missed at similarity 0.9, 62 % at 0.857, 96 % at 0.8. In a bucket of
+several components the same chance holds for the shingles that two members do not share with its typical text.
 
 Defined results: a null text is a class of its own; texts without a word are linked to equal texts only;
 equal texts (repeated rows included) share a class; a class is named by its least doc_id, null if it has
@@ -40,7 +42,6 @@ SKETCHES = 32
 PICKS = 3
 PERCENT = 80
 AGREE = 9  # of the least values of SKETCHES hash functions
-TILE = 2048
 FEW = 14  # values below the cut of a hash function expected per text
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(7)
@@ -160,94 +161,94 @@ def text_key(text):
     return F.unhex(F.md5(text))
 
 
+ENTRY = "grp bigint, key binary, n int, values binary, least binary, keys array<bigint>"
+
+
+def entries(grp, key, n, values: np.ndarray, owner: np.ndarray, sketches: int, picks: int, held: bool) -> pd.DataFrame:
+    """Rows of ENTRY from the shingles of several texts; ``values`` are kept where ``held``."""
+    found, least = sketch(values, owner, len(key), sketches, picks)
+    cuts = np.searchsorted(owner, np.arange(len(key) + 1))
+    return pd.DataFrame({"grp": grp, "key": key, "n": n, "values": [values[a:b].tobytes() if held else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                         "least": pd.Series([x.tobytes() for x in least], dtype=object), "keys": pd.Series(list(found.view(np.int64)), dtype=object)})
+
+
 def sketched(rows: DataFrame, sketches: int, picks: int) -> DataFrame:
-    """(key, n words, least values, keys) of rows (key, text); texts without a word are left out."""
+    """Rows of ENTRY, in one group and without values, of rows (key, text); texts without a word are left out."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
                 words, offsets = word_hashes(texts[a:b])
-                values, owner = shingles(words, offsets)
-                found, least = sketch(values, owner, b - a, sketches, picks)
                 some = np.flatnonzero(np.diff(offsets) > 0)
-                yield pd.DataFrame({"key": batch["key"].iloc[a:b].iloc[some].values, "n": np.diff(offsets)[some],
-                                    "least": pd.Series([x.tobytes() for x in least[some]], dtype=object), "keys": pd.Series(list(found[some].view(np.int64)), dtype=object)})
+                values, owner = shingles(words, offsets)
+                yield entries(0, batch["key"].iloc[a:b].iloc[some].values, np.diff(offsets)[some], values, np.searchsorted(some, owner), sketches, picks, False)
+
+    return rows.mapInPandas(work, ENTRY)
+
+
+def shingle_values(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """(grp, key, values): all shingles of the texts named by ``keys``, in the one group of the first level."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            offsets = np.concatenate(([0], np.cumsum([len(w) for w in batch["words"]])))
+            values, owner = shingles(np.concatenate(batch["words"].tolist()).view(np.uint64), offsets) if len(batch) else (np.zeros(0, np.uint64), np.zeros(0, int))
+            cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
+            yield pd.DataFrame({"grp": 0, "key": batch["key"].values, "values": [values[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    return rows.mapInPandas(work, "key binary, n int, least binary, keys array<bigint>")
+    return words.join(keys, "key", "left_semi").mapInPandas(work, "grp bigint, key binary, values binary")
+
+
+def residuals(held: DataFrame, pairs: DataFrame, sketches: int, picks: int) -> DataFrame:
+    """Rows of ENTRY: for (grp, a, b, n) what text b has beyond text a, in a group of its own for each (grp, a)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, size = 0, 0
+            for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
+                size += len(x) + len(y)
+                if size < 1 << 24 and k + 1 < len(batch):
+                    continue
+                part = batch.iloc[at:k + 1]
+                left = [own[~np.isin(own, np.frombuffer(head, np.uint64))] for head, own in zip(part["x"], (np.frombuffer(y, np.uint64) for y in part["y"]), strict=True)]
+                some = [i for i, v in enumerate(left) if len(v)]
+                if some:
+                    part = part.iloc[some]
+                    owner = np.repeat(np.arange(len(some)), [len(left[i]) for i in some])
+                    yield entries(part["next"].values, part["b"].values, part["n"].values, np.concatenate([left[i] for i in some]), owner, sketches, picks, True)
+                at, size = k + 1, 0
+
+    one = held.select("grp", F.col("key").alias("a"), F.col("values").alias("x"))
+    two = held.select("grp", F.col("key").alias("b"), F.col("values").alias("y"))
+    joined = pairs.join(one, ["grp", "a"]).join(two, ["grp", "b"])
+    return joined.select(F.xxhash64("grp", "a").alias("next"), "b", "n", "x", "y").mapInPandas(work, ENTRY)
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
-    """The pairs (a, b) with at least ``agree`` equal least values."""
+    """The pairs (grp, a, b) with at least ``agree`` equal least values."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), -1) for c in ("x", "y"))
             yield batch.loc[(x == y).sum(axis=1) >= agree, ["a", "b"]]
 
-    one, two = (nodes.select(F.col("key").alias(k), F.col("least").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(work, "a binary, b binary")
+    one, two = (nodes.select("grp", F.col("key").alias(k), F.col("least").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(one, ["grp", "a"]).join(two, ["grp", "b"]).select("a", "b", "x", "y").mapInPandas(work, "a binary, b binary")
 
 
-def unsettled(members: DataFrame, links: DataFrame, tile: int) -> DataFrame:
-    """(bucket, key, root, major, majors, minors): the members of every bucket that ``links`` leave in several components.
-
-    ``major`` marks the members of the bucket's largest component; a pair that is left has at most one of them.
-    ``majors`` and ``minors`` count the tiles of both kinds, 0 and 1 where the bucket fits one tile."""
-    held = members.join(components(links), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    per = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("roots")).where("roots > 1")
-    fits = F.col("c") <= tile
-    per = per.select("bucket", F.col("most.root").alias("most"), F.when(fits, 0).otherwise(F.ceil(F.col("most.c") / tile)).cast("int").alias("majors"),
-                     F.when(fits, 1).otherwise(F.ceil((F.col("c") - F.col("most.c")) / tile)).cast("int").alias("minors"))
-    return held.join(per, "bucket").select("bucket", "key", "root", (F.col("root") == F.col("most")).alias("major"), "majors", "minors")
-
-
-def among(held: DataFrame, nodes: DataFrame, percent: int, agree: int, step: str) -> DataFrame:
-    """Candidate pairs (a, b) of different components within the buckets of ``held`` (see ``unsettled``).
-
-    ``within`` and ``across`` give, within tiles or between two tiles, a forest: pairs enough to join whatever the
-    agreeing pairs could join, so a group of copies costs one pair per member. Alignment may reject pairs of it,
-    so ``all`` gives every agreeing pair that is left."""
-    forest = step != "all"
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key"])
-        least = np.frombuffer(b"".join(group["least"]), np.uint16).reshape(len(group), -1)
-        n, keys, own = group["n"].to_numpy(), group["key"].to_numpy(), group["own"].to_numpy()
-        one_tile = (group["one"] == group["two"]).iloc[0]
-        label, size = np.unique(group["root"].to_numpy(), return_inverse=True, return_counts=True)[1:]
-        most, out = int(np.argmax(size)), []
-        done = np.zeros(len(group), bool)  # all pairs of these rows were seen
-        for row in np.flatnonzero(label != most) if len(size) > 1 else ():
-            done[row] = True
-            others = np.flatnonzero((label != label[row]) & ~done)
-            if not one_tile:
-                others = others[own[others] != own[row]]
-            near = 100 * np.minimum(n[others], n[row]) >= percent * np.maximum(n[others], n[row])
-            near &= (least[others] == least[row]).sum(axis=1) >= agree
-            others = others[near]
-            if forest and len(others):
-                joined, first = np.unique(label[others], return_index=True)
-                others = others[first]
-                label[np.isin(label, joined)] = label[row]
-            out += [(keys[row], keys[x]) if keys[row] < keys[x] else (keys[x], keys[row]) for x in others]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    hashed = F.xxhash64("key")
-    own = F.when(F.col("major") & (F.col("majors") > 0), F.col("minors") + F.pmod(hashed, F.col("majors"))).otherwise(F.pmod(hashed, F.col("minors"))).cast("int")
-    dealt = held.withColumn("own", own).join(nodes.select("key", "n", "least"), "key")
-    if step == "within":
-        dealt = dealt.where(F.col("own") < F.col("minors")).withColumn("other", F.col("own"))
-    else:
-        last = F.when(F.col("own") < F.col("minors"), F.col("minors") + F.col("majors")).otherwise(F.col("minors"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int") - 1)))
-        if step == "across":
-            dealt = dealt.where("own <> other OR majors > 0")
-    dealt = dealt.select("bucket", "key", "root", "n", "least", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    if step == "across":
-        dealt = dealt.where("one <> two")
-    return dealt.groupBy("bucket", "one", "two").applyInPandas(pairs, "a binary, b binary")
+def with_heads(nodes: DataFrame) -> DataFrame:
+    """(grp, bucket, c, key, n, typical, drawn): members of every bucket of two or more with its two heads as (key, n).
+
+    The typical one shares its buckets with most texts (largest sum of logarithms of their sizes); keys are digests of
+    texts, so the least one is a fair draw."""
+    members = nodes.select("grp", "key", "n", F.explode("keys").alias("k")).select("grp", "key", "n", F.xxhash64("grp", "k").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = materialise(members.join(several, "bucket"))
+    common = members.groupBy("grp", "key").agg(F.round(F.sum(F.log("c")), 6).alias("common"))
+    told, who = members.join(common, ["grp", "key"]), F.struct("key", "n")
+    heads = told.groupBy("bucket").agg(F.max_by(who, F.struct("common", "key")).alias("typical"), F.min_by(who, "key").alias("drawn"))
+    return members.join(heads, "bucket")
 
 
 def aligned(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +270,7 @@ def aligned(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
 
 
 def words_of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, words) for the named texts, one row per text."""
+    """(key, words) for the named texts, one row per text; texts are shuffled once, whatever the number of keys."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,7 +279,7 @@ def words_of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
                 words, offsets = word_hashes(texts[a:b])
                 yield pd.DataFrame({"key": batch["key"].iloc[a:b].values, "words": pd.Series(np.split(words.view(np.int64), offsets[1:-1]), dtype=object)})
 
-    wanted = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    wanted = rows.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     return wanted.mapInPandas(work, "key binary, words array<bigint>")
 
 
@@ -300,39 +301,57 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_links(rows: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, percent: int = PERCENT, agree: int = AGREE, tile: int = TILE) -> DataFrame:
-    """Verified links (a, b) between different texts of ``rows`` (key, text); they join all that the similar
-    pairs of equal buckets join, without each of these pairs."""
-    nodes = sketched(rows, sketches, picks).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "least", "keys")])
-    nodes = materialise(nodes)
-    members = nodes.select("key", "n", F.explode("keys").alias("bucket"))
-    lead = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    grouped = members.join(lead, "bucket").where(F.col("key") != F.col("head.key")).select("bucket", "c", F.col("key").alias("b"), F.col("head.key").alias("a"), "n", F.col("head.n").alias("m"))
-    grouped = materialise(grouped)
-    pairs = grouped.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct()
-    tested = materialise(agreeing(pairs, nodes, agree))
-    words = materialise(words_of_keys(rows, tested.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    links = materialise(aligned(tested, words, percent))
-
-    # the head of a bucket has been compared with all of it; linked or not, the others are partners of each other
-    others, held = grouped.where("c > 2").select("bucket", F.col("b").alias("key")), None
-    for step in ("within", "across", "all"):
-        if held is None:
-            held = materialise(unsettled(others, links, tile))
-        if step == "across" and held.where("minors + majors > 1").isEmpty():
-            continue
-        more = materialise(among(held, nodes, percent, agree, step).distinct().join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        words = materialise(words_of_keys(rows, more.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        links, tested, held = links.unionByName(materialise(aligned(more, words, percent))), tested.unionByName(more), None
-    return links
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(key, root) after more ``links`` (a, b): only the roots that these join are worked through again."""
+    if roots is None:
+        return materialise(components(links))
+    if links.isEmpty():
+        return roots
+    named = roots.select(F.col("key").alias("k"), F.col("root").alias("r"))
+    between = links
+    for end in ("a", "b"):
+        between = between.join(named, F.col(end) == F.col("k"), "left").withColumn(end, F.coalesce("r", end)).drop("k", "r")
+    merged = materialise(components(between.where("a <> b").distinct()))
+    moved = roots.join(merged.select(F.col("key").alias("root"), F.col("root").alias("now")), "root", "left").select("key", F.coalesce("now", "root").alias("root"))
+    return materialise(moved.unionByName(merged.join(roots, "key", "left_anti").select("key", "root")))
+
+
+def near_roots(rows: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
+    """(key, root) of every text of ``rows`` (key, text) that has a verified link to another one."""
+    nodes = sketched(rows, sketches, picks).groupBy("key").agg(*[F.first(c).alias(c) for c in ("grp", "n", "least", "keys")])
+    nodes, tested, roots, drawn, words = materialise(nodes), None, None, None, None
+
+    def candidates(members: DataFrame, head: str, nodes: DataFrame) -> DataFrame:
+        h = F.col(head)
+        near = members.where((F.col("key") != h["key"]) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"])))
+        return agreeing(near.select("grp", F.least("key", h["key"]).alias("a"), F.greatest("key", h["key"]).alias("b")).distinct(), nodes, agree)
+
+    while True:
+        grouped = materialise(with_heads(nodes))
+        fresh = candidates(grouped, "typical", nodes)
+        fresh = (fresh if drawn is None else fresh.unionByName(drawn)).distinct()
+        fresh = materialise(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        if words is None:  # of all that share a bucket, for this and later levels
+            words = materialise(words_of_keys(rows, grouped.select("key").distinct()))
+        roots = joined_roots(roots, materialise(aligned(fresh, words, percent)))
+        # buckets of three or more that are not yet one component go on: with their drawn heads, and with what members share beyond the typical one
+        placed = grouped.where("c > 2").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        placed = materialise(placed.join(apart, "bucket", "left_semi").select("grp", "bucket", "key", "n", "typical", "drawn"))
+        if placed.isEmpty():
+            return roots
+        drawn = candidates(placed, "drawn", nodes)
+        rest = materialise(placed.where(F.col("key") != F.col("typical.key")).select("grp", F.col("typical.key").alias("a"), F.col("key").alias("b"), "n").distinct())
+        if "values" not in nodes.columns:
+            nodes = materialise(shingle_values(words, rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        nodes = materialise(residuals(nodes, rest, sketches, picks))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, root, doc_id, copies): for every different text its class and its least doc_id."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL")
-    roots = components(near_links(rows.select("key", "text"), **options))
+    roots = near_roots(rows.select("key", "text"), **options)
     per = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     return per.join(roots.unionByName(roots.select(F.col("root").alias("key"), "root").distinct()), "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), "doc_id", "copies")

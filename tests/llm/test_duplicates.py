@@ -71,16 +71,15 @@ def test_classes(spark, odd, empty):
     assert om.digest(empty).count() == 0
 
 
-def test_tiles_give_the_same_pairs(spark):
-    """The rest of a bucket is compared whole, whatever the tile size."""
+def test_pairs_inside_a_common_passage(spark):
+    """Texts that share half their words with all others still find the one text that they are a copy of."""
     base = prose(9, 60)
     rows = [(i, base + " " + prose(1000 + i // 2, 60)) for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id: r.class_id for r in om.digest(frame, tile=3).collect()} == {i: i - i % 2 for i in range(40)}
+    assert {r.doc_id: r.class_id for r in om.digest(frame).collect()} == {i: i - i % 2 for i in range(40)}
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_copies_unlike_each_other(spark, tile):
+def test_copies_unlike_each_other(spark):
     """Copies with a passage inserted at different places are like the original and some others only; the classes are those of brute force."""
     rng, texts = random.Random(31), []
     for g in range(12):
@@ -99,7 +98,24 @@ def test_copies_unlike_each_other(spark, tile):
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root = [new if r == old else r for r in root]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert {r.doc_id: r.class_id for r in om.digest(frame, tile=tile).collect()} == dict(enumerate(root))
+    assert {r.doc_id: r.class_id for r in om.digest(frame).collect()} == dict(enumerate(root))
+
+
+def test_pairs_grow_with_the_texts(spark, monkeypatch):
+    """n texts that share a passage of 60 words and differ in 30 are no copies; the pairs aligned for them stay in proportion to n."""
+    passage, counts, plain = prose(70, 60), [], om.aligned
+
+    def counting(pairs, words, percent):
+        counts[-1] += pairs.count()
+        return plain(pairs, words, percent)
+
+    monkeypatch.setattr(om, "aligned", counting)
+    for n in (100, 400):
+        counts.append(0)
+        rows = [(i, f"{passage} {prose(3000 + i, 30)}") for i in range(n)] + [(1000, f"{passage} {prose(3005, 29)} end")]
+        got = {r.doc_id: r.class_id for r in om.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got == {i: i for i in range(n)} | {1000: 5}
+    assert counts[1] <= 6 * counts[0] and counts[1] <= 64 * 400
 
 
 def test_one_of_each(odd, empty):
