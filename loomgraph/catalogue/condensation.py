@@ -143,7 +143,7 @@ def topk_event_softmax(spark, sf):
 
 
 def condensed_graph_edges(spark, sf):
-    """Whole condensation of the document graph to anchor edges (greedy steps, no SQL form)."""
+    """Whole condensation of the document graph to anchor edges."""
     return condense(base.index(spark, sf)).edges.select("client_id", "src", "dst", *rounded("weight"))
 
 
@@ -242,7 +242,7 @@ _TYPED = "(ti = 0) <> (tj = 0)"
 
 
 def _matching(source: str, k: int) -> str:
-    """CTE ``kept`` (client_id, i, j, weight): one scan per client over the pairs of ``source`` (client_id, i, j, weight) in falling weight."""
+    """CTE ``matched`` (client_id, i, j, weight): one scan per client over the pairs of ``source`` (client_id, i, j, weight) in falling weight."""
     return f"""sym AS (SELECT client_id, least(i, j) AS i, greatest(i, j) AS j, max(weight) AS weight FROM {source} WHERE i <> j GROUP BY ALL HAVING max(weight) > 0),
 place AS (SELECT client_id, node, row_number() OVER (PARTITION BY client_id ORDER BY node) AS p FROM (SELECT client_id, i AS node FROM sym UNION SELECT client_id, j FROM sym)),
 rows_in AS (SELECT s.client_id, s.i, s.j, s.weight, a.p AS a, b.p AS b, row_number() OVER (PARTITION BY s.client_id ORDER BY round(s.weight, 9) DESC, s.i, s.j) AS n
@@ -255,10 +255,10 @@ scan(client_id, n, room, good) USING KEY (client_id) AS (
       THEN list_transform(s.room, lambda x, p: CASE WHEN p = l.la[s.n + 1] OR p = l.lb[s.n + 1] THEN x - 1 ELSE x END) ELSE s.room END,
     CASE WHEN s.room[l.la[s.n + 1]] > 0 AND s.room[l.lb[s.n + 1]] > 0 THEN list_append(s.good, s.n + 1) ELSE s.good END
   FROM scan s JOIN lists l ON l.client_id = s.client_id WHERE s.n < l.m),
-kept AS (SELECT r.client_id, r.i, r.j, r.weight FROM (SELECT client_id, unnest(good) AS n FROM scan) g JOIN rows_in r ON r.client_id = g.client_id AND r.n = g.n)"""
+matched AS (SELECT r.client_id, r.i, r.j, r.weight FROM (SELECT client_id, unnest(good) AS n FROM scan) g JOIN rows_in r ON r.client_id = g.client_id AND r.n = g.n)"""
 
 
-_EDGES = "SELECT client_id, i AS src, j AS dst, round(weight, 6) + 0.0 AS weight FROM kept UNION ALL SELECT client_id, j, i, round(weight, 6) + 0.0 FROM kept"
+_EDGES = "SELECT client_id, i AS src, j AS dst, round(weight, 6) + 0.0 AS weight FROM matched UNION ALL SELECT client_id, j, i, round(weight, 6) + 0.0 FROM matched"
 
 
 def _greedy(steps: int) -> str:
@@ -271,6 +271,14 @@ p{n + 1} AS MATERIALIZED (SELECT p.client_id, p.node_id, p.score, p.v, CASE WHEN
     return ",\n".join(ctes)
 
 
+_FUSED = f"""{_CHUNKS}, {_weighted('v', 'weight', 'client_id, core', 'chosen', 'tt')},
+core_n AS MATERIALIZED (SELECT c.*, n.node_type FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id),
+core_g AS MATERIALIZED (SELECT c.*, g.v AS gv FROM core_n c JOIN nv g ON g.client_id = c.client_id AND g.node_id = c.node_id),
+mixed AS (SELECT c.client_id, c.core_id, c.node_type, (c.node_id * 1103515245 + 12345) % 2147483647 AS hashed_local_id,
+  [c.gv[k] + 0.5::DOUBLE * t.v[k] FOR k IN range(1, {DIM} + 1)] AS m FROM core_g c JOIN tt t ON t.client_id = c.client_id AND t.core = c.node_id),
+cent AS (SELECT client_id, core_id, node_type, hashed_local_id, [x - list_avg(m) FOR x IN m] AS d FROM mixed),
+fused AS MATERIALIZED (SELECT client_id, core_id, node_type, hashed_local_id, [x / sqrt(list_dot_product(d, d) / {DIM} + 1e-5) FOR x IN d] AS v FROM cent)"""
+
 SQL = {
     "motif_neighbours": f"WITH RECURSIVE {_CORE} SELECT client_id, anchor_id, node_type, CAST(rank AS INTEGER) AS rank, node_id, round(score, 6) + 0.0 AS score FROM motifs",
     "core_nodes": f"WITH RECURSIVE {_CORE} SELECT c.client_id, c.node_id, n.node_type, c.core_id FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id",
@@ -281,14 +289,13 @@ SQL = {
           JOIN tv t ON t.client_id = g.client_id AND t.node_id = g.node_id), {_weighted('v', 'w', 'client_id, node_id', 'gsrc', 'ctx')}
         SELECT client_id, node_id, unnest(range({DIM})) AS i, round(unnest(v), 6) + 0.0 AS value FROM ctx""",
     "selected_chunks": f"WITH RECURSIVE {_CHUNKS} SELECT client_id, core, node_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(weight, 6) AS weight FROM chosen",
-    "fused_vectors": f"""WITH RECURSIVE {_CHUNKS}, {_weighted('v', 'weight', 'client_id, core', 'chosen', 'tt')},
-        core_n AS MATERIALIZED (SELECT c.*, n.node_type FROM core c JOIN nodes n ON n.client_id = c.client_id AND n.node_id = c.node_id),
-        core_g AS MATERIALIZED (SELECT c.*, g.v AS gv FROM core_n c JOIN nv g ON g.client_id = c.client_id AND g.node_id = c.node_id),
-        mixed AS (SELECT c.client_id, c.core_id, c.node_type, (c.node_id * 1103515245 + 12345) % 2147483647 AS hashed_local_id,
-          [c.gv[k] + 0.5::DOUBLE * t.v[k] FOR k IN range(1, {DIM} + 1)] AS m FROM core_g c JOIN tt t ON t.client_id = c.client_id AND t.core = c.node_id),
-        cent AS (SELECT client_id, core_id, node_type, hashed_local_id, [x - list_avg(m) FOR x IN m] AS d FROM mixed)
-        SELECT client_id, core_id, node_type, hashed_local_id, unnest(range({DIM})) AS i,
-        round(unnest([x / sqrt(list_dot_product(d, d) / {DIM} + 1e-5) FOR x IN d]), 6) + 0.0 AS value FROM cent""",
+    "fused_vectors": f"""WITH RECURSIVE {_FUSED}
+        SELECT client_id, core_id, node_type, hashed_local_id, unnest(range({DIM})) AS i, round(unnest(v), 6) + 0.0 AS value FROM fused""",
+    "condensed_graph_edges": f"""WITH RECURSIVE {_FUSED},
+        fu AS MATERIALIZED (SELECT client_id, core_id, node_type, [x / greatest(sqrt(list_dot_product(v, v)), 1e-12) FOR x IN v] AS v FROM fused),
+        pw AS (SELECT a.client_id, a.core_id AS i, b.core_id AS j, list_dot_product(a.v, b.v) AS c FROM fu a JOIN fu b ON b.client_id = a.client_id AND (a.node_type = 0) <> (b.node_type = 0)),
+        knn AS (SELECT client_id, i, j, (c + 1) / 2 AS weight FROM pw WHERE c > -1 QUALIFY row_number() OVER (PARTITION BY client_id, i ORDER BY round(c, 9) DESC, j) <= 8),
+        {_matching('knn', 8)} {_EDGES}""",
     "pooled_text_vectors": f"""WITH {base.PASSAGES}, chunk_src AS (SELECT idx AS node_id, chunk_id, array_to_string(w[chunk_id * 64 + 1 : chunk_id * 64 + 64], ' ') AS text FROM (
           SELECT idx, w, unnest(range(greatest(CAST(ceil(len(w) / 64.0) AS BIGINT), 1))) AS chunk_id FROM (SELECT idx, string_split({base.sql_squeeze('text')}, ' ') AS w FROM passages)) t),
         {sql_encode('cv', 'chunk_src', 'text', 'node_id, chunk_id')}

@@ -69,7 +69,7 @@ def activated_entities(spark, sf):
 
 
 def activated_entities_ordered(spark, sf):
-    """Sequential mode; visiting order has no SQL form, tests compare it with a direct loop."""
+    """Sequential mode: a sentence taken by an earlier entity is gone for later ones."""
     _, (_, activated) = _spread(spark, sf, "ordered")
     return activated.select("client_id", "qid", "entity_id", F.col("tier").cast("int").alias("tier"), *rounded("score"))
 
@@ -199,14 +199,47 @@ activated AS (SELECT * FROM (
   UNION ALL SELECT client_id, qid, entity_id, score, 2 FROM cur2 WHERE score >= 0.5)
   QUALIFY row_number() OVER (PARTITION BY client_id, qid, entity_id ORDER BY tier DESC) = 1)"""
 
-_BONUS = f"""{_SPREAD},
-named AS (SELECT a.*, lower(n.text) AS needle FROM activated a JOIN nodes n ON n.client_id = a.client_id AND n.hash_id = a.entity_id),
+def _visit(n: int, used: str) -> str:
+    """One hop in order: entities take their best free sentence one after the other."""
+    anti = f"AND (l.client_id, a.qid, l.sentence_id) NOT IN (SELECT client_id, qid, sentence_id FROM {used})" if used else ""
+    return f"""act{n} AS MATERIALIZED (SELECT client_id, qid, entity_id, score, row_number() OVER (PARTITION BY client_id, qid ORDER BY place) AS place FROM go{n} WHERE score >= 0.5),
+free{n} AS MATERIALIZED (SELECT a.client_id, a.qid, a.place, a.score, l.sentence_id, round({sql_dot('s.v', 'q.v')}, 9) AS sim FROM act{n} a JOIN inc l ON l.client_id = a.client_id AND l.entity_id = a.entity_id
+  JOIN sv s ON s.client_id = l.client_id AND s.hash_id = l.sentence_id JOIN qv q ON q.qid = a.qid WHERE TRUE {anti}),
+wish{n} AS MATERIALIZED (SELECT client_id, qid, place, list(sentence_id ORDER BY sim DESC, sentence_id) AS wishes FROM free{n} GROUP BY ALL),
+walk{n}(client_id, qid, place, gone, picks) USING KEY (client_id, qid) AS (
+  SELECT DISTINCT client_id, qid, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM act{n}
+  UNION
+  SELECT w.client_id, w.qid, w.place + 1, CASE WHEN f.pick IS NULL THEN w.gone ELSE list_append(w.gone, f.pick) END, list_append(w.picks, f.pick)
+  FROM walk{n} w JOIN (SELECT a.client_id, a.qid, a.place, v.qid AS has, list_filter(h.wishes, lambda x: NOT list_contains(v.gone, x))[1] AS pick FROM act{n} a
+    JOIN walk{n} v ON v.client_id = a.client_id AND v.qid = a.qid AND a.place = v.place + 1
+    LEFT JOIN wish{n} h ON h.client_id = a.client_id AND h.qid = a.qid AND h.place = a.place) f ON f.client_id = w.client_id AND f.qid = w.qid AND f.place = w.place + 1),
+took{n} AS MATERIALIZED (SELECT w.client_id, w.qid, f.place, f.sentence_id, f.score * f.sim AS score FROM walk{n} w JOIN free{n} f ON f.client_id = w.client_id AND f.qid = w.qid AND w.picks[f.place] = f.sentence_id),
+trig{n} AS (SELECT t.client_id, t.qid, l.entity_id, t.score, t.place FROM took{n} t JOIN inc l ON l.client_id = t.client_id AND l.sentence_id = t.sentence_id WHERE t.score >= 0.5),
+sum{n} AS MATERIALIZED (SELECT client_id, qid, entity_id, sum(score) AS weight, arg_max(score, place) AS score, min(place) AS first FROM trig{n} GROUP BY ALL)"""
+
+
+_ORDERED = f"""{_SEEDS}, {_QVEC},
+sent_src AS (SELECT client_id, hash_id, text FROM nodes WHERE node_type = 1),
+{sql_encode('sv', 'sent_src', 'text', 'client_id, hash_id')},
+inc AS (SELECT DISTINCT client_id, 'entity-' || md5(entity) AS entity_id, 'sentence-' || md5(sentence) AS sentence_id FROM mentions),
+uniq AS (SELECT client_id, qid, entity_id, arg_max(score, mention) AS score, min(mention) AS position FROM seeds GROUP BY ALL),
+go1 AS (SELECT client_id, qid, entity_id, score, row_number() OVER (PARTITION BY client_id, qid ORDER BY position, entity_id) AS place FROM uniq),
+{_visit(1, '')},
+go2 AS (SELECT client_id, qid, entity_id, score, row_number() OVER (PARTITION BY client_id, qid ORDER BY first, entity_id) AS place FROM sum1),
+{_visit(2, 'took1')},
+spread_weights AS (SELECT client_id, qid, entity_id, sum(w) AS weight FROM (
+  SELECT client_id, qid, entity_id, score AS w FROM uniq UNION ALL SELECT client_id, qid, entity_id, weight FROM sum1 UNION ALL SELECT client_id, qid, entity_id, weight FROM sum2) GROUP BY ALL),
+activated AS (SELECT * FROM (SELECT client_id, qid, entity_id, score, 1 AS tier FROM uniq UNION ALL SELECT client_id, qid, entity_id, score, 2 FROM sum1 UNION ALL SELECT client_id, qid, entity_id, score, 3 FROM sum2)
+  QUALIFY row_number() OVER (PARTITION BY client_id, qid, entity_id ORDER BY tier DESC) = 1)"""
+
+_NAMED = """named AS (SELECT a.*, lower(n.text) AS needle FROM activated a JOIN nodes n ON n.client_id = a.client_id AND n.hash_id = a.entity_id),
 needles AS (SELECT DISTINCT client_id, needle FROM named),
 occ AS (SELECT p.client_id, p.passage_id, n.needle,
     CAST((length(lower(p.text)) - length(replace(lower(p.text), n.needle, ''))) / length(n.needle) AS BIGINT) AS k
   FROM passages p JOIN needles n ON n.client_id = p.client_id WHERE contains(lower(p.text), n.needle)),
 bonus AS (SELECT o.client_id, a.qid, o.passage_id AS node, sum(a.score * ln(1 + o.k) / greatest(a.tier, 1)) AS bonus
   FROM occ o JOIN named a ON a.client_id = o.client_id AND a.needle = o.needle GROUP BY ALL)"""
+_BONUS = f"{_SPREAD},\n{_NAMED}"
 
 _DENSE = f"""{sql_encode('pv', 'passages', 'text', 'client_id, passage_id')},
 dense AS (SELECT p.client_id, q.qid, p.passage_id, round({sql_dot('p.v', 'q.v')}, 9) AS s FROM pv p, qv q)"""
@@ -217,7 +250,7 @@ def _walk() -> str:
   SELECT qid, id, v FROM y0 UNION ALL SELECT y.qid, m.dst, m.p * y.v FROM y{k - 1} y JOIN imoves m ON m.src = y.id) GROUP BY qid, id)""" for k in range(1, SQL_STEPS + 1))
 
 
-def _ranking(boost: bool) -> str:
+def _ranking(boost: bool, spread: str = _SPREAD) -> str:
     from ..functions.text import ATTRIBUTE_KEYWORDS
 
     words = ", ".join(f"'{k}'" for k in ATTRIBUTE_KEYWORDS)
@@ -226,7 +259,8 @@ def _ranking(boost: bool) -> str:
         is_attr = f"len([k FOR k IN [{words}] IF list_contains(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}_]+'), k)]) > 0"
         overlap = f"len([k FOR k IN [{words}] IF contains(lower(b.text), k) AND contains(lower(t.text), k)])"
         extra = f"+ CASE WHEN {is_attr} THEN 0.25 * ln(1 + {overlap}) ELSE 0 END"
-    return f"""{_BONUS}, {_DENSE}, {TRANSITIONS},
+    return f"""{spread},
+{_NAMED}, {_DENSE}, {TRANSITIONS},
 span AS (SELECT client_id, qid, min(s) AS lo, max(s) AS hi FROM dense GROUP BY ALL),
 ids AS MATERIALIZED (SELECT client_id, hash_id, row_number() OVER () AS id FROM nodes),
 imoves AS MATERIALIZED (SELECT s.id AS src, d.id AS dst, 0.5::DOUBLE * m.p AS p FROM moves m
@@ -272,6 +306,8 @@ SQL = {
     "passage_entity_bonus": f"WITH {_BONUS} SELECT client_id, qid, node, round(bonus, 6) + 0.0 AS bonus FROM bonus",
     "ranked_passages": f"WITH {_ranking(False)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
     "ranked_passages_boosted": f"WITH {_ranking(True)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
+    "activated_entities_ordered": f"WITH RECURSIVE {_ORDERED} SELECT client_id, qid, entity_id, tier, round(score, 6) + 0.0 AS score FROM activated",
+    "ranked_passages_ordered": f"WITH RECURSIVE {_ranking(False, _ORDERED)} SELECT client_id, qid, passage_id, CAST(rank AS INTEGER) AS rank, round(score, 9) + 0.0 AS score FROM ranked",
     "federated_ranking": f"""WITH {_ranking(False)}, f AS (
         SELECT qid, client_id, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, client_id, passage_id) AS rank FROM ranked)
         SELECT qid, client_id, passage_id, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5""",

@@ -60,7 +60,7 @@ def sample_pool(samples: DataFrame, per_client: int, seed: int, round_no: int, k
     """Up to ``per_client`` rows of every client's training pool, redrawn per round (0 = all)."""
     if per_client <= 0:
         return samples
-    order = F.xxhash64(F.lit(seed), F.lit(round_no), F.col(key))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(round_no)), F.col(key).cast("string")))
     w = Window.partitionBy("client_id").orderBy(order, F.col(key))
     return samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_client).drop("_r")
 
@@ -90,19 +90,20 @@ def initial_global_nodes(anchors: DataFrame, total: int, dim: int, seed: int = 0
     """(node_id, node_type, x): ``total`` synthetic nodes drawn with replacement from the anchors of
     their type plus 0.01 noise; a type without anchors starts at 0.02 noise.
 
-    Only the draws (row numbers and noise, ``total`` of them) come from the driver; the rows are fetched
-    by a join on distributed row numbers."""
+    Row numbers and noise are hashes of (node, component, seed), so no draw passes through the driver; only the three
+    type counts do."""
     spark = anchors.sparkSession
     counts = {r["node_type"]: r["n"] for r in type_counts(anchors).collect()}
     sizes = [int(counts.get(t, 0)) for t in range(3)]
-    rng = np.random.default_rng(seed)
-    draws, node = [], 0
-    for t, count in enumerate(apportion(sizes, total)):
-        for _ in range(count):
-            row = int(rng.integers(sizes[t])) if sizes[t] else -1
-            draws.append((node, t, row, (rng.standard_normal(dim) * (0.01 if sizes[t] else 0.02)).tolist()))
-            node += 1
-    drawn = spark.createDataFrame(draws, "node_id bigint, node_type int, row bigint, noise array<double>")
+    shares = apportion(sizes, total)
+    kind = F.when(F.col("node_id") < shares[0], 0).when(F.col("node_id") < shares[0] + shares[1], 1).otherwise(2)
+    size = F.get(F.array(*[F.lit(n).cast("bigint") for n in sizes]), F.col("node_type"))
+    word = lambda at: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("node_id").cast("string"), at, F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    even = lambda at: (word(at) + 0.5) / F.lit(4294967296.0)
+    normal = lambda i: F.sqrt(-2 * F.log(even(F.concat(F.lit("r"), i.cast("string"))))) * F.cos(F.lit(2 * np.pi) * even(F.concat(F.lit("a"), i.cast("string"))))
+    drawn = spark.range(total).select(F.col("id").alias("node_id")).withColumn("node_type", kind).select(
+        "node_id", "node_type", F.when(size > 0, F.pmod(word(F.lit("row")), size)).otherwise(-1).alias("row"),
+        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: normal(i) * F.when(size > 0, 0.01).otherwise(0.02)).alias("noise"))
     bucket = F.concat_ws("/", F.lpad(F.col("client_id").cast("string"), 10, "0"), F.lpad(F.floor(F.col("core_id") / 1024).cast("string"), 12, "0"))
     rows = numbered(anchors.select("client_id", "core_id", F.col("node_type").cast("int").alias("node_type"), "x"), ["node_type"],
                     [F.col("client_id"), F.col("core_id")], bucket, "row").select("node_type", "row", "x")

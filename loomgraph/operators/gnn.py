@@ -18,8 +18,9 @@ from .surrogate import KEYS, _affine, normalised_adjacency, spread
 
 @dataclass
 class Layer:
-    """weight [out, in] and bias of a convolution layer; attention layers also use the vectors and
-    matrices below (per head), see ``attention_layer`` and ``transformer_layer``."""
+    """weight [out, in] and bias of a convolution layer. Attention layers hold ``heads`` heads one after the other along
+    the rows of weight, query, key and skip and along attend_src and attend_dst; see ``attention_layer`` and
+    ``transformer_layer``."""
 
     weight: np.ndarray
     bias: np.ndarray | None = None
@@ -28,6 +29,7 @@ class Layer:
     query: np.ndarray | None = None
     key: np.ndarray | None = None
     skip: np.ndarray | None = None
+    heads: int = 1
 
 
 def _activate(table: DataFrame, norm: bool) -> DataFrame:
@@ -49,15 +51,22 @@ def convolution(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> Data
     return table
 
 
-def _softmax_sum(scored: DataFrame, dim: int) -> DataFrame:
-    """Attention sum per target: edge rows (client_id, dst, e, v) to softmax(e)-weighted v.
+def _heads(vector, heads: int, dim: int) -> list:
+    return [F.slice(vector, h * dim + 1, dim) for h in range(heads)]
 
-    The maximum comes from an aggregate joined back, so a hub's edges never form one window."""
-    top = scored.groupBy("client_id", "dst").agg(F.max("e").alias("top"))
-    weighted = scored.join(top, ["client_id", "dst"]).withColumn("w", F.exp(F.col("e") - F.col("top")))
-    total = sum_vectors(weighted, ["client_id", "dst"], "v", dim, weight=F.col("w"), name="s", extra=[F.sum("w").alias("z")])
-    return total.select("client_id", F.col("dst").alias("node_id"),
-                        F.zip_with("s", F.array_repeat("z", F.size("s")), lambda a, z: a / z).alias("x"))
+
+def _softmax_sum(scored: DataFrame, heads: int, dim: int) -> DataFrame:
+    """Attention sums per target: edge rows (client_id, dst, e0, e1, ..., v) to the softmax(e)-weighted parts of v, one after the other.
+
+    The maxima come from an aggregate joined back, so a hub's edges never form one window."""
+    names = [f"e{h}" for h in range(heads)]
+    top = scored.groupBy("client_id", "dst").agg(*[F.max(n).alias(f"top{n}") for n in names])
+    weighted = scored.join(top, ["client_id", "dst"]).select("client_id", "dst", "v", *[F.exp(F.col(n) - F.col(f"top{n}")).alias(n) for n in names])
+    parts = [F.zip_with(part, F.array_repeat(n, dim), lambda v, w: v * w) for n, part in zip(names, _heads(F.col("v"), heads, dim), strict=True)]
+    weighted = weighted.select("client_id", "dst", F.concat(*parts).alias("v"), *names)
+    total = sum_vectors(weighted, ["client_id", "dst"], "v", heads * dim, name="s", extra=[F.sum(n).alias(n) for n in names])
+    shares = [F.zip_with(part, F.array_repeat(n, dim), lambda v, z: v / z) for n, part in zip(names, _heads(F.col("s"), heads, dim), strict=True)]
+    return total.select("client_id", F.col("dst").alias("node_id"), F.concat(*shares).alias("x"))
 
 
 def _with_self(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,29 +75,34 @@ def _with_self(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def attention_layer(table: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0.2) -> DataFrame:
-    """One-head graph attention: softmax over incoming edges (self loop added) of
-    leaky(a_src.h_src + a_dst.h_dst)."""
+    """Graph attention: per head a softmax over incoming edges (self loop added) of leaky(a_src.h_src + a_dst.h_dst);
+    the heads' sums are averaged."""
+    heads, dim = layer.heads, layer.weight.shape[0] // layer.heads
     h = materialise(table.select(*KEYS, _affine(layer.weight, None, False)(F.col("x").cast("array<double>")).alias("h")))
-    s = h.select("client_id", F.col("node_id").alias("src"), F.col("h").alias("v"), dot(F.col("h"), F.lit(layer.attend_src.tolist())).alias("es"))
-    d = h.select("client_id", F.col("node_id").alias("dst"), dot(F.col("h"), F.lit(layer.attend_dst.tolist())).alias("ed"))
-    raw = F.col("es") + F.col("ed")
-    scored = _with_self(table, edges).join(s, ["client_id", "src"]).join(d, ["client_id", "dst"]).select(
-        "client_id", "dst", F.when(raw >= 0, raw).otherwise(raw * F.lit(slope)).alias("e"), "v")
-    out = _softmax_sum(scored, layer.weight.shape[0])
+    each = lambda a, name: [dot(part, F.lit(own.tolist())).alias(f"{name}{n}") for n, (part, own) in enumerate(zip(_heads(F.col("h"), heads, dim), np.split(a, heads), strict=True))]
+    s = h.select("client_id", F.col("node_id").alias("src"), F.col("h").alias("v"), *each(layer.attend_src, "s"))
+    d = h.select("client_id", F.col("node_id").alias("dst"), *each(layer.attend_dst, "d"))
+    leaky = [F.when(raw >= 0, raw).otherwise(raw * F.lit(slope)).alias(f"e{n}") for n in range(heads) for raw in [F.col(f"s{n}") + F.col(f"d{n}")]]
+    scored = _with_self(table, edges).join(s, ["client_id", "src"]).join(d, ["client_id", "dst"]).select("client_id", "dst", "v", *leaky)
+    mean = F.transform(_heads(F.col("x"), heads, dim)[0], lambda v: v / heads)
+    for part in _heads(F.col("x"), heads, dim)[1:]:
+        mean = F.zip_with(mean, part, lambda a, v: a + v / heads)
+    out = _softmax_sum(scored, heads, dim).withColumn("x", mean)
     return out if layer.bias is None else out.withColumn("x", F.zip_with("x", F.lit(layer.bias.tolist()), lambda a, b: a + b))
 
 
 def transformer_layer(table: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
-    """One-head transformer convolution: softmax over incoming edges of q.k/sqrt(d), plus the skip projection."""
-    dim = layer.weight.shape[0]
+    """Transformer convolution: per head a softmax over incoming edges of q.k/sqrt(d); the heads' sums one after the
+    other, plus the skip projection."""
+    heads, dim = layer.heads, layer.weight.shape[0] // layer.heads
     x = F.col("x").cast("array<double>")
     base = materialise(table.select(*KEYS, _affine(layer.query, None, False)(x).alias("q"), _affine(layer.key, None, False)(x).alias("k"),
                                     _affine(layer.weight, layer.bias, False)(x).alias("v"), _affine(layer.skip, None, False)(x).alias("skip")))
     s = base.select("client_id", F.col("node_id").alias("src"), "k", "v")
     d = base.select("client_id", F.col("node_id").alias("dst"), "q")
-    scored = edges.select("client_id", "src", "dst").distinct().join(s, ["client_id", "src"]).join(d, ["client_id", "dst"]).select(
-        "client_id", "dst", (dot(F.col("q"), F.col("k")) / F.lit(float(dim) ** 0.5)).alias("e"), "v")
-    message = _softmax_sum(scored, dim).withColumnRenamed("x", "m")
+    scores = [(dot(q, k) / F.lit(float(dim) ** 0.5)).alias(f"e{n}") for n, (q, k) in enumerate(zip(_heads(F.col("q"), heads, dim), _heads(F.col("k"), heads, dim), strict=True))]
+    scored = edges.select("client_id", "src", "dst").distinct().join(s, ["client_id", "src"]).join(d, ["client_id", "dst"]).select("client_id", "dst", "v", *scores)
+    message = _softmax_sum(scored, heads, dim).withColumnRenamed("x", "m")
     return base.join(message, KEYS, "left").select(
         *KEYS, F.when(F.col("m").isNull(), F.col("skip")).otherwise(F.zip_with("skip", "m", lambda a, b: a + b)).alias("x"))
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, sum_vectors, union_all
 from ..session import materialise
 from .graph import both_directions
+from .ranking import numbered
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 KEYS = ["client_id", "node_id"]
-NEGATIVE_TRIES = 20
 
 
 def init_layers(input_dim: int, hidden: int, output: int = 3, num_layers: int = 2, seed: int = 0) -> Layers:
@@ -87,23 +87,34 @@ def forward(nodes: DataFrame, adjacency: DataFrame, layers: Layers) -> DataFrame
     return table
 
 
+def drawn(salt: int, seed: int, *columns: str):
+    """A whole number of 32 bits from the columns; the same on every retry and in SQL."""
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)), F.lit(str(salt)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def negative_edges(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
-    """(client_id, src, dst): one random non-adjacent pair per edge (the first valid of 20 draws).
+    """(client_id, src, dst): one random non-adjacent pair per edge. Needs node ids 0..n-1.
 
-    Draws come from a hash of the edge, so a retried task repeats them. Needs node ids 0..n-1."""
+    Rank and skip: a hash of the edge draws a node among those that are not linked to all others, and a number below
+    the count of its non-neighbours; the node of that rank follows from the sorted neighbour list without trying. So
+    every edge has its pair, unless its client is a complete graph, and nothing is drawn twice."""
     sizes = nodes.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    linked = both_directions(edges.where("src <> dst").select("client_id", "src", "dst")).distinct()
+    taken = nodes.select("client_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")).unionByName(linked)
+    lists = taken.groupBy("client_id", F.col("src").alias("a")).agg(F.sort_array(F.collect_list("dst")).alias("skip"))
     from ..session import client_hint
 
-    def pick(salt: int):
-        return F.pmod(F.xxhash64("client_id", "src", "dst", "attempt", F.lit(seed), F.lit(salt)), F.col("n"))
-
-    drawn = edges.select("client_id", "src", "dst").join(client_hint(sizes)(sizes), "client_id").withColumn(
-        "attempt", F.explode(F.sequence(F.lit(0), F.lit(NEGATIVE_TRIES - 1))))
-    drawn = drawn.select("client_id", "src", "dst", "attempt", pick(1).alias("a"), pick(2).alias("b")).where("a <> b")
-    linked = both_directions(edges.select("client_id", "src", "dst")).select("client_id", F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    free = drawn.join(linked, ["client_id", "a", "b"], "left_anti")
-    return free.groupBy("client_id", "src", "dst").agg(F.min_by(F.struct("a", "b"), "attempt").alias("p")).select(
-        "client_id", F.col("p.a").alias("src"), F.col("p.b").alias("dst"))
+    hint = client_hint(sizes)
+    lists = lists.join(hint(sizes), "client_id").withColumn("free", F.col("n") - F.size("skip")).where("free > 0")
+    # places of the nodes that have a non-neighbour: ranges of ids are counted first, so no client is numbered in one task
+    places = materialise(numbered(lists, ["client_id"], [F.col("a")], F.floor(F.col("a") / 4096), "place"))
+    able = places.groupBy("client_id").agg(F.count(F.lit(1)).alias("able"))
+    asked = edges.select("client_id", "src", "dst").join(hint(able), "client_id").select(
+        "client_id", F.pmod(drawn(1, seed, "client_id", "src", "dst"), F.col("able")).alias("place"), drawn(2, seed, "client_id", "src", "dst").alias("draw"))
+    held = asked.join(places.select("client_id", "place", "a", "skip", "free"), ["client_id", "place"])
+    ranked = F.aggregate("skip", F.pmod("draw", F.col("free")), lambda v, x: F.when(x <= v, v + 1).otherwise(v))
+    return held.select("client_id", F.col("a").alias("src"), ranked.alias("dst"))
 
 
 def link_terms(table: DataFrame, edges: DataFrame, negatives: DataFrame, embedding: str) -> DataFrame:
@@ -205,30 +216,38 @@ def surrogate_loss(nodes: DataFrame, edges: DataFrame, layers: Layers, *, type_w
         "type_loss", "link_loss", "type_accuracy")
 
 
-def alignment_loss(anchor_rows: DataFrame, global_rows: DataFrame, vector: str = "h", max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def alignment_loss(anchor_rows: DataFrame, global_rows: DataFrame, vector: str = "h", cell_rows: int = 4096) -> DataFrame:
     """One row ``loss``: mean over anchor rows of |h - softmax(h G^T / sqrt(H)) G|^2, G the global rows.
 
-    The global graph is bounded by configuration; its size is checked before it travels to the tasks."""
-    cells = global_rows.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("c")).head()["c"]
-    if cells * 8 > max_bytes:
-        raise ValueError("global rows exceed the size sent to every task")
-    g = np.array([r[0] for r in global_rows.orderBy("node_id").select(vector).collect()], dtype=np.float64)
-
-    def partial(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, n = 0.0, 0
-        for part in rows:
-            if part.empty or not len(g):
-                continue
-            h = np.stack([np.asarray(v) for v in part[vector]])
-            z = h @ g.T / np.sqrt(g.shape[1])
-            a = np.exp(z - z.max(axis=1, keepdims=True))
-            a /= a.sum(axis=1, keepdims=True)
-            loss += float(((a @ g - h) ** 2).sum())
-            n += len(h)
-        yield pd.DataFrame({"loss": [loss], "n": [n]})
-
-    sums = anchor_rows.select(vector).mapInPandas(partial, "loss double, n bigint").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
-    return sums.select(F.when(F.col("n") > 0, F.col("loss") / F.col("n")).otherwise(F.lit(0.0)).alias("loss"))
+    Both sides are dealt into cells of about ``cell_rows``. A pair of cells gives every anchor row the largest score, the
+    sum of exponentials below it and their weighted sum of global rows; these are merged per anchor row by the larger
+    maximum. So neither side has to fit a task, and no score is written."""
+    counts = [max(1, -(-t.count() // cell_rows)) for t in (anchor_rows, global_rows)]
+    x = F.col(vector).cast("array<double>").alias("h")
+    anchors = materialise(anchor_rows.select(F.monotonically_increasing_id().alias("at"), x))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = anchors.select(F.pmod(F.xxhash64("at"), F.lit(counts[0])).cast("int").alias("one"), others(counts[1]).alias("two"), "at", "h")
+    right = global_rows.select(others(counts[0]).alias("one"), F.pmod(F.xxhash64("node_id"), F.lit(counts[1])).cast("int").alias("two"), F.lit(None).cast("bigint").alias("at"), x)
+
+    def partial(cell: pd.DataFrame) -> pd.DataFrame:
+        own = cell["at"].notna().to_numpy()
+        if own.all() or not own.any():
+            return pd.DataFrame({"at": [], "top": [], "mass": [], "v": []})
+        h, g = (np.stack([np.asarray(v) for v in cell["h"][side]]) for side in (own, ~own))
+        z = h @ g.T / np.sqrt(g.shape[1])
+        top = z.max(axis=1)
+        a = np.exp(z - top[:, None])
+        return pd.DataFrame({"at": cell["at"][own].astype("int64"), "top": top, "mass": a.sum(axis=1), "v": list(a @ g)})
+
+    parts = left.unionByName(right).groupBy("one", "two").applyInPandas(partial, "at bigint, top double, mass double, v array<double>")
+    most = parts.groupBy("at").agg(F.max("top").alias("most"))
+    scaled = parts.join(most, "at").withColumn("scale", F.exp(F.col("top") - F.col("most")))
+    width = F.size(F.first("v"))
+    sums = scaled.groupBy("at").agg(F.sum(F.col("mass") * F.col("scale")).alias("mass"), F.collect_list("v").alias("_v"), F.collect_list("scale").alias("_s"), width.alias("w"))
+    added = F.aggregate(F.arrays_zip("_v", "_s"), F.array_repeat(F.lit(0.0), F.col("w")), lambda a, p: F.zip_with(a, p["_v"], lambda x, y: x + y * p["_s"]))
+    gap = F.zip_with(F.col("h"), F.zip_with(F.col("sum"), F.array_repeat(F.col("mass"), F.size("sum")), lambda v, m: v / m), lambda x, y: x - y)
+    rows = sums.select("at", "mass", added.alias("sum")).join(anchors, "at")
+    return rows.agg(F.coalesce(F.avg(F.aggregate(gap, F.lit(0.0), lambda a, d: a + d * d)), F.lit(0.0)).alias("loss"))
 
 
 def degree_penalty(nodes: DataFrame, edges: DataFrame, target: float) -> DataFrame:

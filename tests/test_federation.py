@@ -73,29 +73,60 @@ def test_gradients_match_finite_differences(spark):
     assert sum(r.n / total * r.loss for r in losses) == pytest.approx(dense_loss(layers, dense, rows))
 
 
-def test_graph_encoders_match_dense(spark):
+@pytest.mark.parametrize("heads", [1, 4])
+def test_graph_encoders_match_dense(spark, heads):
     nodes, edges, dense = anchor_case(spark, seed=3)
     rng = np.random.default_rng(0)
     m = lambda a, b: rng.standard_normal((a, b))
     for kind in ("gat", "gt"):
-        layer = gnn.Layer(m(3, 4), rng.standard_normal(3), rng.standard_normal(3), rng.standard_normal(3), m(3, 4), m(3, 4), m(3, 4))
+        bias = rng.standard_normal(3 if kind == "gat" else 3 * heads)
+        layer = gnn.Layer(m(3 * heads, 4), bias, rng.standard_normal(3 * heads), rng.standard_normal(3 * heads), m(3 * heads, 4), m(3 * heads, 4), m(3 * heads, 4), heads)
         got = {(r.client_id, r.node_id): r.x for r in gnn.encode(nodes, edges, [layer], kind).collect()}
         for c, (x, _, w) in dense.items():
             for i in range(len(x)):
-                near = np.flatnonzero(w[:, i])
-                if kind == "gat":
-                    near = np.union1d(near, [i])
-                    h = x @ layer.weight.T
-                    e = h[near] @ layer.attend_src + h[i] @ layer.attend_dst
-                    e, v, rest = np.where(e >= 0, e, 0.2 * e), h[near], layer.bias
-                else:
-                    e = (x[near] @ layer.key.T) @ (layer.query @ x[i]) / np.sqrt(3)
-                    v, rest = x[near] @ layer.weight.T + layer.bias, layer.skip @ x[i]
-                a = np.exp(e - e.max()) if len(e) else e
-                want = rest + ((a / a.sum()) @ v if len(e) else 0)
+                near, parts = np.flatnonzero(w[:, i]), []
+                near = np.union1d(near, [i]) if kind == "gat" else near
+                for t in range(heads):
+                    own = slice(3 * t, 3 * t + 3)
+                    if kind == "gat":
+                        h = x @ layer.weight[own].T
+                        e = h[near] @ layer.attend_src[own] + h[i] @ layer.attend_dst[own]
+                        e, v = np.where(e >= 0, e, 0.2 * e), h[near]
+                    else:
+                        e = (x[near] @ layer.key[own].T) @ (layer.query[own] @ x[i]) / np.sqrt(3)
+                        v = x[near] @ layer.weight[own].T + layer.bias[own]
+                    a = np.exp(e - e.max()) if len(e) else e
+                    parts.append((a / a.sum()) @ v if len(e) else np.zeros(3))
+                want = np.mean(parts, axis=0) + layer.bias if kind == "gat" else np.concatenate(parts) + layer.skip @ x[i]
                 assert got[c, i] == pytest.approx(want.tolist())
 
 
+def test_negatives_are_never_linked_and_never_lost(spark):
+    """A star and a clique with one pair missing: the few free pairs are found, and a complete client has none."""
+    star = [(0, 0, i) for i in range(1, 30)]
+    clique = [(1, a, b) for a in range(8) for b in range(a) if (a, b) != (5, 2)]
+    full = [(2, a, b) for a in range(4) for b in range(a)]
+    edges = spark.createDataFrame(star + clique + full, "client_id int, src bigint, dst bigint")
+    nodes = spark.createDataFrame([(c, i) for c, n in ((0, 30), (1, 8), (2, 4), (3, 2)) for i in range(n)], "client_id int, node_id bigint")
+    rows = [tuple(r) for r in su.negative_edges(nodes, edges, 3).collect()]
+    assert len(rows) == len(star) + len(clique)
+    assert {r[1:] for r in rows if r[0] == 1} <= {(5, 2), (2, 5)}
+    assert all(a != b and 0 not in (a, b) and max(a, b) < 30 for c, a, b in rows if c == 0) and len({r for r in rows if r[0] == 0}) > 20
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 6])
+def test_alignment_in_cells(spark, cell_rows):
+    rng = np.random.default_rng(9)
+    h, g = rng.standard_normal((20, 5)) * 30, rng.standard_normal((17, 5)) * 30  # exponents far beyond a double
+    hd = spark.createDataFrame([(v.tolist(),) for v in h], "h array<double>")
+    gd = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g)], "node_id bigint, h array<double>")
+    z = h @ g.T / np.sqrt(5)
+    a = np.exp(z - z.max(axis=1, keepdims=True))
+    a /= a.sum(axis=1, keepdims=True)
+    assert su.alignment_loss(hd, gd, cell_rows=cell_rows).head().loss == pytest.approx(((a @ g - h) ** 2).sum() / 20)
+    assert su.alignment_loss(hd.limit(0), gd).head().loss == 0.0
+
+
 def test_federated_average_divides_by_all_uploading_clients(spark):
     w = spark.createDataFrame([(0, "projector", "w", 0, 1.0), (1, "projector", "w", 0, 4.0), (2, "projector", "w", 0, 100.0), (0, "graph_encoder", "w", 0, 3.0), (0, "other", "w", 0, 3.0)],
                               "client_id int, module string, param string, idx bigint, value double")
