@@ -17,21 +17,29 @@ def write(path, value):
 
 
 def test_multihop_file(spark, tmp_path):
-    items = [{"_id": f"q{i}", "question": f"Q{i}?", "answer": f"A{i}", "type": "bridge", "level": "easy", "supporting_facts": [[f"T{i}", 0]],
-              "context": [[f"T{i}", [f"S{i}a.", "  ", f" S{i}b."]], ["Common ground", [f"D{i}."]]]} for i in range(3)]
-    passages, questions = src.read_multihop(spark, write(tmp_path / "h.json", items))
+    """A ring of five titles: question k reads the titles k, k + 1, ..., 1 + k % 3 of them, so titles are shared by up to three questions."""
+    ring = ["Anvil", "Brook", "Cedar", "Delta", "Ember"]
+    lines = [[f"{title} has {n} parts. " for n in range(1, 2 + i)] + ["\t"] for i, title in enumerate(ring)]
+    reads = [[(k + j) % 5 for j in range(1 + k % 3)] for k in range(5)]
+    items = [{"_id": f"ring-{k}", "question": f"What follows {ring[k]}?", "answer": ring[(k + 1) % 5], "type": "comparison", "level": "hard",
+              "supporting_facts": [[ring[t], j] for j, t in enumerate(reads[k][1:])], "context": [[ring[t], lines[t]] for t in reads[k]]} for k in range(5)]
+    path = write(tmp_path / "ring.json", items)
+    passages, questions = src.read_multihop(spark, path)
     got = {r.title: r for r in passages.collect()}
-    assert set(got) == {"T0", "T1", "T2", "Common ground"}
-    assert got["Common ground"].sentences == ["D0."] and got["T1"].text == "Title: T1\nS1a.\nS1b."
-    assert got["T1"].passage_id == hashlib.sha1(b"T1").hexdigest()
-    q = {r.question_id: r for r in questions.collect()}
-    assert q["q1"].supporting_facts[0].title == "T1" and q["q1"].supporting_facts[0].sent_idx == 0
-    assert q["q1"].passage_ids == [hashlib.sha1(t).hexdigest() for t in (b"T1", b"Common ground")]
-    assert src.read_multihop(spark, str(tmp_path / "h.json"), max_samples=1)[1].count() == 1
+    assert sorted(got) == ring
+    for i, title in enumerate(ring):
+        kept = [f"{title} has {n} parts." for n in range(1, 2 + i)]
+        assert got[title].sentences == kept and got[title].text == "\n".join([f"Title: {title}", *kept])
+        assert got[title].passage_id == hashlib.sha1(title.encode()).hexdigest()
+    asked = {r.question_id: r for r in questions.collect()}
+    for k in range(5):
+        assert asked[f"ring-{k}"].passage_ids == [hashlib.sha1(ring[t].encode()).hexdigest() for t in reads[k]]
+        assert [(f.title, f.sent_idx) for f in asked[f"ring-{k}"].supporting_facts] == [(ring[t], j) for j, t in enumerate(reads[k][1:])]
+    assert src.read_multihop(spark, path, max_samples=2)[1].count() == 2
     _, sentences = src.corpus_index(passages)
-    assert sentences.count() == 7
-    tp, tq = src.read_multihop_splits(spark, str(tmp_path / "h.json"), str(tmp_path / "h.json"), max_dev=1)
-    assert {r.split: r.n for r in tq.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()} == {"train": 3, "dev": 1}
+    assert sentences.count() == sum(range(1, 6))
+    _, splits = src.read_multihop_splits(spark, path, path, max_dev=2)
+    assert {r.split: r.n for r in splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()} == {"train": 5, "dev": 2}
 
 
 def test_chunks_and_questions(spark, tmp_path):
@@ -71,23 +79,29 @@ def test_question_records(spark):
 
 
 def test_records_descriptions_and_splits(spark, tmp_path):
-    rows = [{"id": "r7", "question": "Which river turns the mill?", "answer": "Odra", "retrieved_passages": ["m3"]}, {"_id": "q2", "question": "X", "label": "[\"A\", \"B\"]", "desc": " own "},
-            {"question": "Y", "answer": "Z"}, {"id": "q4", "question": "W", "answer": "V", "desc": "d"}]
+    """Every source of an id, a label and a description once, in twelve records."""
     with pytest.raises(FileNotFoundError):
         rec.read_records(spark, str(tmp_path))
+    rows = [{"id": f"n{k}", "question": f"Number {k}?", "answer": str(k)} for k in range(8)]
+    rows += [{"_id": "listed", "question": "Which two?", "label": json.dumps(["Oak", "Elm", "Fir"])}, {"question": None, "answer": "[not a list"},
+             {"id": "full", "answer": "MIXED Case", "retrieved_passages": ["first", "", "third"], "desc": "   "}, {"id": "kept", "retrieved_passages": ["unused"], "desc": "\tits own\n"}]
+    rows[4]["desc"] = "replaced by the file"
     (tmp_path / "manifest.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
     (tmp_path / "cached_desc").mkdir()
-    (tmp_path / "cached_desc" / "q4.txt").write_text("cached")
+    (tmp_path / "cached_desc" / "n4.txt").write_text("from\na file")
     records = rec.read_records(spark, str(tmp_path))
     got = {r.idx: r for r in rec.dataset_rows(records, rec.read_cached_descriptions(spark, str(tmp_path))).collect()}
-    assert got[0].question == "Question: Which river turns the mill?\nAnswer: " and got[0].label == "odra"
-    assert got[0].desc == "\n\nRetrieved passages:\nm3" and got[1].desc == "own" and got[2].desc == "" and got[3].desc == "cached"
-    assert got[1].label == "a|b" and got[1].id == "q2" and got[2].id == "2"
-    assert [r.split for r in sorted(rec.file_split(spark, str(tmp_path), records).collect(), key=lambda r: r.idx)] == ["train"] * 3 + ["test"]
+    assert [got[k].id for k in range(12)] == [f"n{k}" for k in range(8)] + ["listed", "9", "full", "kept"]
+    assert [got[k].label for k in (3, 8, 9, 10, 11)] == ["3", "oak|elm|fir", "[not a list", "mixed case", ""]
+    assert [got[k].desc for k in (3, 4, 10, 11)] == ["", "from\na file", "\n\nRetrieved passages:\nfirst\n\nthird", "its own"]
+    assert got[7].question == "Question: Number 7?\nAnswer: " and got[9].question == "Question: \nAnswer: "
+    by_place = {r.idx: r.split for r in rec.file_split(spark, str(tmp_path), records).collect()}
+    assert [by_place[k] for k in range(12)] == ["train"] * 9 + ["val"] + ["test"] * 2
     (tmp_path / "split").mkdir()
-    for name, text in (("train", "0\n2"), ("val", "1\n"), ("test", "3")):
-        (tmp_path / "split" / f"{name}_indices.txt").write_text(text)
-    assert {r.idx: r.split for r in rec.file_split(spark, str(tmp_path), records).collect()} == {0: "train", 1: "val", 2: "train", 3: "test"}
+    wanted = {k: ("val", "test", "train")[k % 3] for k in range(11)}  # the last record is in no file
+    for name in ("train", "val", "test"):
+        (tmp_path / "split" / f"{name}_indices.txt").write_text("\n\n".join(f" {k}" for k, split in wanted.items() if split == name))
+    assert {r.idx: r.split for r in rec.file_split(spark, str(tmp_path), records).collect()} == wanted
 
 
 def test_store_upsert_encodes_only_new(spark, tmp_path):
