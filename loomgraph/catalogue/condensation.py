@@ -130,7 +130,7 @@ def knn_topology(spark, sf):
 
 
 def self_expressive_coefficients(spark, sf):
-    """Sparse self-expression by iterative shrinkage (no SQL form)."""
+    """Sparse self-expression by iterative shrinkage."""
     n = _vector_nodes(spark, sf)
     z = to.self_expressive_rows(n, _text_side(n), alpha=8.0, beta=0.5, step_size=0.05)
     return z.select("client_id", "i", "j", *rounded("z"))
@@ -308,6 +308,22 @@ SQL = {
     "evidence_prior": f"""WITH {_knn('(c + 1) / 2', 8, _TYPED)} SELECT k.client_id, k.i, k.j, round((p.tc - s.lo) / (s.hi - s.lo + 1e-8), 6) + 0.0 AS prior
         FROM knn k JOIN pair p ON p.client_id = k.client_id AND p.i = k.i AND p.j = k.j JOIN span s ON s.client_id = k.client_id""",
     "knn_topology": f"WITH RECURSIVE {_knn('(c + 1) / 2', 8, _TYPED)}, {_matching('knn', 8)} {_EDGES}",
+    "self_expressive_coefficients": f"""WITH RECURSIVE {_VN},
+        typed AS (SELECT p.client_id, i, j, tc, list_dot_product(a.e, b.e) AS d FROM pair p JOIN vn a ON a.client_id = p.client_id AND a.node_id = i JOIN vn b ON b.client_id = p.client_id AND b.node_id = j WHERE {_TYPED}),
+        sup AS MATERIALIZED (SELECT t.client_id, i, j, d, 0.05::DOUBLE * (0.0625::DOUBLE + 0.125::DOUBLE * (1 - (tc - lo) / (hi - lo + 1e-8))) AS tau FROM (
+          SELECT *, row_number() OVER (PARTITION BY client_id, i ORDER BY round(d, 9) DESC, j) AS a, row_number() OVER (PARTITION BY client_id, i ORDER BY round(tc, 9) DESC, j) AS b FROM typed) t
+          JOIN span s ON s.client_id = t.client_id WHERE a <= 16 OR b <= 16),
+        gram AS (SELECT a.client_id, a.i, a.j, list(list_dot_product(x.e, y.e) ORDER BY b.j) AS g FROM sup a JOIN sup b ON b.client_id = a.client_id AND b.i = a.i
+          JOIN vn x ON x.client_id = a.client_id AND x.node_id = a.j JOIN vn y ON y.client_id = b.client_id AND y.node_id = b.j GROUP BY ALL),
+        held AS MATERIALIZED (SELECT s.client_id, s.i, list(s.j ORDER BY s.j) AS js, list(s.d ORDER BY s.j) AS ds, list(s.tau ORDER BY s.j) AS taus, list(g.g ORDER BY s.j) AS gs FROM sup s
+          JOIN gram g ON g.client_id = s.client_id AND g.i = s.i AND g.j = s.j GROUP BY ALL),
+        walk(client_id, i, step, z) USING KEY (client_id, i) AS (
+          SELECT client_id, i, 0, [0.0::DOUBLE FOR x IN js] FROM held
+          UNION
+          SELECT client_id, i, step + 1, list_transform(list_zip(u, taus), lambda x: sign(x[1]) * greatest(abs(x[1]) - x[2], 0)) FROM (
+            SELECT w.client_id, w.i, w.step, h.taus, list_transform(list_zip(w.z, h.gs, h.ds), lambda x: x[1] - 0.05::DOUBLE * (list_dot_product(x[2], w.z) - x[3])) AS u
+            FROM walk w JOIN held h ON h.client_id = w.client_id AND h.i = w.i WHERE w.step < 50))
+        SELECT client_id, i, j, round(z, 6) + 0.0 AS z FROM (SELECT w.client_id, w.i, unnest(h.js) AS j, unnest(w.z) AS z FROM walk w JOIN held h ON h.client_id = w.client_id AND h.i = w.i)""",
     "topk_event_softmax": """WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, event_id) AS rank FROM events),
         t AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM r WHERE rank <= 3)
         SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, round(exp(value - m) / sum(exp(value - m)) OVER (PARTITION BY user_id), 6) AS weight FROM t""",
