@@ -99,6 +99,34 @@ def test_two_hop_and_induced(spark, toy):
     assert {(r.src, r.dst) for r in out.collect()} == {(0, 2), (2, 0), (1, 2), (2, 1)}
 
 
+def _shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_induced_edges_around_a_hub(spark):
+    """A hub kept by every query costs rows in proportion to the edges, not their square."""
+    n = 600
+    pairs = [(p, 0) for p in range(1, n + 1)] + [(p, n + 1 + p % 7) for p in range(1, n + 1)]
+    edges = spark.createDataFrame([(0, a, b) for a, b in pairs] + [(0, b, a) for a, b in pairs], "client_id int, src bigint, dst bigint")
+    rows = [(0, f"q{p}", x) for p in range(1, n + 1) for x in (p, 0)] + [(0, "q3", 4), (0, "q3", n + 1 + 4)]
+    kept = spark.createDataFrame(rows, "client_id int, qid string, node_id bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = _shuffled_rows(spark)
+        got = sorted((r.qid, r.src, r.dst) for r in graph.induced_edges(edges, kept, ["client_id", "qid"]).collect())
+        cost = _shuffled_rows(spark) - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {}
+    for _, q, x in rows:
+        held.setdefault(q, set()).add(x)
+    assert got == sorted((q, *e) for q, xs in held.items() for a, b in pairs if a in xs and b in xs for e in ((a, b), (b, a)))
+    assert cost < 40 * n
+
+
 def test_first_title_and_map(spark):
     from loomgraph.operators.evidence import passage_node_map
 
