@@ -161,6 +161,28 @@ def test_block_ranks_match_dense_solve(spark, block_nodes, directed):
             assert rows[i, n + 1][0] == name and rows[i, n + 1][1] == pytest.approx(y[k, i] / y[:, i].sum(), abs=1e-13)
 
 
+def test_whole_graph_is_solved_in_one_round_by_few_questions_at_a_time(spark, monkeypatch):
+    """A graph beyond the block size is one block up to ``whole_nodes``; no start matrix is written and the columns are solved in parts."""
+    names, p, x, q, cut, batch = block_case(spark, 6)
+    nodes = spark.createDataFrame([(0, n) for n in names], "client_id int, node string")
+    moves = spark.createDataFrame([(0, names[a], names[b], float(p[a, b])) for a in range(23) for b in range(23) if p[a, b]], "client_id int, src string, dst string, p double")
+    vectors = spark.createDataFrame([(0, names[i], x[i].tolist(), "where") for i in range(9)], "client_id int, node string, x array<double>, text string")
+    blocks = br.rank_blocks(nodes, moves, vectors, 6, whole_nodes=23)
+    assert blocks.edges.where("block <> to").isEmpty() and not cut.edges.where("block <> to").isEmpty()
+    monkeypatch.setattr(br, "CELLS", 23 * 5)
+    written = []
+    monkeypatch.setattr(br, "materialise", lambda df: written.append(df) or df)
+    none = spark.createDataFrame([], "client_id int, qid int, node string, bonus double"), spark.createDataFrame([], "client_id int, qid int, entity_id string, weight double")
+    got = {(r.qid, r["rank"]): (r.passage_id, r.score) for r in br.ranked_blocks(blocks, batch, br.score_chunks(blocks.passages, batch), *none, 4).collect()}
+    assert len(written) == 1 and written[0].where(written[0].kind == br.RESET).isEmpty()
+    for i in range(70):
+        s = np.round(x @ q[i], 9)
+        y = np.linalg.solve(np.eye(23) - 0.5 * p.T, np.concatenate([0.075 * (s - s.min()) / (s.max() - s.min()), np.zeros(14)]))
+        order = sorted((-round(math.log(y[k]), 9) if y[k] > 0 else 1e9, names[k], k) for k in range(9))
+        for n, (_, name, k) in enumerate(order[:4]):
+            assert got[i, n + 1][0] == name and got[i, n + 1][1] == pytest.approx(y[k] / y.sum(), abs=1e-13)
+
+
 def test_local_limit_of_a_directed_cycle():
     """Eigenvalues of a cycle are not real; plain steps take over and reach the limit."""
     n = 9
