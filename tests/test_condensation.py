@@ -274,3 +274,29 @@ def test_condense_end_to_end(spark, method):
         assert any((r.client_id, r.node_id, e) in near for c, e in selected if c == r.client_id)
     with pytest.raises(ValueError):
         condense(index, replace(cfg, topology_method="other"))
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_pagerank_steps_do_not_shuffle_the_incidence(spark):
+    """Forty entities around five hundred sentences: a step hands on sums, not the 10,000 links."""
+    links = [(0, 1000 + h, (h * 7 + n) % 40) for h in range(500) for n in range(20)]
+    nodes = spark.createDataFrame([(0, n, 0) for n in range(40)] + [(0, 1000 + h, 1) for h in range(500)], "client_id int, node_id bigint, node_type int")
+    near = graph.neighbours_of(spark.createDataFrame([(*x, 0) for x in links], "client_id int, other bigint, entity bigint, edge_type int"))
+    pool = nodes.where("node_type = 0").select("client_id", "node_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cost = []
+        for steps in (1, 4):
+            at = shuffled_rows(spark)
+            ranks = {r.node_id: r.pagerank for r in an.projection_pagerank(pool, near, nodes, steps).collect()}
+            cost.append(shuffled_rows(spark) - at)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(ranks.values()) == pytest.approx(1.0)
+    assert (cost[1] - cost[0]) / 3 < 10_000
