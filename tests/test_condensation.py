@@ -300,3 +300,23 @@ def test_pagerank_steps_do_not_shuffle_the_incidence(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sum(ranks.values()) == pytest.approx(1.0)
     assert (cost[1] - cost[0]) / 3 < 10_000
+
+
+def test_diverse_selection_needs_few_rounds(spark, monkeypatch):
+    """Four thousand rows of nearly equal score: the default pool picks two hundred in a round or two, not one round per few picks."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 8))
+    s = np.round(rng.uniform(0, 0.05, 4000), 9)
+    scores = spark.createDataFrame([(0, i, float(s[i])) for i in range(4000)], "client_id int, node_id bigint, score double")
+    vectors = spark.createDataFrame([(0, i, x[i].tolist()) for i in range(4000)], "client_id int, node_id bigint, x array<double>")
+    made, real = [], an.materialise
+    monkeypatch.setattr(an, "materialise", lambda df: made.append(1) or real(df))
+    got = {r.pick: r.node_id for r in an.diverse_entities(scores, vectors).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    value, nearest, chosen = s.copy(), np.zeros(4000), []
+    for _ in range(200):
+        value = np.where(np.isin(np.arange(4000), chosen), -np.inf, np.round(s - 0.3 * nearest, 9))
+        chosen.append(int(value.argmax()))
+        nearest = np.maximum(nearest, u @ u[chosen[-1]])
+    assert [got[k] for k in range(200)] == chosen
+    assert len(made) <= 13
