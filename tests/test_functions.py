@@ -129,3 +129,24 @@ def test_hash_encoder_matches_definition(spark):
     got = values(frame(spark).select("i", hash_encoder(48)(F.col("t"))))
     for g, t in zip(got, TEXTS):
         assert g == pytest.approx(direct(t, 48).tolist(), abs=1e-6)
+
+
+def test_hash_encoder_memory_is_bounded_by_a_few_texts(spark):
+    """A batch of long texts is encoded part by part: its tokens are never held at once."""
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    from loomgraph.operators.encode import hash_encoder
+
+    rng = random.Random(1)
+    texts = pd.Series([" ".join(f"w{rng.randrange(100_000)}" for _ in range(300)) for _ in range(2000)])
+    encode = hash_encoder(32, "md5").func
+    tracemalloc.start()
+    got = list(encode(iter([texts, texts.iloc[:0]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = list(encode(iter([texts.iloc[[1999]]])))[0]
+    assert [len(g) for g in got] == [2000, 0] and got[0].iloc[1999].tolist() == alone.iloc[0].tolist()
+    assert peak < 24 << 20
