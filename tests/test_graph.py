@@ -136,3 +136,23 @@ def test_first_title_and_map(spark):
     slots = spark.createDataFrame([(1, 0, "ALPHA: q"), (1, 1, "beta: q")], "qid int, slot int, text string")
     got = {(r.qid, r.slot): (r.client_id, r.node_id) for r in passage_node_map(slots, nodes).collect()}
     assert got == {(1, 0): (0, 3), (1, 1): (-1, -1)}
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(spark._jvm.java.util.ArrayList(), False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_links_shuffle_no_texts(spark):
+    """A long sentence with many entities is neither repeated per entity nor shuffled for ids and links."""
+    rng = np.random.default_rng(3)
+    names = [f"N{chr(97 + a)}{chr(97 + b)}x" for a in range(6) for b in range(6)]
+    words = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(600))
+    texts = [(0, f"{i}:{words()} {' a '.join(names)}.") for i in range(120)]
+    index = GraphIndex.build(spark.createDataFrame(texts, "client_id int, text string"), dim=16)
+    index.passages
+    before = shuffled_bytes(spark)
+    assert index.edges.count() == 2 * 2 * 120 * len(names) and index.ids.count() == 240 + len(names)
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in texts) / 4
