@@ -94,3 +94,26 @@ def test_gram_range(spark):
         s = x @ x.T
         np.fill_diagonal(s, 0)
         assert got[g] == pytest.approx((s.min(), s.max()))
+
+
+def test_ties_in_every_block_are_not_sorted_per_query():
+    """Many equal vectors: the smallest keys win, without ordering all keys anew for every query."""
+    from loomgraph.operators.similarity import Tile
+
+    compared = 0
+
+    class Key(str):
+        def __lt__(self, other):
+            nonlocal compared
+            compared += 1
+            return str.__lt__(self, other)
+
+    rng = np.random.default_rng(5)
+    names = [Key(f"{n:06d}") for n in rng.permutation(20 * 512)]
+    for k in (1, 3):
+        compared, tile = 0, Tile(np.arange(60), np.tile([1.0, 0.0], (60, 1)), k)
+        for at in range(0, len(names), 512):
+            tile.add(np.array(names[at:at + 512], dtype=object), np.tile([1.0, 0.0], (512, 1)))
+        out = tile.rows(0, False)
+        assert sorted(set(out.vector_key)) == [f"{n:06d}" for n in range(k)] and len(out) == 60 * k
+        assert compared < 500_000
