@@ -156,3 +156,18 @@ def test_links_shuffle_no_texts(spark):
     before = shuffled_bytes(spark)
     assert index.edges.count() == 2 * 2 * 120 * len(names) and index.ids.count() == 240 + len(names)
     assert shuffled_bytes(spark) - before < sum(len(t) for _, t in texts) / 4
+
+
+def test_transitions_shuffle_packed_ids(spark):
+    from loomgraph.operators.passages import transition
+
+    names = [f"N{chr(97 + a)}{chr(97 + b)}x" for a in range(10) for b in range(10)]
+    texts = [(i % 2, f"{i}:{' a '.join(names[i % 7:])}.") for i in range(200)]
+    index = GraphIndex.build(spark.createDataFrame(texts, "client_id int, text string"), dim=16)
+    weights, adjacent = index.entity_passage_weights, graph.adjacent_passages(index.passages)
+    start = shuffled_bytes(spark)
+    plain = {(r.client_id, r.src, r.dst): r.p for r in transition(graph.retrieval_edges(weights, adjacent)).collect()}
+    middle = shuffled_bytes(spark)
+    got = {(r.client_id, r.src, r.dst): r.p for r in index.transitions.collect()}
+    assert got == pytest.approx(plain) and len(got) > 30_000
+    assert shuffled_bytes(spark) - middle < 0.8 * (middle - start)

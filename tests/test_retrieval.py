@@ -271,3 +271,28 @@ def test_anchored_evidence(spark, toy):
     assert {(r.qid, r.src, r.dst) for r in out.collect()} == {(1, 0, 2), (1, 2, 0), (1, 1, 2), (1, 2, 1), (2, 0, 1), (2, 1, 0)}
     vectors = nodes.select("client_id", "node_id", F.array(F.col("node_id").cast("double")).alias("x"))
     assert {r.qid: r.x for r in ev.mean_query(kept, vectors, 1).collect()} == {1: [2.0], 2: [4.0]}
+
+
+def test_spreading_encodes_reached_sentences_only(spark, monkeypatch):
+    """Sentences no question reaches are not encoded, in either mode."""
+    from loomgraph.operators.graph import SENTENCE
+    from loomgraph.plans.index import GraphIndex
+
+    whole, asked = GraphIndex.of_type, []
+
+    def of_type(self, node_type):
+        assert node_type != SENTENCE
+        return whole(self, node_type)
+
+    texts = [(0, "0:Ada Lovelace met Charles Babbage. Charles Babbage was in London."), (0, "1:Paris is far. Rome is near. Oslo is cold.")]
+    monkeypatch.setattr(GraphIndex, "of_type", of_type)
+    for mode in ("parallel", "ordered"):
+        r = Retriever(hash_encoder(16), 16, 1, RetrievalConfig(mode=mode))
+        index = r.index(spark.createDataFrame(texts, "client_id int, text string"))
+        given = index.sentence_vectors
+        index.sentence_vectors = lambda keys: asked.append(given(keys)) or asked[-1]
+        q = spark.createDataFrame([(1, "Did Ada Lovelace visit?")], "qid int, question string")
+        seeds = r.seeds(q)
+        weights, _ = r.spread(seeds, q.select("qid", hash_encoder(16)(F.col("question")).alias("x")))
+        assert weights.count() >= 1
+    assert asked and all(v.count() <= 2 for v in asked)
