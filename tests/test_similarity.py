@@ -96,6 +96,33 @@ def test_gram_range(spark):
         assert got[g] == pytest.approx((s.min(), s.max()))
 
 
+def test_gram_range_multiplies_a_pair_once(spark, monkeypatch):
+    """Parts of several blocks, each pair of rows multiplied once for both extremes, each row sent once per part."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((150, 4)).astype(np.float32)
+    x[::7] = 0
+    df = spark.createDataFrame([(i, i % 3 // 2, v.tolist()) for i, v in enumerate(x)], "node_id bigint, client_id int, x array<float>").repartition(4)
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-12)
+    want = {}
+    for c in (0, 1):
+        own = u[[i for i in range(150) if i % 3 // 2 == c]]
+        s = own @ own.T
+        np.fill_diagonal(s, 0)
+        want[c] = pytest.approx((s.min(), s.max()))
+    for rows in (9, 40, 1000):
+        assert {r.client_id: (r.lo, r.hi) for r in gram_range(df, part_rows=rows).collect()} == want
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    whole = similarity.Extremes(u, True)
+    for at in range(0, 150, 16):
+        whole.add(u[at:at + 16])
+    s = u @ u.T
+    assert (whole.lo, whole.hi) == pytest.approx((s[np.triu_indices(150, 1)].min(), s[np.triu_indices(150, 1)].max()))
+    monkeypatch.setattr(similarity, "top_k_dot", lambda *a, **k: pytest.fail("two searches over all pairs"))
+    assert gram_range(df).count() == 2
+    one = spark.createDataFrame([(1, 0, [1.0, 0.0])], "node_id bigint, client_id int, x array<float>")
+    assert [(r.lo, r.hi) for r in gram_range(one).collect()] == [(0.0, 0.0)]
+
+
 def test_ties_in_every_block_are_not_sorted_per_query():
     """Many equal vectors: the smallest keys win, without ordering all keys anew for every query."""
     from loomgraph.operators.similarity import Tile
