@@ -55,6 +55,73 @@ def test_held_out_texts_of_the_language_score_better(spark):
     assert own and np.mean(own) < 2.2
 
 
+def plain_slots(p, order):
+    """Slots of a Paths' bits, by Python numbers."""
+    mask, prime, mul = (1 << 64) - 1, int(cm.PRIME), int(cm.MIX)
+
+    def mixed(x):
+        x = ((x ^ (x >> 31)) * mul) & mask
+        return x ^ (x >> 29)
+
+    return [[mixed((mixed((int(c) * mul + order) & mask) + ((1 << s) | (int(b) >> (8 - s))) * prime) & mask) >> (64 - cm.TABLE_BITS) for s in range(8)] for c, b in zip(p.contexts[order], p.data)]
+
+
+def test_slots_count_every_training_word(spark):
+    rng = random.Random(2)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))).encode(): rng.randrange(0, 20) for _ in range(300)}
+    want = Counter()
+    for w, c in words.items():
+        p = cm.Paths([w])
+        for order in range(cm.ORDERS):
+            if c and (order < cm.ORDERS - 1 or c >= 10):
+                for row, bits in zip(plain_slots(p, order), p.bit.tolist()):
+                    for s, b in zip(row, bits):
+                        want[s + (order == cm.ORDERS - 1) * (1 << cm.TABLE_BITS), b] += c
+    got = Counter()
+    for r in cm.slot_counts(spark.createDataFrame(list(words.items()), "word binary, c bigint").repartition(3), 10).collect():
+        for b, levels in enumerate((r.zeros, r.ones)):
+            levels = np.frombuffer(levels, np.uint8)
+            got.update({(r.pack * cm.PACK + int(s), b): int(levels[s]) for s in np.flatnonzero(levels)})
+    assert got == {k: int(cm.levels_of(np.array([c]))[0]) for k, c in want.items()}
+
+
+def test_shared_beginnings_score_alike():
+    """Each different beginning is looked up once; order and repeats of the words change no score."""
+    rng = np.random.default_rng(3)
+    model = cm.Model(rng.integers(0, 100, (2, 2 << cm.TABLE_BITS)).astype(np.uint8), 1)
+    model.refine(rng.random((2, cm.GATES * cm.BINS)) * 100)
+    words = [b"", b"a", b"ab", b"abc", b"abc", b"abd", b"b", b"ab", b"\xc3\xa9t\xc3\xa9", b"a" * 70_000, b"a" * 70_000 + b"b"]
+    alone = []
+    for w in words:
+        p = cm.Paths([w])
+        q = model.prob(p)
+        alone.append(np.log10(np.where(p.bit == 1, q, 1 - q)).sum())
+    assert np.allclose(model.log10(words), alone) and np.allclose(model.log10(words[::-1]), alone[::-1])
+    rows, of = cm.Paths([b"abc", b"abd"]).beginnings()
+    assert len(rows) == 6 and of[:2].tolist() == of[4:6].tolist()
+
+
+def test_weights_are_fitted_on_all_words(spark):
+    """The weights are of least cost over all training words: every word moves them, however few a task holds."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice(["th", "er", "on", "ing"]) for _ in range(rng.randrange(1, 6))).encode() for _ in range(900)})
+    rows = [(w, 1 + i % 7) for i, w in enumerate(words)]
+    frame = lambda rows: spark.createDataFrame(rows, "word binary, c bigint")
+    one, two = (cm.fit(frame(rows), fit_words=n) for n in (10, 100_000))
+    assert np.allclose(one.weights, two.weights, atol=1e-6) and np.allclose(one.map, two.map, atol=1e-6)
+    sums = cm.Sums()
+    one.observe(words, np.array([float(c) for _, c in rows]), sums)
+    slope = sums.slope - cm.RIDGE * (one.weights - cm.first_weights())
+    step = np.linalg.solve(sums.bend + cm.RIDGE * np.eye(cm.ORDERS + 1), slope[..., None])[..., 0]
+    assert (step * slope).sum() / 2 <= 2 * cm.GAIN * sums.cost.sum()
+    bits = sum(8 * (len(w) + 1) * c for w, c in rows)
+    assert round(sums.hits.sum()) == bits
+    apart = cm.Sums()
+    for w, c in rows:
+        one.observe([w], np.array([float(c)]), apart)
+    assert np.allclose(apart.flat, sums.flat)
+
+
 def findings(spark, seed, n):
     rng, rows = random.Random(seed), []
     for i in range(n):
