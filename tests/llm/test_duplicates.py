@@ -205,6 +205,32 @@ def test_index_equals_counting():
         assert [x.tolist() for x in ri.repeated_starts(pieces, length)] == want
 
 
+@pytest.mark.parametrize("text", [b"", b"a", b"aa", b"\x00\x00a\x00", b"banana" * 50, bytes(range(256)) * 3, b"ab" * (1 << 20) + b"abb"])
+def test_suffixes_in_order(text):
+    data = np.frombuffer(text, np.uint8)
+    order = ri.suffix_array(data)
+    rank = np.empty(len(data) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(data)), -1
+    a, b = order[:-1], order[1:]
+    assert sorted(order.tolist()) == list(range(len(data)))
+    assert ((data[a] < data[b]) | ((data[a] == data[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
+def test_places_that_stand_alone_are_sorted_once(monkeypatch):
+    rng, sorts, plain = np.random.default_rng(1), [], np.argsort
+    text = np.concatenate((rng.integers(0, 200, 50_000), np.tile(rng.integers(0, 200, 700), 2))).astype(np.uint8)
+    monkeypatch.setattr(np, "argsort", lambda v, **k: sorts.append(len(v)) or plain(v, **k))
+    ri.suffix_array(text)
+    assert sum(sorts) < 1.3 * len(text)
+
+
+def test_lone_routes_are_not_indexed(spark):
+    routed = spark.createDataFrame([(1, 1, 1, 0, b"a"), (1, 1, 1, 0, b"a"), (2, 2, 2, 0, b"b"), (2, 2, 3, 0, b"c"), (3, 3, 4, 0, b"d")], "route bigint, pick bigint, content bigint, shift int, piece binary")
+    copied, crowded, sparse = ri.by_bytes(routed.withColumn("bytes", F.col("piece")), 5)
+    assert [r.route for r in copied.collect()] == [1] and crowded.count() == 0
+    assert sorted(bytes(r.piece) for r in sparse.collect()) == [b"b", b"c"]
+
+
 @pytest.mark.parametrize("many", [256, 3])
 def test_repeats_equal_counting(spark, odd, many):
     rng = random.Random(5)
