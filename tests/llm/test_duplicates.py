@@ -260,6 +260,34 @@ def test_common_passage_is_indexed_once(spark, monkeypatch):
     assert Counter(map(tuple, got)) == removed(rows, 400) and sizes[0] < 4
 
 
+def test_rows_of_a_frequent_pick_are_dealt_out(spark, monkeypatch):
+    """The pieces of a passage that all texts hold do not meet in one task of the join with the picks that occur again."""
+    passage, written, plain = prose(71, 160), [], ri.materialise
+    rows = [(i, prose(2000 + i, 40) + passage + prose(5000 + i, 40)) for i in range(160)]
+
+    def seen(df):
+        out = plain(df)
+        if set(out.columns) == {"key", "first", "windows", "back", "pick", "content"}:
+            written.append(out)
+        return out
+
+    monkeypatch.setattr(ri, "materialise", seen)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "1k",
+                "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "adaptive.skewJoin.skewedPartitionFactor": "0.1"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = ri.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert Counter(map(tuple, got)) == removed(rows, 400)
+    shared = written[1].groupBy("pick", F.input_file_name().alias("file")).count().groupBy("pick").agg(F.sum("count").alias("n"), F.max("count").alias("most")).where("n >= 160")
+    shares = [r.most / r.n for r in shared.collect()]
+    assert shares and max(shares) <= 0.5
+
+
 def test_long_text_in_stretches(spark, empty, monkeypatch):
     rng = random.Random(6)
     part = "".join(rng.choice("abcdefgh ") for _ in range(700))
