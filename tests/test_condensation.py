@@ -320,3 +320,22 @@ def test_diverse_selection_needs_few_rounds(spark, monkeypatch):
         nearest = np.maximum(nearest, u @ u[chosen[-1]])
     assert [got[k] for k in range(200)] == chosen
     assert len(made) <= 13
+
+
+@pytest.mark.parametrize("whole_links", [an.WHOLE_LINKS, 0])
+def test_pagerank_of_a_whole_client_needs_no_table_per_step(spark, monkeypatch, whole_links):
+    """Two clients and one whose entities share nothing: both ways give the rank of the explicit projection."""
+    nodes, edges, _, _, types, near = random_graph(spark, 2)
+    lone = spark.createDataFrame([(7, 0, 0), (7, 1, 0), (7, 2, 1)], "client_id int, node_id bigint, node_type int")
+    columns = ["client_id", "node_id", "node_type"]
+    three = nodes.select(*columns).unionByName(nodes.select(*columns).withColumn("client_id", F.col("client_id") + 1)).unionByName(lone)
+    nb = graph.undirected_neighbours(edges)
+    nb = nb.unionByName(nb.withColumn("client_id", F.col("client_id") + 1))
+    pool = an.entity_pool(three, nb, 0)
+    made, real = [], an.materialise
+    monkeypatch.setattr(an, "materialise", lambda df: made.append(1) or real(df))
+    got = {(r.client_id, r.node_id): r.pagerank for r in an.projection_pagerank(pool, nb, three, whole_links=whole_links).collect()}
+    first = nodes.head().client_id
+    want = direct_pagerank(near, [i for i, t in enumerate(types) if t == 0])
+    assert got == pytest.approx({(c, i): v for c in (first, first + 1) for i, v in want.items()} | {(7, 0): 0.5, (7, 1): 0.5}, abs=1e-12)
+    assert whole_links == 0 or len(made) <= 3
