@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -36,6 +36,7 @@ from .order_minhash import components
 
 COSINE = 0.95
 TILE = 1024
+GROUP_BYTES = 1 << 25  # vectors of the tiles that a task holds while others stream past
 GRID = 3  # directions of the grid of cells
 BOX = 8  # directions of a tile's box
 STEPS = (16, 32)  # directions after which pairs are tested, before all of them
@@ -133,8 +134,19 @@ def tile_pairs(tiled: DataFrame, cosine: float) -> DataFrame:
     both = one.join(two, "cell").where("a <= b")
     gap = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     least = F.aggregate(gap, F.lit(0.0), lambda a, x: a + x * x)
-    turn = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0  # either tile leads, so none has all its partners behind it
-    return both.where(least <= 2 - 2 * cosine + SLACK).select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return both.where(least <= 2 - 2 * cosine + SLACK).select("a", "b")
+
+
+def tile_groups(tiled: DataFrame) -> DataFrame:
+    """(tile, lead): groups of neighbouring tiles. A group holds GROUP_BYTES of vectors at most, and there are some for every core."""
+    part = F.shiftright("tile", 32).alias("part")
+    sizes = tiled.groupBy(part).agg(F.count("*").alias("n"), F.max(F.length("ids").cast("bigint") * F.get("cell", F.lit(0))).alias("bytes"))
+    whole = sizes.agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes")).first()
+    span = max(1, min(GROUP_BYTES // max(whole["bytes"] or 0, 1), (whole["n"] or 0) // (4 * tiled.sparkSession.sparkContext.defaultParallelism)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    place = F.col("at") + F.col("tile").bitwiseAND(F.lit((1 << 32) - 1))
+    return tiled.select("tile", part).join(F.broadcast(starts), "part").select("tile", F.floor(place / span).alias("lead"))
 
 
 class Tile:
@@ -209,35 +221,47 @@ def forest(links: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndar
 def compared(tiled: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], cosine: float) -> DataFrame:
     """(kind, a, b): kind 0 gives ``b`` more links of node ``a``, kind 1 an edge of the forest between two nodes.
 
-    The left tile of a pair travels once with all its right tiles behind it, in one sorted stream."""
+    A group of tiles travels once with the tiles that its own meet behind it, in one sorted stream, so a tile travels
+    once for every group it meets."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, own_id = None, None
+        own, lead = {}, None
         for batch in batches:
-            for a, b, ids, counts, data, width in zip(*(batch[c] for c in ("a", "b", "ids", "counts", "data", "width")), strict=True):
-                if b == -1:
-                    own, own_id = Tile(ids, counts, data, width, axes), a
+            for group, b, partners, ids, counts, data, width in zip(*(batch[c] for c in ("lead", "b", "partners", "ids", "counts", "data", "width")), strict=True):
+                if group != lead:
+                    own, lead = {}, group
+                if not len(partners):
+                    own[b] = Tile(ids, counts, data, width, axes)
                     continue
-                other = own if b == own_id else Tile(ids, counts, data, width, axes)
-                links = linked(own, other, cosine)
-                if other is own:
-                    np.fill_diagonal(links, False)
-                if not links.any():
-                    continue
-                found = [(0, own.ids, links @ other.counts)]
-                if other is not own:
-                    found.append((0, other.ids, own.counts @ links))
-                found.append((1, *forest(links, own.ids, other.ids)))
-                for kind, x, y in found:
-                    some = y != 0 if kind == 0 else x != y
-                    yield pd.DataFrame({"kind": kind, "a": x[some], "b": y[some]})
-
+                other = own[b] if b in own else Tile(ids, counts, data, width, axes)
+                for a in partners:
+                    links = linked(own[a], other, cosine)
+                    if own[a] is other:
+                        np.fill_diagonal(links, False)
+                    if not links.any():
+                        continue
+                    found = [(0, own[a].ids, links @ other.counts)]
+                    if own[a] is not other:
+                        found.append((0, other.ids, own[a].counts @ links))
+                    found.append((1, *forest(links, own[a].ids, other.ids)))
+                    for kind, x, y in found:
+                        some = y != 0 if kind == 0 else x != y
+                        yield pd.DataFrame({"kind": kind, "a": x[some], "b": y[some]})
+
+    groups = materialise(tile_groups(tiled))
+    named = pairs.join(groups.select(F.col("tile").alias("a"), F.col("lead").alias("lead_a")), "a").join(groups.select(F.col("tile").alias("b"), F.col("lead").alias("lead_b")), "b")
+    turn = F.pmod(F.xxhash64("lead_a", "lead_b"), F.lit(2)) == 0  # either group leads, so none has all its partners behind it
+    led = named.select(F.when(turn, F.col("lead_b")).otherwise(F.col("lead_a")).alias("lead"), (F.col("lead_a") == F.col("lead_b")).alias("inside"),
+                       F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"))
+    met = led.groupBy("lead", "inside", "b").agg(F.collect_list("a").alias("partners"))
     packs = tiled.select(F.col("tile").alias("b"), "ids", "counts", "data", F.get("cell", F.lit(0)).alias("width"))
     empty = F.lit(b"")
-    own = pairs.where("a = b").select("a", "b", empty.alias("ids"), empty.alias("counts"), empty.alias("data"), F.lit(0).alias("width"))
-    sent = pairs.where("a <> b").join(packs, "b").select("a", "b", "ids", "counts", "data", "width")
-    lead = packs.select(F.col("b").alias("a"), F.lit(-1).cast("bigint").alias("b"), "ids", "counts", "data", "width")
-    stream = lead.unionByName(own).unionByName(sent).repartition(shuffle_parts(tiled.sparkSession), "a").sortWithinPartitions("a", "b")
+    columns = ["lead", "b", "partners", "ids", "counts", "data", "width"]
+    within = met.where("inside").select("lead", "b", "partners", empty.alias("ids"), empty.alias("counts"), empty.alias("data"), F.lit(0).alias("width"))
+    sent = met.where("NOT inside").join(packs, "b").select(*columns)
+    held = packs.join(groups.withColumnRenamed("tile", "b"), "b").withColumn("partners", F.array().cast("array<bigint>")).select(*columns)
+    stream = held.unionByName(within).unionByName(sent).withColumn("late", F.size("partners") > 0)
+    stream = stream.repartition(shuffle_parts(tiled.sparkSession), "lead").sortWithinPartitions("lead", "late", "b").drop("late")
     return stream.mapInPandas(work, "kind int, a bigint, b bigint")
 
 

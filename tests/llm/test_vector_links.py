@@ -74,3 +74,23 @@ def test_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     assert found(vl.links(df, cosine=0.4)) == brute(rows, 0.4)
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_a_tile_travels_once_per_group(spark):
+    """Vectors that all lie near each other: tiles go to groups of tiles, not to each other tile one by one."""
+    rng = np.random.default_rng(6)
+    raw = (rng.normal(size=(1, 32)) + rng.normal(size=(2400, 32)) * 0.6).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(raw)], "vec_id bigint, embedding array<float>")
+    at = shuffled_bytes(spark)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vl.links(df, cosine=0.8, tile=16).collect()}
+    sent = shuffled_bytes(spark) - at
+    unit = raw.astype(np.float64) / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.8
+    assert [got[k][0] for k in range(2400)] == (near.sum(axis=1) - 1).tolist()
+    assert sent < 48 * raw.nbytes
